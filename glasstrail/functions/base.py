@@ -54,32 +54,48 @@ def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 
 
-def find_spans(text: Column, pattern: str, before: int = 0, after: int = 0) -> Column:
-    """All matches with their neighbourhood: ``array<struct<raw, before, after>>``.
+def quote(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    Splitting on the same pattern gives the text between matches, so the context of match i is
-    the tail of what precedes it. At most ``before`` pieces can contribute, so the cost stays
-    linear in the number of matches.
-    """
-    def build(st: Column) -> Column:
-        def one(raw: Column, i: Column) -> Column:
-            lo = F.greatest(i - before, F.lit(0))
-            head = F.array_join(F.transform(F.slice(st["pieces"], lo + 1, i - lo), lambda p, k: F.concat(
-                F.right(p, F.lit(before)), F.get(st["hits"], lo + k))), "")
-            left = F.right(F.concat(head, F.right(F.get(st["pieces"], i), F.lit(before))), F.lit(before)) if before else F.lit("")
-            tail = F.array_join(F.transform(F.slice(st["pieces"], i + 2, after), lambda p, k: F.concat(
-                F.left(p, F.lit(after)), F.coalesce(F.get(st["hits"], i + k + 1), F.lit("")))), "")
-            right = F.left(tail, F.lit(after)) if after else F.lit("")
-            return F.struct(raw.alias("raw"), left.alias("before"), right.alias("after"))
 
-        return F.transform(st["hits"], one)
+def sql_of(text: Column | str) -> str:
+    """SQL text of a plain column or of a SQL expression."""
+    return text if isinstance(text, str) else text._jc.toString()
+
 
-    return let(build, hits=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pieces=F.split(text, pattern, -1))
+def bind(body: str, **values: str) -> str:
+    """SQL that evaluates ``values`` once and ``body`` over them as ``_b.name``.
 
+    Inside a lambda an outer expression is evaluated for every element; binding avoids that.
+    """
+    fields = ", ".join(f"{v} AS {k}" for k, v in values.items())
+    return f"transform(array(struct({fields})), _b -> {body})[0]"
 
-def distinct_by(items: Column, key: Callable[[Column], Column]) -> Column:
-    """Keep the first element of each key, in order."""
-    def first_of_each(st: Column) -> Column:
-        return F.filter(st["items"], lambda x, i: F.array_position(st["keys"], key(x)) == i + 1)
 
-    return let(lambda st: let(first_of_each, items=st["items"], keys=F.transform(st["items"], key)), items=items)
+def find_spans(text: str, pattern: str, before: int = 0, after: int = 0) -> str:
+    """SQL for all matches with their neighbourhood: ``array<struct<raw, before, after>>``.
+
+    Splitting on the same pattern gives the text between matches, so the context of match i is
+    the tail of what precedes it. At most ``before`` pieces can contribute, so the cost stays
+    linear in the number of matches.
+    """
+    left = right = "''"
+    if before:
+        lo = f"greatest(i - {before}, 0)"
+        head = (f"array_join(transform(slice(_s.pieces, {lo} + 1, i - {lo}), (p, k) -> "
+                f"concat(right(p, {before}), get(_s.hits, {lo} + k))), '')")
+        left = f"right(concat({head}, right(get(_s.pieces, i), {before})), {before})"
+    if after:
+        tail = (f"array_join(transform(slice(_s.pieces, i + 2, {after}), (p, k) -> "
+                f"concat(left(p, {after}), coalesce(get(_s.hits, i + k + 1), ''))), '')")
+        right = f"left({tail}, {after})"
+    q = quote(pattern)
+    return (f"transform(array(struct(regexp_extract_all({text}, {q}, 0) AS hits, split({text}, {q}, -1) AS pieces)), _s -> "
+            f"transform(_s.hits, (raw, i) -> named_struct('raw', raw, 'before', {left}, 'after', {right})))[0]")
+
+
+def first_of_each(items: str, key: str) -> str:
+    """SQL that keeps the first element ``e`` of each ``key`` (SQL over ``e``), in order."""
+    return (f"transform(array(struct({items} AS items)), _d -> transform(array(struct(_d.items AS items, transform(_d.items, e -> {key}) AS keys)), "
+            f"_k -> filter(_k.items, (e, n) -> array_position(_k.keys, {key}) = n + 1))[0])[0]")

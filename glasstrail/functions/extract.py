@@ -1,7 +1,8 @@
 """Fact extraction as Column builders: ``text -> array<struct>``.
 
-Each builder runs inside one projection over the whole text. Context guards read the
-neighbourhood that :func:`find_spans` captures, so nothing here needs a Python worker.
+Each builder is one SQL expression over the whole text, evaluated inside a projection. Context
+guards read the neighbourhood that :func:`find_spans` captures, so nothing needs a Python worker.
+``text`` is a column or a SQL expression.
 """
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, functions as F
 
 from .. import lexicon as lx
-from .base import compact, contains_any, distinct_by, empty, find_spans, let
+from .base import bind, find_spans, first_of_each, quote, sql_of
 
 NUMBER = r"\d[\d,]*(?:\.\d{1,2})?"
 MONTH_ALT = (
@@ -20,6 +21,10 @@ MONTH_ALT = (
 )
 
 
+def _guarded(condition: str, found: str, ddl: str) -> str:
+    return f"CASE WHEN {condition} THEN {found} ELSE CAST(array() AS array<{ddl}>) END"
+
+
 # --- links ---------------------------------------------------------------
 _URL_TAIL = r"""[^\s<>{}|\\^`"\[\]]"""
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
@@ -28,45 +33,24 @@ URL_PATTERN = (
     rf"|(?<![\w@])(?:{_LABEL}\.)+(?:{'|'.join(lx.TLDS)})(?::\d{{1,5}})?(?:/{_URL_TAIL}*)?)"
 )
 URL_DDL = "struct<url:string,host:string>"
+_HOST = r"^(?:[^.\-](?:[^.]{0,62})\.)(?:[^.]{1,63}\.)*\p{L}{2,63}$"
 
 
-def _trim_link(raw: Column) -> Column:
-    body = F.regexp_replace(raw, "[.,;:!?'\"’”]+$", "")
-
-    def drop_parens(st: Column) -> Column:
-        b = st["b"]
-        surplus = F.greatest(F.lit(0), F.length(F.regexp_replace(b, r"[^)]", "")) - F.length(F.regexp_replace(b, r"[^(]", "")))
-        run = F.length(b) - F.length(F.rtrim(b, F.lit(")")))
-        return F.left(b, F.length(b) - F.least(surplus, run))
-
-    return let(drop_parens, b=body)
-
-
-def urls(text: Column) -> Column:
+def urls(text: Column | str) -> Column:
     """Links with their lower-cased host, in order, each address once."""
-    def normalise(raw: Column) -> Column:
-        full = F.when(F.lower(raw).rlike("^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-
-        def parts(st: Column) -> Column:
-            scheme = F.lower(F.substring_index(st["u"], "://", 1))
-            rest = F.regexp_replace(st["u"], "^[A-Za-z]+://", "")
-            host_port = F.regexp_extract(rest, r"^([^/?]*)", 1)
-            path = F.regexp_replace(F.regexp_replace(rest, r"^[^/?]*", ""), "#.*$", "")
-            return F.struct(
-                F.concat(scheme, F.lit("://"), F.lower(host_port), path).alias("url"),
-                F.lower(F.substring_index(host_port, ":", 1)).alias("host"),
-            )
-
-        return let(parts, u=full)
-
-    def valid(link: Column) -> Column:
-        host = link["host"]
-        return ((F.length(host) <= 253)
-                & host.rlike(r"^(?:[^.\-](?:[^.]{0,62})\.)(?:[^.]{1,63}\.)*\p{L}{2,63}$"))
-
-    raws = F.filter(F.transform(F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(0)), _trim_link), lambda r: r != "")
-    found = distinct_by(F.filter(F.transform(raws, normalise), valid), lambda x: x["url"])
-    return F.when(text.contains("."), found).otherwise(empty(URL_DDL))
+    t = sql_of(text)
+    # Closing parentheses without an opening one are punctuation around the link.
+    surplus = "greatest(0, length(regexp_replace(_b.v, '[^)]', '')) - length(regexp_replace(_b.v, '[^(]', '')))"
+    run = "length(_b.v) - length(rtrim(')', _b.v))"
+    trimmed = bind(f"left(_b.v, length(_b.v) - least({surplus}, {run}))", v=f"regexp_replace(r, {quote('[.,;:!?' + chr(39) + chr(34) + '’”]+$')}, '')")
+    raws = f"filter(transform(regexp_extract_all({t}, {quote(URL_PATTERN)}, 0), r -> {trimmed}), r -> r <> '')"
+    host_port = f"regexp_extract(_b.rest, {quote('^([^/?]*)')}, 1)"
+    path = f"regexp_replace(regexp_replace(_b.rest, {quote('^[^/?]*')}, ''), '#.*$', '')"
+    built = bind(f"named_struct('url', concat(_b.scheme, '://', lower({host_port}), {path}), 'host', lower(substring_index({host_port}, ':', 1)))",
+                 scheme="CASE WHEN lower(r) LIKE 'http://%' THEN 'http' ELSE 'https' END",
+                 rest=f"regexp_replace(r, {quote('^(?i:https?)://')}, '')")
+    valid = f"filter(transform({raws}, r -> {built}), u -> length(u.host) <= 253 AND u.host RLIKE {quote(_HOST)})"
+    return F.expr(_guarded(f"contains({t}, '.')", first_of_each(valid, "e.url"), URL_DDL))
 
 
 # --- prices --------------------------------------------------------------
@@ -74,8 +58,9 @@ PRICE_DDL = "struct<raw:string,currency:string,amount:double>"
 _PRICE_REJECT = rf"(?i)\b(?:{lx.PRICE_REJECT_WORDS})[\s:.\-#]*$"
 
 
-def prices(text: Column) -> Column:
+def prices(text: Column | str) -> Column:
     """Priced amounts: raw text, ISO currency and value. Amounts are never converted."""
+    t = sql_of(text)
     groups = []
     for marker, iso, symbol in lx.PRICE_MARKERS:
         m = re.escape(marker)
@@ -84,23 +69,18 @@ def prices(text: Column) -> Column:
         else:
             edge = r"(?<![A-Za-z])" if marker == "Rs" else r"\b"
             patterns = [rf"{edge}{m}\.?\s?{NUMBER}", rf"{NUMBER}\s?{edge}{m}\b"]
-        for p in patterns:
-            hits = F.transform(
-                F.filter(find_spans(text, p, before=28), lambda s: ~s["before"].rlike(_PRICE_REJECT)),
-                lambda s: F.struct(
-                    F.trim(s["raw"]).alias("raw"), F.lit(iso).alias("currency"),
-                    F.when(s["raw"].contains(",,"), F.lit(None).cast("double")).otherwise(
-                        F.replace(F.regexp_extract(s["raw"], NUMBER, 0), F.lit(","), F.lit("")).try_cast("double")).alias("amount"),
-                ),
-            )
-            groups.append(F.when(text.contains(marker), hits).otherwise(empty(PRICE_DDL)))
-    found = F.filter(F.concat(*groups), lambda p: (p["amount"] > 0) & (p["amount"] < 1e12))
-    return distinct_by(found, lambda p: F.concat(p["raw"], F.lit("\t"), p["currency"]))
+        both = ", ".join(
+            f"transform(filter({find_spans(t, p, before=28)}, s -> NOT s.before RLIKE {quote(_PRICE_REJECT)}), s -> "
+            f"named_struct('raw', trim(s.raw), 'currency', '{iso}', 'amount', CASE WHEN contains(s.raw, ',,') THEN NULL ELSE "
+            f"try_cast(replace(regexp_extract(s.raw, {quote(NUMBER)}, 0), ',', '') AS double) END))" for p in patterns)
+        groups.append(_guarded(f"contains({t}, {quote(marker)})", f"concat({both})", PRICE_DDL))
+    found = f"filter(concat({', '.join(groups)}), p -> p.amount > 0 AND p.amount < 1e12)"
+    some = "|".join(re.escape(m) for m, _, _ in lx.PRICE_MARKERS)
+    return F.expr(_guarded(f"{t} RLIKE {quote(some)}", first_of_each(found, "concat(e.raw, '\t', e.currency)"), PRICE_DDL))
 
 
 # --- phones --------------------------------------------------------------
 PHONE_DDL = "struct<raw:string,normalized:string,country:string>"
-#: One entry per country: (country, patterns, normaliser of the digits).
 PHONE_PATTERNS = [
     r"\+91[\s\-]*[6-9]\d{4}[\s\-]*\d{5}",
     r"\+91[6-9]\d{9}",
@@ -108,96 +88,66 @@ PHONE_PATTERNS = [
     r"(?<!\d)0?[6-9]\d{4}[\s\-]?\d{5}(?!\d)",
 ]
 _PHONE_REJECT = rf"(?i)\b(?:{lx.PHONE_REJECT_WORDS})\b[\s:.\-#]*$"
+#: Canonical form of Indian digits ``_b.d``, null when they are no such number.
+INDIAN = ("CASE WHEN length(_b.d) = 12 AND startswith(_b.d, '91') THEN concat('+', _b.d) "
+          "WHEN length(_b.d) = 11 AND _b.d RLIKE '^0[6-9]' THEN concat('+91', right(_b.d, 10)) "
+          "WHEN length(_b.d) = 10 AND _b.d RLIKE '^[6-9]' THEN concat('+91', _b.d) END")
+#: One entry per country: (country, patterns, SQL that normalises the digits ``_b.d``).
+PHONE_STRATEGIES = [("IN", PHONE_PATTERNS, INDIAN)]
 
 
-def normalise_indian(digits: Column) -> Column:
-    n = F.length(digits)
-    return (F.when((n == 12) & digits.startswith("91"), F.concat(F.lit("+"), digits))
-            .when((n == 11) & digits.rlike("^0[6-9]"), F.concat(F.lit("+91"), F.right(digits, F.lit(10))))
-            .when((n == 10) & digits.rlike("^[6-9]"), F.concat(F.lit("+91"), digits)))
-
-
-PHONE_STRATEGIES = [("IN", PHONE_PATTERNS, normalise_indian)]
-
-
-def phones(text: Column, guard: bool = True, strategies=None) -> Column:
+def phones(text: Column | str, guard: bool = True, strategies=None) -> Column:
     """Phone numbers in canonical form; ``guard`` rejects numbers that follow an identifier word."""
+    t = sql_of(text)
     groups = []
     for country, patterns, normalise in strategies or PHONE_STRATEGIES:
         for p in patterns:
-            spans = find_spans(text, p, before=24)
+            spans = find_spans(t, p, before=24 if guard else 0)
             if guard:
-                spans = F.filter(spans, lambda s: ~s["before"].rlike(_PHONE_REJECT))
-            groups.append(F.transform(spans, lambda s: F.struct(
-                F.trim(s["raw"]).alias("raw"),
-                normalise(F.regexp_replace(s["raw"], r"\D", "")).alias("normalized"),
-                F.lit(country).alias("country"))))
-    found = distinct_by(F.filter(F.concat(*groups), lambda p: p["normalized"].isNotNull()), lambda p: p["normalized"])
-    return F.when(text.rlike(r"\d{5}"), found).otherwise(empty(PHONE_DDL))
+                spans = f"filter({spans}, s -> NOT s.before RLIKE {quote(_PHONE_REJECT)})"
+            canonical = bind(normalise, d="regexp_replace(s.raw, '[^0-9]', '')")
+            groups.append(f"transform({spans}, s -> named_struct('raw', trim(s.raw), 'normalized', {canonical}, 'country', '{country}'))")
+    found = first_of_each(f"filter(concat({', '.join(groups)}), p -> p.normalized IS NOT NULL)", "e.normalized")
+    return F.expr(_guarded(f"{t} RLIKE '[0-9]{{5}}'", found, PHONE_DDL))
 
 
 # --- one-time codes ------------------------------------------------------
 _CODE_REJECT = rf"(?i)\b(?:{lx.CODE_REJECT_WORDS})\b[\s:.\-#]*$"
 
 
-def codes(text: Column) -> Column:
+def codes(text: Column | str) -> Column:
     """One-time codes of 4, 5, 6 or 8 digits near a cue word.
 
     The reach of a cue is measured between cue and number.
     """
+    t = sql_of(text)
     near_before = "(?i)(?:" + "|".join(rf"{cue}[\s\S]{{0,{reach}}}$" for cue, reach in lx.CODE_CUES) + ")"
     near_after = "(?i)(?:" + "|".join(cue for cue, _ in lx.CODE_CUES) + ")"
-
-    def keep(s: Column) -> Column:
-        c = s["raw"]
-        day = F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2)).try_cast("date")
-        structured = (c.rlike(r"^(\d)\1+$") | c.rlike(r"^(?:19|20)\d{2}$")
-                      | ((F.length(c) == 8) & day.isNotNull()))
-        return (F.length(c).isin(4, 5, 6, 8) & ~F.right(s["before"], F.lit(28)).rlike(_CODE_REJECT)
-                & ~structured & (s["before"].rlike(near_before) | F.left(s["after"], F.lit(24)).rlike(near_after)))
-
-    spans = find_spans(text, r"(?<![\d.,])\d{4,8}(?![\d.,%])", before=44, after=24)
-    found = F.array_distinct(F.transform(F.filter(spans, keep), lambda s: s["raw"]))
-    return F.when(text.rlike(r"\d{4}"), found).otherwise(empty("string"))
+    keep = (f"length(s.raw) IN (4, 5, 6, 8) AND NOT right(s.before, 28) RLIKE {quote(_CODE_REJECT)} "
+            f"AND NOT s.raw RLIKE {quote(r'^(?:(.)' + chr(92) + r'1+|(?:19|20)' + chr(92) + 'd{2})$')} "
+            "AND NOT (length(s.raw) = 8 AND try_cast(concat_ws('-', substr(s.raw, 1, 4), substr(s.raw, 5, 2), substr(s.raw, 7, 2)) AS date) IS NOT NULL) "
+            f"AND (s.before RLIKE {quote(near_before)} OR s.after RLIKE {quote(near_after)})")
+    spans = find_spans(t, r"(?<![\d.,])\d{4,8}(?![\d.,%])", before=44, after=24)
+    return F.expr(_guarded(f"{t} RLIKE '[0-9]{{4}}'", f"array_distinct(transform(filter({spans}, s -> {keep}), s -> s.raw))", "string"))
 
 
 # --- dates ---------------------------------------------------------------
 DATE_DDL = "struct<raw:string,epoch_day:bigint,has_year:boolean>"
 
 
-def month_number(name: Column) -> Column:
-    short = F.left(F.lower(F.trim(name)), F.lit(3))
-    return F.array_position(F.array(*[F.lit(m[:3]) for m in lx.MONTH_NAMES]), short).cast("int")
+def month_sql(name: str) -> str:
+    months = ", ".join(f"'{m[:3]}'" for m in lx.MONTH_NAMES)
+    return f"int(array_position(array({months}), left(lower(trim({name})), 3)))"
 
 
-def safe_date(year: Column, month: Column, day: Column) -> Column:
+def date_sql(year: str, month: str, day: str) -> str:
     """Date from parts, null when no such day exists."""
-    return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"),
-                       F.lpad(day.cast("string"), 2, "0")).try_cast("date")
+    return f"try_cast(concat_ws('-', lpad({year}, 4, '0'), lpad({month}, 2, '0'), lpad({day}, 2, '0')) AS date)"
 
 
-def _window_year(raw: Column) -> Column:
-    return let(lambda st: (F.when(st["y"].between(1990, 2099), st["y"]).when(st["y"].between(90, 99), st["y"] + 1900)
-                           .when(st["y"].between(0, 49), st["y"] + 2000)), y=raw.try_cast("int"))
-
-
-def dates(text: Column, today: date) -> Column:
+def dates(text: Column | str, today: date) -> Column:
     """Dates in numeric and named forms; a year-less date counts only near ``today``."""
-    def part(pattern, group):
-        return lambda raw: F.regexp_extract(raw, pattern, group)
-
-    def entry(raw, year, month, day, has_year):
-        def build(st):
-            ok = st["y"].between(1990, 2100) & st["m"].between(1, 12) & st["d"].between(1, 31)
-            found = safe_date(st["y"], st["m"], st["d"])
-            return F.struct(F.trim(raw).alias("raw"), F.when(ok, F.unix_date(found).cast("bigint")).alias("epoch_day"), has_year.alias("has_year"))
-        return let(build, y=year, m=month, d=day)
-
-    def run(src, pattern, build, guard=None):
-        hits = F.transform(F.regexp_extract_all(src, F.lit(pattern), F.lit(0)), build)
-        found = F.filter(hits, lambda x: x["epoch_day"].isNotNull())
-        return F.when(src.rlike(guard), found).otherwise(empty(DATE_DDL)) if guard else found
-
+    t = sql_of(text)
     sep = r"\s*([/.\-])\s*"
     ymd = rf"\b(\d{{4}}){sep}(\d{{1,2}})\2\s*(\d{{1,2}})\b"
     compact8 = r"\b(\d{4})(\d{2})(\d{2})\b"
@@ -207,135 +157,133 @@ def dates(text: Column, today: date) -> Column:
     short_num = rf"(?<![\d/.\-])(\d{{1,2}}){sep}(\d{{1,2}})(?![\d/.\-])"
     short_day = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?[\s\-]+({MONTH_ALT})\.?\b"
     short_name = rf"(?i)\b({MONTH_ALT})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?\b"
+    close = ", ".join(str(m) for m in range(1, 13) if min(abs(m - today.month), 12 - abs(m - today.month)) <= 2)
 
-    def i(raw, pattern, group):
-        return F.regexp_extract(raw, pattern, group).try_cast("int")
+    def part(pattern: str, group: int) -> str:
+        return f"regexp_extract(r, {quote(pattern)}, {group})"
 
-    def full_year(raw, pattern, group):
-        return F.length(F.regexp_extract(raw, pattern, group)) == 4
+    def number(pattern: str, group: int) -> str:
+        return f"try_cast({part(pattern, group)} AS int)"
 
-    def build_dmy(raw):
-        a, b = i(raw, dmy, 1), i(raw, dmy, 3)
-        year, four = _window_year(F.regexp_extract(raw, dmy, 4)), full_year(raw, dmy, 4)
-        ambiguous = ~four & (a <= 12) & (b <= 12)
-        month, day = F.when(a > 12, b).otherwise(a), F.when(a > 12, a).otherwise(b)
-        return entry(raw, F.when(~ambiguous, year), month, day, four)
+    def entry(year: str, month: str, day: str, has_year: str) -> str:
+        ok = "_b.y BETWEEN 1990 AND 2100 AND _b.m BETWEEN 1 AND 12 AND _b.d BETWEEN 1 AND 31"
+        return bind(f"named_struct('raw', trim(r), 'epoch_day', CASE WHEN {ok} THEN bigint(unix_date({date_sql('_b.y', '_b.m', '_b.d')})) END, 'has_year', {has_year})",
+                    y=year, m=month, d=day)
 
-    dated = [
-        run(text, ymd, lambda r: entry(r, i(r, ymd, 1), i(r, ymd, 3), i(r, ymd, 4), F.lit(True)), r"\d{4}\s*[/.\-]"),
-        run(text, compact8, lambda r: entry(r, i(r, compact8, 1), i(r, compact8, 2), i(r, compact8, 3), F.lit(True)), r"\d{8}"),
-        run(text, dmy, build_dmy, r"\d\s*[/.\-]"),
-        run(text, day_name, lambda r: entry(r, _window_year(F.regexp_extract(r, day_name, 3)), month_number(F.regexp_extract(r, day_name, 2)),
-                                            i(r, day_name, 1), full_year(r, day_name, 3)), r"\d"),
-        run(text, name_day, lambda r: entry(r, _window_year(F.regexp_extract(r, name_day, 3)), month_number(F.regexp_extract(r, name_day, 1)),
-                                            i(r, name_day, 2), full_year(r, name_day, 3)), r"\d"),
-    ]
+    def window_year(pattern: str, group: int) -> str:
+        return bind("CASE WHEN _b.n BETWEEN 1990 AND 2099 THEN _b.n WHEN _b.n BETWEEN 90 AND 99 THEN _b.n + 1900 WHEN _b.n BETWEEN 0 AND 49 THEN _b.n + 2000 END",
+                    n=number(pattern, group))
+
+    def day_first(a: str, b: str) -> tuple[str, str]:
+        return f"CASE WHEN {a} > 12 THEN {b} ELSE {a} END", f"CASE WHEN {a} > 12 THEN {a} ELSE {b} END"
 
-    close = [m for m in range(1, 13) if min(abs(m - today.month), 12 - abs(m - today.month)) <= 2]
+    def run(src: str, pattern: str, build: str, guard: str | None = None) -> str:
+        found = f"filter(transform(regexp_extract_all({src}, {quote(pattern)}, 0), r -> {build}), d -> d.epoch_day IS NOT NULL)"
+        return _guarded(f"{src} RLIKE {quote(guard)}", found, DATE_DDL) if guard else found
 
-    def near(month):
-        return let(lambda st: F.when(st["m"].isin(close), st["m"]), m=month)
+    def four(pattern: str, group: int) -> str:
+        return f"length({part(pattern, group)}) = 4"
 
-    def mask(src, found):
-        return F.aggregate(found, src, lambda t, d: F.replace(t, d["raw"], F.lit("\x01")))
+    m, d = day_first(number(dmy, 1), number(dmy, 3))
+    certain = f"CASE WHEN {four(dmy, 4)} OR {number(dmy, 1)} > 12 OR {number(dmy, 3)} > 12 THEN {window_year(dmy, 4)} END"
+    dated = [
+        run(t, ymd, entry(number(ymd, 1), number(ymd, 3), number(ymd, 4), "true"), r"\d{4}\s*[/.\-]"),
+        run(t, compact8, entry(number(compact8, 1), number(compact8, 2), number(compact8, 3), "true"), r"\d{8}"),
+        run(t, dmy, entry(certain, m, d, four(dmy, 4)), r"\d\s*[/.\-]"),
+        run(t, day_name, entry(window_year(day_name, 3), month_sql(part(day_name, 2)), number(day_name, 1), four(day_name, 3))),
+        run(t, name_day, entry(window_year(name_day, 3), month_sql(part(name_day, 1)), number(name_day, 2), four(name_day, 3))),
+    ]
 
-    def build_short(raw):
-        a, b = i(raw, short_num, 1), i(raw, short_num, 3)
-        month, day = F.when(a > 12, b).otherwise(a), F.when(a > 12, a).otherwise(b)
-        month = F.when(~((a <= 12) & (b <= 12)), near(month))
-        return entry(raw, F.lit(today.year), month, day, F.lit(False))
+    def near(month: str) -> str:
+        return bind(f"CASE WHEN _b.q IN ({close}) THEN _b.q END", q=month)
 
-    year_less = [
-        (short_num, build_short),
-        (short_day, lambda r: entry(r, F.lit(today.year), near(month_number(F.regexp_extract(r, short_day, 2))), i(r, short_day, 1), F.lit(False))),
-        (short_name, lambda r: entry(r, F.lit(today.year), near(month_number(F.regexp_extract(r, short_name, 1))), i(r, short_name, 2), F.lit(False))),
+    m, d = day_first(number(short_num, 1), number(short_num, 3))
+    sure = f"CASE WHEN {number(short_num, 1)} > 12 OR {number(short_num, 3)} > 12 THEN {m} END"
+    year = str(today.year)
+    steps = [
+        (short_num, entry(year, near(sure), d, "false")),
+        (short_day, entry(year, near(month_sql(part(short_day, 2))), number(short_day, 1), "false")),
+        (short_name, entry(year, near(month_sql(part(short_name, 1))), number(short_name, 2), "false")),
     ]
 
-    def add_short(st, rest):
-        if not rest:
-            return st["found"]
-        pattern, build = rest[0]
-        more = run(st["left"], pattern, build)
-        return let(lambda s: let(lambda s2: add_short(s2, rest[1:]), found=F.concat(s["found"], s["more"]), left=mask(s["left"], s["more"])),
-                   found=st["found"], left=st["left"], more=more)
+    def masked(src: str, found: str) -> str:
+        return f"aggregate({found}, {src}, (t, d) -> replace(t, d.raw, '\\u0001'))"
 
-    found = let(lambda st: let(lambda s: add_short(s, year_less), found=st["found"], left=mask(st["text"], st["found"])),
-                found=F.concat(*dated), text=text)
-    return F.when(text.rlike(r"\d"), distinct_by(found, lambda d: d["raw"])).otherwise(empty(DATE_DDL))
+    # Text already read as a date is masked before the year-less forms look at it.
+    state = f"transform(array(struct(concat({', '.join(dated)}) AS found)), s0 -> struct(s0.found AS found, {masked(t, 's0.found')} AS rest))[0]"
+    for n, (pattern, build) in enumerate(steps, 1):
+        more = f"transform(array({state}), a{n} -> struct(a{n}.found AS found, a{n}.rest AS rest, {run(f'a{n}.rest', pattern, build)} AS more))"
+        state = f"transform({more}, s{n} -> struct(concat(s{n}.found, s{n}.more) AS found, {masked(f's{n}.rest', f's{n}.more')} AS rest))[0]"
+    return F.expr(_guarded(f"{t} RLIKE '[0-9]'", first_of_each(f"{state}.found", "e.raw"), DATE_DDL))
 
 
 # --- receipts ------------------------------------------------------------
 RECEIPT_DDL = "struct<merchant:string,amount:double,currency:string,category:string,raw_text:string>"
 
 
-def lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\r\n|\n|\r", -1), lambda x: F.trim(x)), lambda x: x != "")
+def lines_sql(text: str) -> str:
+    return f"filter(transform(split({text}, {quote(chr(13) + chr(10) + '|' + chr(10) + '|' + chr(13))}, -1), v -> trim(v)), v -> v <> '')"
+
+
+def _words_sql(text: str, words) -> str:
+    return f"{text} RLIKE {quote('|'.join(re.escape(w) for w in words))}"
 
 
-def receipt(text: Column) -> Column:
+def receipt(text: Column | str) -> Column:
     """Largest marked amount, merchant line and expense category; null without an amount."""
-    amounts = []
+    t = sql_of(text)
     number = r"[\d,]+\.?\d*"
+    amounts = []
     for k, (marker, iso, _) in enumerate(lx.PRICE_MARKERS):
         m = re.escape(marker)
-        for j, p in enumerate((rf"{m}\s*({number})", rf"({number})\s*{m}")):
-            found = F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x: F.struct(
-                F.replace(x, F.lit(","), F.lit("")).try_cast("double").alias("amount"),
-                F.lit(-(2 * k + j)).alias("order"), F.lit(iso).alias("currency")))
-            amounts.append(F.when(text.contains(marker), found).otherwise(empty("struct<amount:double,order:int,currency:string>")))
-    best = F.array_max(F.filter(F.concat(*amounts), lambda a: a["amount"] * 10 >= 1))
-
-    def category_of(source: Column) -> Column:
-        c = F.when(F.lit(False), F.lit(""))
-        for word, label in lx.EXPENSE_CATEGORIES:
-            c = c.when(source.contains(word), label)
-        return F.when(contains_any(source, [w for w, _ in lx.EXPENSE_CATEGORIES]), c)
-
-    def build(st: Column) -> Column:
-        by_word = F.filter(st["lines"], lambda x: contains_any(F.lower(x), lx.MERCHANT_WORDS))
-        texty = F.filter(st["lines"], lambda x: (F.length(x) >= 4) & x.rlike(r"\p{L}"))
-        merchant = F.coalesce(F.left(F.get(by_word, F.lit(0)), F.lit(80)), F.left(F.get(texty, F.lit(0)), F.lit(80)), F.get(st["lines"], F.lit(0)))
-        return let(lambda s: F.when((F.size(s["l"]) > 0) & s["best"].isNotNull(), F.struct(
-            s["m"].alias("merchant"), s["best"]["amount"].alias("amount"), s["best"]["currency"].alias("currency"),
-            let(lambda k: F.coalesce(category_of(k["m"]), category_of(k["t"])), m=F.lower(s["m"]), t=F.lower(text)).alias("category"),
-            F.left(text, F.lit(500)).alias("raw_text"))), m=merchant, best=st["best"], l=st["lines"])
-
-    return F.when(text.rlike(r"\d"), let(build, lines=lines(text), best=best))
+        both = ", ".join(
+            f"transform(regexp_extract_all({t}, {quote(p)}, 1), v -> named_struct('amount', try_cast(replace(v, ',', '') AS double), 'pos', {-(2 * k + j)}, 'currency', '{iso}'))"
+            for j, p in enumerate((rf"{m}\s*({number})", rf"({number})\s*{m}")))
+        amounts.append(_guarded(f"contains({t}, {quote(marker)})", f"concat({both})", "struct<amount:double,pos:int,currency:string>"))
+    best = f"array_max(filter(concat({', '.join(amounts)}), a -> a.amount * 10 >= 1))"
+    arms = " ".join(f"WHEN contains({{0}}, '{w}') THEN '{c}'" for w, c in lx.EXPENSE_CATEGORIES)
+    category = "CASE " + arms + " END"
+    merchant = (f"coalesce(left(get(filter(_r.l, v -> {_words_sql('lower(v)', lx.MERCHANT_WORDS)}), 0), 80), "
+                f"left(get(filter(_r.l, v -> length(v) >= 4 AND v RLIKE {quote(chr(92) + 'p{L}')}), 0), 80), get(_r.l, 0))")
+    named = bind(f"coalesce({category.format('_b.m')}, {category.format('_b.f')})", m="lower(_m.m)", f=f"lower({t})")
+    body = (f"transform(array(struct({merchant} AS m)), _m -> named_struct('merchant', _m.m, 'amount', _r.best.amount, 'currency', _r.best.currency, "
+            f"'category', {named}, 'raw_text', left({t}, 500)))[0]")
+    whole = f"transform(array(struct({lines_sql(t)} AS l, {best} AS best)), _r -> CASE WHEN size(_r.l) > 0 AND _r.best IS NOT NULL THEN {body} END)[0]"
+    some = "|".join(re.escape(m) for m, _, _ in lx.PRICE_MARKERS)
+    return F.expr(f"CASE WHEN {t} RLIKE {quote(some)} THEN {whole} END")
 
 
 # --- identifiers, e-mails, addresses --------------------------------------
 ORDER_DDL = "struct<kind:string,code:string>"
 
 
-def order_codes(text: Column) -> Column:
+def order_codes(text: Column | str) -> Column:
     """Order and booking codes: 6-20 capitals or digits after a cue word, with at least one digit."""
-    raws = F.regexp_extract_all(text, F.lit(lx.ORDER_CODE), F.lit(0))
-    items = F.transform(raws, lambda r: F.struct(
-        F.when(F.lower(r).contains("book") | F.lower(r).contains("pnr"), "BOOKING").otherwise("ORDER").alias("kind"),
-        F.regexp_extract(r, lx.ORDER_CODE, 1).alias("code")))
-    return F.array_distinct(F.filter(items, lambda x: x["code"].rlike(r"\d")))
+    t, q = sql_of(text), quote(lx.ORDER_CODE)
+    items = (f"transform(regexp_extract_all({t}, {q}, 0), r -> named_struct('kind', CASE WHEN contains(lower(r), 'book') OR contains(lower(r), 'pnr') "
+             f"THEN 'BOOKING' ELSE 'ORDER' END, 'code', regexp_extract(r, {q}, 1)))")
+    return F.expr(f"array_distinct(filter({items}, x -> x.code RLIKE '[0-9]'))")
 
 
-def emails(text: Column, limit: int = 2) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(lx.EMAIL_LOOSE), F.lit(0)), lambda e: F.regexp_replace(e, r"\s+", ""))
-    return F.when(text.contains("@"), F.slice(F.array_distinct(found), 1, limit)).otherwise(empty("string"))
+def emails(text: Column | str, limit: int = 2) -> Column:
+    t = sql_of(text)
+    found = f"transform(regexp_extract_all({t}, {quote(lx.EMAIL_LOOSE)}, 0), m -> regexp_replace(m, {quote(chr(92) + 's+')}, ''))"
+    return F.expr(_guarded(f"contains({t}, '@')", f"slice(array_distinct({found}), 1, {limit})", "string"))
 
 
-def addresses(text: Column, limit: int = 2) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(lx.STREET), F.lit(0)), lambda a: F.trim(a))
-    return F.slice(F.array_distinct(found), 1, limit)
+def addresses(text: Column | str, limit: int = 2) -> Column:
+    t = sql_of(text)
+    return F.expr(f"slice(array_distinct(transform(regexp_extract_all({t}, {quote(lx.STREET)}, 0), m -> trim(m))), 1, {limit})")
 
 
-def all_facts(text: Column, today: date) -> Column:
+def all_facts(text: Column | str, today: date) -> Column:
     """Every extractor in one struct. A null text gives empty lists, never a failed row."""
-    safe = F.coalesce(text, F.lit(""))
-    missing = F.when(text.isNull(), F.array(F.lit("text"))).otherwise(empty("string"))
+    t = sql_of(text)
+    safe = f"coalesce({t}, '')"
+    missing = F.expr(f"CASE WHEN {t} IS NULL THEN array('text') ELSE CAST(array() AS array<string>) END")
     return F.struct(
         urls(safe).alias("urls"), prices(safe).alias("prices"), phones(safe).alias("phones"),
         codes(safe).alias("codes"), dates(safe, today).alias("dates"), order_codes(safe).alias("orders"),
         emails(safe).alias("emails"), addresses(safe).alias("addresses"), receipt(safe).alias("receipt"),
         missing.alias("failures"),
     )
-
-
-__all__ = ["urls", "prices", "phones", "codes", "dates", "receipt", "order_codes", "emails", "addresses", "all_facts", "compact"]

@@ -1,11 +1,13 @@
 """Embeddings, categories, concepts, groups and summaries."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import lexicon as lx
 from ..functions import money, vectors as vec
-from ..functions.base import contains_any, index_tokens, let
+from ..functions.base import bind, index_tokens, let, quote
 
 MIN_SIMILARITY = 0.25
 
@@ -68,39 +70,36 @@ def expand_terms(terms: DataFrame, concepts: DataFrame, limit: int = 12) -> Data
     return fresh.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "word", "rank")
 
 
-def _assignment(n: int, category: str, total: float):
-    def row(s: Column) -> Column:
-        confidence = F.greatest(F.lit(0.15), F.least(F.lit(1.0), s["hit"] / total))
-        return F.when(s["hit"] + s["bonus"] >= 1.5, F.struct((-confidence).alias("o"), F.lit(n).alias("n"), F.lit(category).alias("category")))
+def _weight_sql(words: dict[str, float], text: str) -> str:
+    return " + ".join(f"CASE WHEN contains({text}, '{w}') THEN {v}D ELSE 0D END" for w, v in words.items())
+
 
-    return row
+def category_sql(text: str, hosts: str, has_price: str, has_code: str, limit: int = 3) -> str:
+    """SQL for the ranked categories of one row: ``array<struct<o, n, category>>`` with ``o = -confidence``."""
+    options = []
+    for n, (category, words, rule_hosts, host_weight, price_weight, code_weight) in enumerate(lx.CATEGORY_RULES):
+        bonus = ["0D"]
+        if rule_hosts:
+            bonus.append(f"CASE WHEN exists(_c.h, h -> h RLIKE {quote('|'.join(re.escape(h) for h in rule_hosts))}) THEN {host_weight}D ELSE 0D END")
+        if price_weight:
+            bonus.append(f"CASE WHEN _c.p THEN {price_weight}D ELSE 0D END")
+        if code_weight:
+            bonus.append(f"CASE WHEN _c.k THEN {code_weight}D ELSE 0D END")
+        body = (f"CASE WHEN _b.hit + _b.more >= 1.5D THEN named_struct('o', -greatest(0.15D, least(1D, _b.hit / {sum(words.values())}D)), 'n', {n}, 'category', '{category}') END")
+        options.append(bind(body, hit=_weight_sql(words, "_c.t"), more=" + ".join(bonus)))
+    other = "array(named_struct('o', -1D, 'n', 99, 'category', 'OTHER'))"
+    ranked = f"slice(array_sort(array_compact(array({', '.join(options)}))), 1, {limit})"
+    chosen = bind(f"CASE WHEN size(_b.r) > 0 THEN _b.r ELSE {other} END", r=ranked)
+    return (f"transform(array(struct(concat(' ', lower({text}), ' ') AS t, transform({hosts}, h -> lower(h)) AS h, {has_price} AS p, {has_code} AS k)), _c -> {chosen})[0]")
 
 
-def classify(rows: DataFrame, key: str, text: Column, hosts: Column, has_price: Column, has_code: Column, limit: int = 3) -> DataFrame:
+def classify(rows: DataFrame, key: str, text: str, hosts: str, has_price: str, has_code: str, limit: int = 3) -> DataFrame:
     """``(key, category, confidence, rank)`` from the keyword rules, OTHER when none reaches 1.5.
 
     The rule list is fixed and small, so it is unrolled into one projection: no join, no shuffle.
+    Arguments are SQL over ``rows``.
     """
-    def score(st: Column) -> Column:
-        options = []
-        for n, (category, words, rule_hosts, host_weight, price_weight, code_weight) in enumerate(lx.CATEGORY_RULES):
-            hit = F.lit(0.0)
-            for word, weight in words.items():
-                hit = hit + F.when(st["t"].contains(word), weight).otherwise(0.0)
-            bonus = F.lit(0.0)
-            if rule_hosts:
-                bonus = bonus + F.when(F.exists(st["h"], lambda h: contains_any(h, rule_hosts)), host_weight).otherwise(0.0)
-            if price_weight:
-                bonus = bonus + F.when(st["p"], price_weight).otherwise(0.0)
-            if code_weight:
-                bonus = bonus + F.when(st["c"], code_weight).otherwise(0.0)
-            options.append(let(_assignment(n, category, sum(words.values())), hit=hit, bonus=bonus))
-        ranked = F.slice(F.array_sort(F.array_compact(F.array(*options))), 1, limit)
-        other = F.array(F.struct(F.lit(-1.0).alias("o"), F.lit(99).alias("n"), F.lit("OTHER").alias("category")))
-        return let(lambda s: F.when(F.size(s["r"]) > 0, s["r"]).otherwise(other), r=ranked)
-
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    ranked = let(score, t=padded, h=F.transform(hosts, lambda h: F.lower(h)), p=has_price, c=has_code)
+    ranked = F.expr(category_sql(text, hosts, has_price, has_code, limit))
     return rows.select(key, F.posexplode(ranked).alias("rank", "r")).select(
         key, F.col("r.category").alias("category"), (-F.col("r.o")).alias("confidence"), (F.col("rank") + 1).alias("rank"))
 

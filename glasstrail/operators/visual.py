@@ -1,13 +1,14 @@
 """Perceptual hashes, palettes, layout and visual similarity."""
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import lexicon as lx
-from ..functions.base import contains_any, let
+from ..functions.base import bind, quote
 from ..functions.vectors import hamming
 from .components import connected_components
 
@@ -77,44 +78,27 @@ def text_coverage(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("capture_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(area) / F.lit(1e6))).alias("coverage"))
 
 
-def classify_type(text: Column, hosts: Column, has_price: Column, has_code: Column, width: Column, height: Column,
-                  coverage: Column, layout: Column) -> Column:
-    """Capture type and confidence from the fixed keyword families."""
-    def run(st: Column) -> Column:
-        options, scored = [], F.lit(False)
-        for n, (kind, words, rule_hosts, host_w, price_w, code_w, layouts) in enumerate(lx.TYPE_RULES):
-            s = F.lit(0.0)
-            for word, weight in words.items():
-                s = s + F.when(st["t"].contains(word), weight).otherwise(0.0)
-            if rule_hosts:
-                s = s + F.when(F.exists(st["h"], lambda h: contains_any(h, rule_hosts)), host_w).otherwise(0.0)
-            if price_w:
-                s = s + F.when(st["p"], price_w).otherwise(0.0)
-            if code_w:
-                s = s + F.when(st["c"], code_w).otherwise(0.0)
-            for name, weight in layouts.items():
-                s = s + F.when(st["l"] == name, weight).otherwise(0.0)
-            options.append(F.struct(F.round(s, 9).alias("s"), F.lit(-n).alias("n"), F.lit(kind).alias("kind")))
-        best = F.array_max(F.array(*options))
-        hits = F.lit(0)
-        for marker in lx.UI_MARKERS:
-            hits = hits + F.when(st["t"].contains(marker), 1).otherwise(0)
-        out = "struct<kind:string,confidence:double>"
-
-        def decide(b: Column) -> Column:
-            ui = b["u"] >= 2
-            s = b["b"]["s"]
-            photo = (st["cov"] < 0.02) & (s == 0)
-            return (F.when((st["w"] > 0) & (st["hh"] >= st["w"] * 2.8), F.struct(F.lit("LONG_SCREENSHOT"), F.lit(1.0)).cast(out))
-                    .when(photo, F.when(ui, F.struct(F.lit("APP_UI"), F.lit(0.5)).cast(out)).otherwise(F.struct(F.lit("PHOTO"), F.lit(0.4)).cast(out)))
-                    .when(((s < 1.5) | (s < 2.0)) & ui, F.struct(F.lit("APP_UI"), F.lit(0.5)).cast(out))
-                    .when(s < 1.5, F.struct(F.lit("OTHER"), F.lit(1.0)).cast(out))
-                    .otherwise(F.struct(b["b"]["kind"], F.greatest(F.lit(0.3), F.least(F.lit(1.0), s / 4.0))).cast(out)))
-
-        return let(decide, b=best, u=hits)
-
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    return let(run, t=padded, h=F.transform(hosts, lambda h: F.lower(h)), p=has_price, c=has_code, w=width, hh=height, cov=coverage, l=layout)
+def type_sql(text: str, hosts: str, has_price: str, has_code: str, width: str, height: str, coverage: str, layout: str) -> str:
+    """SQL for the capture type and its confidence, from the fixed keyword families."""
+    options = []
+    for n, (kind, words, rule_hosts, host_w, price_w, code_w, layout_w) in enumerate(lx.TYPE_RULES):
+        parts = [f"CASE WHEN contains(_c.t, '{w}') THEN {v}D ELSE 0D END" for w, v in words.items()]
+        if rule_hosts:
+            parts.append(f"CASE WHEN exists(_c.h, h -> h RLIKE {quote('|'.join(re.escape(h) for h in rule_hosts))}) THEN {host_w}D ELSE 0D END")
+        parts += [f"CASE WHEN _c.p THEN {price_w}D ELSE 0D END"] if price_w else []
+        parts += [f"CASE WHEN _c.k THEN {code_w}D ELSE 0D END"] if code_w else []
+        parts += [f"CASE WHEN _c.l = '{name}' THEN {v}D ELSE 0D END" for name, v in layout_w.items()]
+        options.append(f"named_struct('s', round({' + '.join(parts)}, 9), 'n', {-n}, 'kind', '{kind}')")
+    marks = " + ".join(f"CASE WHEN contains(_c.t, '{m}') THEN 1 ELSE 0 END" for m in lx.UI_MARKERS)
+    ui, photo = "named_struct('kind', 'APP_UI', 'confidence', 0.5D)", "named_struct('kind', 'PHOTO', 'confidence', 0.4D)"
+    decide = bind(
+        "CASE WHEN _c.w > 0 AND _c.hh >= _c.w * 2.8D THEN named_struct('kind', 'LONG_SCREENSHOT', 'confidence', 1D) "
+        f"WHEN _b.b.s < 2D AND _b.u >= 2 THEN {ui} WHEN _c.cov < 0.02D AND _b.b.s = 0 THEN {photo} "
+        "WHEN _b.b.s < 1.5D THEN named_struct('kind', 'OTHER', 'confidence', 1D) "
+        "ELSE named_struct('kind', _b.b.kind, 'confidence', greatest(0.3D, least(1D, _b.b.s / 4D))) END",
+        b=f"array_max(array({', '.join(options)}))", u=marks)
+    return (f"transform(array(struct(concat(' ', lower({text}), ' ') AS t, transform({hosts}, h -> lower(h)) AS h, {has_price} AS p, {has_code} AS k, "
+            f"{width} AS w, {height} AS hh, {coverage} AS cov, {layout} AS l)), _c -> {decide})[0]")
 
 
 # --- layout --------------------------------------------------------------

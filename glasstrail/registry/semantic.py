@@ -21,7 +21,7 @@ def categories(i: Inputs):
     facts = spread(i.cap.select("capture_id", "ocr_text")).select(
         "capture_id", "ocr_text", F.transform(x.urls(t), lambda u: u["host"]).alias("hosts"),
         (F.size(x.prices(t)) > 0).alias("has_price"), (F.size(x.codes(t)) > 0).alias("has_code"))
-    return op.classify(facts, "capture_id", t, F.col("hosts"), F.col("has_price"), F.col("has_code"))
+    return op.classify(facts, "capture_id", "ocr_text", "hosts", "has_price", "has_code")
 
 
 def features_sql(source: str, key: str, text: str) -> str:

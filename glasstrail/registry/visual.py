@@ -104,7 +104,7 @@ def capture_types(i: Inputs):
     facts = spread(i.cap.select("capture_id", "ocr_text", "width", "height")).select(
         "capture_id", "ocr_text", "width", "height", F.transform(x.urls(t), lambda u: u["host"]).alias("hosts"),
         (F.size(x.prices(t)) > 0).alias("p"), (F.size(x.codes(t)) > 0).alias("c"))
-    kind = op.classify_type(t, F.col("hosts"), F.col("p"), F.col("c"), F.col("width"), F.col("height"), F.lit(0.3), F.lit("NONE"))
+    kind = F.expr(op.type_sql("ocr_text", "hosts", "p", "c", "width", "height", "0.3D", "'NONE'"))
     return facts.select("capture_id", kind.alias("k")).select("capture_id", "k.kind", "k.confidence")
 
 
@@ -132,8 +132,8 @@ shared("near_edge", """
   SELECT a.dhash AS a, b.dhash AS b, bit_count(xor(a.dhash, b.dhash)) AS d FROM (SELECT DISTINCT dhash FROM vis) a JOIN (SELECT DISTINCT dhash FROM vis) b
   ON a.dhash < b.dhash AND bit_count(xor(a.dhash, b.dhash)) <= 8""")
 _COMPONENTS = """
-  WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM near_edge), reach(n, m) AS (
-    SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT r.n, CASE WHEN e.a = r.m THEN e.b ELSE e.a END FROM reach r JOIN e ON e.a = r.m OR e.b = r.m),
+  WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM near_edge), both_ways AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  reach(n, m) AS (SELECT a, b FROM both_ways UNION SELECT r.n, w.b FROM reach r JOIN both_ways w ON w.a = r.m),
   comp AS (SELECT n AS dhash, least(n, min(m)) AS g FROM reach GROUP BY n)"""
 
 
