@@ -51,10 +51,10 @@ def w_event_groups(i: Inputs):
 
 @query("w_price_history", """
   SELECT entity, seen_at, price, lag(price) OVER (PARTITION BY entity ORDER BY seen_at, price) AS before FROM (
-    SELECT DISTINCT l_partkey AS entity, CAST(epoch(o_orderdate) AS BIGINT) AS seen_at, round(l_extendedprice / l_quantity, 2) AS price FROM lineitem JOIN orders ON o_orderkey = l_orderkey)""")
+    SELECT DISTINCT l_partkey AS entity, CAST(epoch(o_orderdate) AS BIGINT) AS seen_at, l_extendedprice AS price FROM lineitem JOIN orders ON o_orderkey = l_orderkey)""")
 def w_price_history(i: Inputs):
     rows = i.lineitem.join(i.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
-        "l_partkey AS entity", "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate) AS seen_at", "round(l_extendedprice / l_quantity, 2) AS price")
+        "l_partkey AS entity", "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate) AS seen_at", "l_extendedprice AS price")
     return op.price_history(rows)
 
 
