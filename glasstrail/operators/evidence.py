@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import lexicon as lx
 from ..functions.base import bind, quote
 from ..functions.privacy import sensitive_kinds, sensitivity_level
+from ..session import checkpointed
 from ..weights import EvidenceWeights
 
 PRICE = r"(?i)(?:₹|\$|€|£)\s*[\d,]+(?:\.\d+)?|(?:rs|inr|usd|eur|gbp)\.?\s*[\d,]+(?:\.\d+)?"
@@ -38,9 +39,10 @@ def candidates(engine: DataFrame, fallback: DataFrame, captures: DataFrame, ques
 
     ``engine``/``fallback``: query_id, capture_id, engine_rank; ``questions``: query_id, entity, keyword, start_s, end_s.
     """
+    engine, fallback = checkpointed(engine), checkpointed(fallback)
     empty_ids = questions.select("query_id").join(engine.select("query_id"), "query_id", "left_anti")
     found = engine.unionByName(fallback.join(empty_ids, "query_id", "left_semi"))
-    names = edges.select("capture_id", F.lower("display").alias("label"), "normalized").distinct()
+    names = checkpointed(edges.select("capture_id", F.lower("display").alias("label"), "normalized").distinct())
     about = questions.filter("entity IS NOT NULL").select("query_id", F.lower("entity").alias("entity"))
     # Labels are matched once per distinct label, then spread to captures by equality.
     vocabulary = names.select("label", "normalized").distinct().join(F.broadcast(about), F.contains(F.col("label"), F.col("entity")) | (F.col("normalized") == F.col("entity")))
