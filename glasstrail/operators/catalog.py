@@ -4,6 +4,8 @@ Storage is append-only Parquet, so an update is a new snapshot computed by joins
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import lexicon as lx
@@ -115,6 +117,18 @@ def empty_copy(table: DataFrame) -> DataFrame:
     return table.limit(0)
 
 
+def wipe(tables: dict[str, DataFrame]) -> DataFrame:
+    """Row counts before and after every table is replaced by its empty copy."""
+    counts = []
+    for name, table in tables.items():
+        for stage, rows in (("before", table), ("after", empty_copy(table))):
+            n = F.count("*")
+            zero = F.lit(0).cast("bigint")
+            counts.append(rows.agg(n.alias("n")).select(F.lit(name).alias("tbl"), *[(F.col("n") if s == stage else zero).alias(s) for s in ("before", "after")]))
+    union = reduce(DataFrame.unionByName, counts)
+    return union.groupBy("tbl").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+
+
 def set_status(captures: DataFrame, target: str, when: Column) -> DataFrame:
     return captures.withColumn("status", F.when(when, target).otherwise(F.col("status")))
 

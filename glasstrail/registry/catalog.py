@@ -160,15 +160,12 @@ def rebuild_reset(i: Inputs):
     return op.rebuild_reset(i.cap).select("capture_id", "filename", "status", "ocr_text", "content_hash")
 
 
-@query("delete_all_data")
+@query("delete_all_data", """
+  SELECT 'captures' AS tbl, count(*) AS before, CAST(0 AS BIGINT) AS after FROM cap UNION ALL SELECT 'prices', count(*), 0 FROM price_f
+  UNION ALL SELECT 'urls', count(*), 0 FROM url_f UNION ALL SELECT 'phones', count(*), 0 FROM phone_f""")
 def delete_all_data(i: Inputs):
     """Rows before and after a wipe, per table."""
-    out = None
-    for name, df in (("captures", i.cap), ("prices", i.prices), ("urls", i.urls), ("phones", i.phones)):
-        row = (df.agg(F.count("*").alias("before")).withColumn("tbl", F.lit(name))
-               .crossJoin(op.empty_copy(df).agg(F.count("*").alias("after"))))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return op.wipe({"captures": i.cap, "prices": i.prices, "urls": i.urls, "phones": i.phones})
 
 
 # --- status changes ------------------------------------------------------

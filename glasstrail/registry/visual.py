@@ -12,9 +12,9 @@ from .core import Inputs, query, shared
 _NAMES = [c[0] for c in lx.COLORS]
 shared("vis", f"""
   WITH b AS (SELECT vec_id, label, list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << (62 - i)) ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings)
-  SELECT o_orderkey AS capture_id, label, xor(xor(h, 1::BIGINT << (o_custkey % 60)::INT), 1::BIGINT << ((o_orderkey // 500) % 53)::INT) AS dhash,
+  SELECT o_orderkey AS capture_id, label, xor(xor(h, 1::BIGINT << (o_custkey % 60)::INT), 1::BIGINT << ((o_orderkey // (SELECT count(*) FROM embeddings)) % 53)::INT) AS dhash,
     list_distinct([{_NAMES}[label % 11 + 1], {_NAMES}[o_orderkey % 11 + 1]]) AS colors, label % 3 = 0 AS is_dark, o_orderkey, o_custkey
-  FROM orders JOIN b ON b.vec_id = o_orderkey % 500""")
+  FROM orders JOIN b ON b.vec_id = o_orderkey % (SELECT count(*) FROM embeddings)""")
 
 
 def visuals(i: Inputs):
@@ -23,7 +23,9 @@ def visuals(i: Inputs):
         F.when(F.col("embedding")[k] > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), 62 - k).cast("bigint")))
     base = e.select(F.col("vec_id").alias("base_id"), "label", bits.alias("h"))
     names = F.array(*[F.lit(n) for n in _NAMES])
-    o = i.orders.select(F.col("o_orderkey").alias("capture_id"), F.col("o_custkey").alias("owner_id"), (F.col("o_orderkey") % 500).alias("base_id"))
+    size = e.agg(F.count("*").alias("n")).withColumn("scope", F.lit(1))
+    o = i.orders.select(F.col("o_orderkey").alias("capture_id"), F.col("o_custkey").alias("owner_id"), F.lit(1).alias("scope"))
+    o = o.join(F.broadcast(size), "scope").withColumn("base_id", F.col("capture_id") % F.col("n"))
     j = o.join(base, "base_id")
 
     def bit(n):
@@ -31,7 +33,7 @@ def visuals(i: Inputs):
 
     return j.select(
         "capture_id", "label",
-        F.col("h").bitwiseXOR(bit(F.col("owner_id") % 60)).bitwiseXOR(bit(F.floor(F.col("capture_id") / 500) % 53)).alias("dhash"),
+        F.col("h").bitwiseXOR(bit(F.col("owner_id") % 60)).bitwiseXOR(bit(F.floor(F.col("capture_id") / F.col("n")) % 53)).alias("dhash"),
         F.array_distinct(F.array(F.get(names, F.col("label") % 11), F.get(names, (F.col("capture_id") % 11).cast("int")))).alias("colors"),
         (F.col("label") % 3 == 0).alias("is_dark"))
 
