@@ -22,8 +22,8 @@ SHAPES = {
     "search_phrase_price": plan.make_query(6, "Pixel 9a for ₹39,999", ["pixel", "9a"], ["pixel 9a"], [plan.exact(39999.0)]),
     "search_domain": plan.make_query(7, "screenshots from amazon.in", hosts=["amazon.in"]),
 }
-OPERATORS = ["agg_index_stats", "agg_timeline", "agg_top_words", "x_prices", "p_redact", "p_classify", "w_sequences", "w_canonical", "fts_phrase", "sem_embed",
-             "vis_near_duplicates", "j_time_proximity", "g_normalize", "o_suggest", "c_followup_carry", "e_grounding"]
+OPERATORS = ["agg_index_stats", "agg_timeline", "agg_top_words", "x_prices", "p_redact", "p_classify", "w_canonical", "fts_phrase",
+             "j_time_proximity", "g_normalize", "o_suggest", "c_followup_carry", "e_grounding", "w_sequences", "sem_embed"]
 
 
 def batch_of(n: int) -> list[tuple]:

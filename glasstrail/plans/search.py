@@ -5,7 +5,7 @@ hosts, phones, codes, types, colors, long_only, sort. Documents carry their fact
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import extract as x
 from ..functions.scoring import lexical_sql
@@ -105,17 +105,17 @@ def candidates(docs: DataFrame, queries: DataFrame, prefix: bool = True) -> Data
 #: Structured filters that hold on every rung, over ``q`` and ``d``. Only the first host, phone, code and colour restrict.
 BASE_FILTER = f"""
   (q.start_s IS NULL OR (d.date_added >= q.start_s AND d.date_added < q.end_s))
-  AND (size(q.hosts) = 0 OR exists(d.hosts, h -> h = q.hosts[0] OR endswith(h, concat('.', q.hosts[0]))))
-  AND (size(q.phones) = 0 OR array_contains(d.phones, q.phones[0])) AND (size(q.codes) = 0 OR array_contains(d.codes, q.codes[0]))
+  AND (size(q.hosts) = 0 OR exists(d.hosts, h -> h = get(q.hosts, 0) OR endswith(h, concat('.', get(q.hosts, 0)))))
+  AND (size(q.phones) = 0 OR array_contains(d.phones, get(q.phones, 0))) AND (size(q.codes) = 0 OR array_contains(d.codes, get(q.codes, 0)))
   AND (size(q.types) = 0 OR arrays_overlap(d.types, q.types) OR (array_contains(q.types, 'DUPLICATES') AND d.duplicate_of IS NOT NULL))
   AND (NOT q.long_only OR (d.width > 0 AND d.height >= {LONG_ASPECT}D * d.width))
 """
 
 
 def _band(widen: float) -> str:
-    low = f"CASE WHEN q.prices[0].kind = 'EXACT' THEN q.prices[0].min * {1 - widen}D ELSE q.prices[0].min END"
-    high = f"CASE WHEN q.prices[0].kind = 'EXACT' THEN q.prices[0].max * {1 + widen}D ELSE q.prices[0].max END"
-    return (f"(size(q.prices) = 0 OR exists(d.prices, p -> (q.prices[0].currency IS NULL OR p.currency = q.prices[0].currency) "
+    low = f"CASE WHEN get(q.prices, 0).kind = 'EXACT' THEN get(q.prices, 0).min * {1 - widen}D ELSE get(q.prices, 0).min END"
+    high = f"CASE WHEN get(q.prices, 0).kind = 'EXACT' THEN get(q.prices, 0).max * {1 + widen}D ELSE get(q.prices, 0).max END"
+    return (f"(size(q.prices) = 0 OR exists(d.prices, p -> (get(q.prices, 0).currency IS NULL OR p.currency = get(q.prices, 0).currency) "
             f"AND p.amount >= {low} AND p.amount <= {high}))")
 
 
@@ -175,13 +175,32 @@ def sort_results(results: DataFrame, limit: int | None = 50) -> DataFrame:
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
+def query_literal(query: tuple) -> Column:
+    """One structured query as a constant struct."""
+    def texts(values) -> Column:
+        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+    price = "array<struct<kind:string,currency:string,min:double,max:double>>"
+    fields = [f.strip().split(" ")[0] for f in QUERY_DDL.replace(price, "p").split(",")]
+    values = []
+    for name, v in zip(fields, query):
+        if name == "prices":
+            item = [F.struct(*[F.lit(x) for x in p]) for p in v]
+            values.append(F.array(*item).cast(price) if item else F.array().cast(price))
+        elif isinstance(v, list):
+            values.append(texts(v))
+        else:
+            kind = "bigint" if name.endswith(("_s", "_id")) else "boolean" if name == "long_only" else "string"
+            values.append(F.lit(v).cast(kind))
+    return F.struct(*[v.alias(n) for n, v in zip(fields, values)])
+
+
 def scan_search(docs: DataFrame, query: tuple, limit: int = 50, now: int = NOW, weights: RelevanceWeights = RelevanceWeights()) -> DataFrame:
     """One ad hoc query by a single scan: no index, no shuffle, filters before facts.
 
     Text conditions become pattern tests on the stored columns, so only matching rows reach the fact extraction.
     """
-    spark = docs.sparkSession
-    q = spark.createDataFrame([query], QUERY_DDL).select(F.struct("*").alias("q"))
+    q = query_literal(query)
     terms = list(dict.fromkeys([*query[2], *[w for p in query[3] for w in p.split(" ")]]))
     rows = docs.filter(F.col("status") != "FAILED")
     if query[5] is not None:
@@ -193,8 +212,8 @@ def scan_search(docs: DataFrame, query: tuple, limit: int = 50, now: int = NOW,
         rows = rows.filter(F.lower("ocr_text").contains(host))
     if query[4]:
         rows = rows.filter(F.col("ocr_text").rlike("[0-9]"))
-    d = documents(rows).withColumn("scope", F.lit(1))
-    q = q.withColumn("scope", F.lit(1))
-    hit = d.select("scope", F.struct(*[c for c in d.columns if c != "scope"]).alias("d")).join(F.broadcast(q), "scope").filter(F.expr(f"{BASE_FILTER} AND {_band(0.0)}"))
+    # The query is a constant here, so the optimizer drops the conditions and the facts it does not ask for.
+    d = documents(rows)
+    hit = d.select(F.struct(*d.columns).alias("d"), q.alias("q")).filter(F.expr(f"{BASE_FILTER} AND {_band(0.0)}"))
     scored = hit.withColumn("s", F.expr(lexical_sql(now, weights))).select(F.col("d.capture_id").alias("capture_id"), F.col("s.score").alias("score"), F.col("d.date_added").alias("date_added"))
     return scored.orderBy(F.desc("score"), F.desc("date_added"), "capture_id").limit(limit)
