@@ -2,10 +2,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
-from .common import documents
+from . import bpe, mixing, quality, secrets, simhash
+from .common import checkpointed, documents
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -20,3 +20,30 @@ def query(fn):
 def op2_bpe(spark: SparkSession, root: str) -> DataFrame:
     docs = documents(spark, root, "doc_id", "text")
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+@query
+def op6_secrets(spark: SparkSession, root: str) -> DataFrame:
+    return secrets.scanned(documents(spark, root, "doc_id", "text"), keep=["doc_id"])
+
+
+@query
+def op7_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root, "doc_id", "source", "text")
+    counted = checkpointed(quality.with_counts(docs, keep=["doc_id", "source"]))
+    return quality.judge(counted, "source").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules", "host_rejected")
+
+
+@query
+def op8_mix(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root, "doc_id", "source", "text").withColumn("pick_hash", mixing.pick_hash("doc_id", "text"))
+    sized = checkpointed(mixing.with_sizes(docs, keep=["doc_id", "source", "pick_hash"]))
+    return mixing.mixed(sized).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query
+def op9_simhash(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root, "doc_id", "text")
+    prints = checkpointed(simhash.with_fingerprints(docs, keep=["doc_id"]))
+    return simhash.with_components(prints).select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
