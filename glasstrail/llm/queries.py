@@ -4,8 +4,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, quality, secrets, simhash
-from .common import checkpointed, documents
+from . import bpe, licenses, mixing, quality, rulefit, secrets, simhash, urls
+from .common import checkpointed, documents, held_out, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -16,12 +16,32 @@ def query(fn):
     return fn
 
 
+@query
+def op1_licenses(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.scanned(documents(spark, root, "doc_id", "text"), keep=["doc_id"])
+
+
 @query
 def op2_bpe(spark: SparkSession, root: str) -> DataFrame:
     docs = documents(spark, root, "doc_id", "text")
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+@query
+def op3_quality_model(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root, "doc_id", "text")
+    model = rulefit.trained(docs, table(spark, root, "labels", "doc_id", "quality"))
+    return rulefit.scored(docs, model, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_url_filter(spark: SparkSession, root: str) -> DataFrame:
+    return urls.judged(table(spark, root, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op4_url_filter"] = urls.oracle_sql()
+
+
 @query
 def op6_secrets(spark: SparkSession, root: str) -> DataFrame:
     return secrets.scanned(documents(spark, root, "doc_id", "text"), keep=["doc_id"])
