@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, licenses, mixing, quality, rulefit, secrets, simhash, urls
+from . import bpe, licenses, mixing, quality, rulefit, secrets, simhash, toxicity, urls, vectors
 from .common import checkpointed, documents, held_out, table
 
 QUERIES = {}
@@ -42,6 +42,11 @@ def op4_url_filter(spark: SparkSession, root: str) -> DataFrame:
 ORACLES["op4_url_filter"] = urls.oracle_sql()
 
 
+@query
+def op5_vector_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return vectors.deduplicated(table(spark, root, "embeddings", "vec_id", "embedding"))
+
+
 @query
 def op6_secrets(spark: SparkSession, root: str) -> DataFrame:
     return secrets.scanned(documents(spark, root, "doc_id", "text"), keep=["doc_id"])
@@ -67,3 +72,11 @@ def op9_simhash(spark: SparkSession, root: str) -> DataFrame:
     docs = documents(spark, root, "doc_id", "text")
     prints = checkpointed(simhash.with_fingerprints(docs, keep=["doc_id"]))
     return simhash.with_components(prints).select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root, "doc_id", "lang", "text")
+    net, thresholds = toxicity.trained(docs, table(spark, root, "labels", "doc_id", "toxic"))
+    return toxicity.scored(docs, net, thresholds, keep=["doc_id", "lang"]).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "flagged")
