@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import checkpointed
 from .components import components
 
-PARTS, CODES, EXPECTED, BLOCK, SEED = 2, 256, 18.0, 512, 17
+PARTS, CODES, EXPECTED, BLOCK, SEED = 2, 256, 32.0, 512, 17
 
 
 def limit_of(dims: int) -> float:
