@@ -2,8 +2,8 @@
 
 Sizes are word counts. Targets share a budget by weight, stop at a multiple of their source's size, and the excess is
 shared anew (water filling). Documents are counted by (source, exact size). Per source a bounded knapsack picks how many
-documents of each size are taken once more than the whole passes take: a proportional share of each size first, then
-larger sizes that still fit, then dynamic programming over the remaining budget, which is below the longest size. Which documents
+copies of each size are taken, each document at most ``most`` times: a proportional share of each size first, then
+larger sizes that still fit, then dynamic programming over the remaining budget, which a few of the longest or ``ROOM`` words bound. Which documents
 of a size are taken follows from a seeded hash, so reruns agree.
 
 Nothing is collected: the state of a source is one row per distinct size. Ranks inside one (source, size) are taken in
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import byte_texts, checkpointed, per_row
 
 BUCKETS = 1024
+#: Least budget, in words, that the exact knapsack fills; it is larger where one document is.
+ROOM = 100_000
 ADDED = pa.schema([("size", pa.int64())])
 
 
@@ -76,11 +78,12 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         more = min(counts[s] - taken[s], (rest - longest + s - 1) // s)
         taken[s] += more
         rest -= more * s
-    # leave room for a choice: one item of each size may go back into the knapsack
+    room = max(4 * longest, ROOM)  # what goes back into the knapsack, so that it has a choice
     for s in sorted(counts):
-        if taken[s] and rest + s <= 4 * longest:
-            taken[s] -= 1
-            rest += s
+        back = min(taken[s], (room - rest) // s) if s else 0
+        if back > 0:
+            taken[s] -= back
+            rest += back * s
     items, sums, steps, mask = [], 1, [], (1 << (rest + 1)) - 1
     for s in sorted(counts):
         left, chunk = min(counts[s] - taken[s], rest // s if s else 0), 1
@@ -98,15 +101,15 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     return taken
 
 
-FIT = "source string, size bigint, extra bigint"
+FIT = "source string, size bigint, copies bigint"
 
 
 def _fit_group(group):
     import pandas as pd
 
-    counts = dict(zip(group["size"].tolist(), group["n"].tolist()))
+    counts = dict(zip(group["size"].tolist(), (group["n"] * group["most"]).tolist()))
     taken = fit(counts, int(group["budget"].iloc[0]))
-    return pd.DataFrame({"source": [group["source"].iloc[0]] * len(taken), "size": list(taken), "extra": list(taken.values())})
+    return pd.DataFrame({"source": [group["source"].iloc[0]] * len(taken), "size": list(taken), "copies": list(taken.values())})
 
 
 def _prefixed(frame: DataFrame, *names: str):
@@ -114,7 +117,7 @@ def _prefixed(frame: DataFrame, *names: str):
     return frame.select(*[F.col(c).alias(f"r_{c}") for c in frame.columns]), [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in names]
 
 
-def mixed(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mixed(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2) -> DataFrame:
     """Rows with ``source``, ``size`` and ``pick_hash`` (a hash of what tells documents apart), and further columns, plus
     ``source_size``, ``target``, ``copies`` and ``taken`` (words). A document is taken 0, 1, ... up to ``most`` times."""
     bucket = F.pmod(F.shiftright("pick_hash", 40), F.lit(BUCKETS))
@@ -122,20 +125,22 @@ def mixed(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = (3.0, 1.
     counted = checkpointed(keyed.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))
     lengths = checkpointed(counted.groupBy("source", "size").agg(F.sum("n").alias("n")))
     goal = checkpointed(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most))
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("bigint")
-    goal = goal.withColumn("passes", passes).withColumn("budget", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("bigint"))
-    with_goal = lengths.withColumnRenamed("source", "of").join(goal, F.col("of").eqNullSafe(F.col("source"))).select("source", "size", "n", "budget")
-    chosen = checkpointed(with_goal.groupBy("source").applyInPandas(_fit_group, FIT))
+    goal = goal.withColumn("budget", F.round("target").cast("bigint"))
+    with_goal = lengths.withColumnRenamed("source", "of").join(goal, F.col("of").eqNullSafe(F.col("source"))).select("source", "size", "n", "budget", F.lit(int(most)).alias("most"))
+    chosen = with_goal.groupBy("source").applyInPandas(_fit_group, FIT)
+    right, on = _prefixed(chosen, "source", "size")
+    chosen = checkpointed(lengths.join(right, on).select("source", "size", F.expr("r_copies div n").alias("passes"), F.expr("r_copies % n").alias("extra")))
     order = Window.partitionBy("source", "size").orderBy("bucket")  # at most BUCKETS rows
     running = counted.withColumn("before", F.sum("n").over(order) - F.col("n"))
     right, on = _prefixed(chosen, "source", "size")
-    running = running.join(right, on).withColumn("extra", F.greatest(F.lit(0), F.least("n", F.col("r_extra") - F.col("before"))).cast("bigint")).select("source", "size", "bucket", "extra")
-    right, on = _prefixed(goal.select("source", "source_size", "target", "passes"), "source")
-    quota = checkpointed(running.join(right, on).select("source", "size", "bucket", "extra", *[F.col(f"r_{c}").alias(f"q_{c}") for c in ("source_size", "target", "passes")]))
+    running = running.join(right, on).withColumn("extra", F.greatest(F.lit(0), F.least("n", F.col("r_extra") - F.col("before"))).cast("bigint"))
+    running = running.select("source", "size", "bucket", "extra", F.col("r_passes").alias("passes"))
+    right, on = _prefixed(goal.select("source", "source_size", "target"), "source")
+    quota = checkpointed(running.join(right, on).select("source", "size", "bucket", "extra", "passes", F.col("r_source_size").alias("q_source_size"), F.col("r_target").alias("q_target")))
     right, on = _prefixed(quota, "source", "size", "bucket")
     place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("pick_hash"))
     placed = keyed.join(right, on).withColumn("place", place)
-    copies = (F.col("r_q_passes") + F.when(F.col("place") <= F.col("r_extra"), 1).otherwise(0)).cast("bigint")
+    copies = (F.col("r_passes") + F.when(F.col("place") <= F.col("r_extra"), 1).otherwise(0)).cast("bigint")
     return placed.select(*sized.columns, F.col("r_q_source_size").alias("source_size"), F.col("r_q_target").alias("target"), copies.alias("copies"),
                          (copies * F.col("size")).alias("taken"))
 

@@ -4,8 +4,8 @@ The filter directions are a structured random product code: the dimensions form
 unit vectors, and each choice of one per block, put together, is a direction, so CODES ** PARTS directions need only
 PARTS * CODES products. A vector is list-decoded to all directions whose product exceeds a limit: only code vectors that
 can still reach it with the best of the other block are combined. Vectors meet at shared directions and are verified
-by cosine in double precision. The limit gives a random vector about ``EXPECTED`` directions; at a cosine of 0.9 about a
-third of a vector's directions are shared, so nearly all pairs meet (recall is measured in the tests).
+by cosine in double precision. The limit gives a random vector about ``EXPECTED`` directions; at a cosine of 0.9 several
+of a vector's directions are shared, so nearly all pairs meet (the tests measure the recall).
 
 Equal vectors are one node with a multiplicity. A direction held by more than ``BLOCK`` vectors is cut into random blocks and
 every two blocks meet in a group of their own, so no group grows with the input. A pair that shares several directions counts at the least
@@ -25,25 +25,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import checkpointed
 from .components import components
 
-PARTS, CODES, EXPECTED, BLOCK, SEED = 2, 256, 32.0, 512, 17
+PARTS, CODES, EXPECTED, BLOCK, SEED = 2, 256, 64.0, 512, 17
 
 
-def limit_of(dims: int) -> float:
-    """The product a direction has to exceed: the tail of a normal of deviation 1 / sqrt(dims) that holds EXPECTED directions."""
-    from statistics import NormalDist
+#: Shorter vectors are turned into this many dimensions by an orthonormal map, which keeps their cosines.
+LEAST_DIMS = 32
 
-    return NormalDist().inv_cdf(1 - EXPECTED / CODES ** PARTS) / math.sqrt(dims)
 
+class Code:
+    """The product code for vectors of one length, and the limit that gives random vectors EXPECTED directions on average."""
 
-def code_book(dims: int) -> list:
-    import numpy as np
+    def __init__(self, dims: int):
+        import numpy as np
+
+        rng = np.random.default_rng([SEED, dims])
+        self.map = np.linalg.qr(rng.normal(size=(LEAST_DIMS, dims)))[0].T if dims < LEAST_DIMS else None
+        wide = max(dims, LEAST_DIMS)
+        self.book = []
+        for part in np.array_split(np.arange(wide), PARTS):
+            code = rng.normal(size=(CODES, len(part)))
+            self.book.append((part, code / np.linalg.norm(code, axis=1, keepdims=True) / math.sqrt(PARTS)))
+        probe = rng.normal(size=(100, wide))
+        sums = np.zeros((100, 1))
+        for part, code in self.book:
+            sums = (sums[:, :, None] + (probe / np.linalg.norm(probe, axis=1, keepdims=True))[:, part].dot(code.T)[:, None, :]).reshape(100, -1)
+        rank = int(100 * EXPECTED)
+        self.limit = float(-np.partition(-sums.ravel(), rank)[rank])
 
-    rng = np.random.default_rng([SEED, dims])
-    book = []
-    for part in np.array_split(np.arange(dims), PARTS):
-        code = rng.normal(size=(CODES, len(part)))
-        book.append((part, code / np.maximum(np.linalg.norm(code, axis=1, keepdims=True), 1e-12) / math.sqrt(PARTS)))
-    return book
+    def directions(self, vectors) -> list:
+        return decode(vectors if self.map is None else vectors @ self.map, self.book, self.limit)
 
 
 def decode(vectors, book, limit: float) -> list:
@@ -80,26 +90,26 @@ def _unit(values, dims: int):
 
 
 def with_directions(nodes: DataFrame) -> DataFrame:
-    """``(node, directions)``: numbers of all directions each vector exceeds, with its length mixed in."""
+    """``(node, dims, directions)``: each vector's length and the numbers of all directions it exceeds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        books: dict[int, tuple] = {}
+        codes: dict[int, Code] = {}
         for batch in batches:
             vectors, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             by_length: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
                 by_length.setdefault(len(v), []).append(i)
             for dims, rows in by_length.items():
-                if dims not in books:
-                    books[dims] = (code_book(dims), limit_of(dims))
+                if dims not in codes:
+                    codes[dims] = Code(dims)
                 for s in range(0, len(rows), 2000):
                     part = rows[s:s + 2000]
-                    found = decode(_unit([vectors[i] for i in part], dims), *books[dims])
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in part], pa.int64()),
-                                                      pa.array([(f + np.int64(dims) * CODES ** PARTS).tolist() for f in found], pa.list_(pa.int64()))], ["node", "directions"])
+                    found = codes[dims].directions(_unit([vectors[i] for i in part], dims))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in part], pa.int64()), pa.array([dims] * len(part), pa.int32()),
+                                                      pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["node", "dims", "directions"])
 
-    return nodes.select("node", "vector").mapInArrow(run, "node bigint, directions array<bigint>")
+    return nodes.select("node", "vector").mapInArrow(run, "node bigint, dims int, directions array<int>")
 
 
 def _local_roots(i, j, n: int):
@@ -163,8 +173,8 @@ def _verified(least: float):
         for batch in batches:
             out = []
             columns = [c.to_pylist() for c in batch.columns]
-            for direction, a, b, node, side, weight, vector, directions in zip(*columns):
-                key = (direction, a, b)
+            for dims, direction, a, b, node, side, weight, vector, directions in zip(*columns):
+                key = (direction, a, b, dims)
                 if held and held[0][0] != key:
                     out += done()
                     held.clear()
@@ -181,17 +191,17 @@ def _verified(least: float):
 def linked(nodes: DataFrame, least: float = 0.9, block: int = BLOCK) -> DataFrame:
     """``(node, links, root)`` rows of ``(node, vector, weight)``: partial counts and local component roots, to be summed."""
     listed = checkpointed(with_directions(nodes))
-    each = listed.select("node", F.explode("directions").alias("direction"))
-    sizes = checkpointed(each.groupBy("direction").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    each = listed.select("node", "dims", F.explode("directions").alias("direction"))
+    sizes = checkpointed(each.groupBy("dims", "direction").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node", "direction"), F.col("blocks")).cast("int")
-    met = each.join(sizes, "direction").withColumn("blocks", blocks).withColumn("own", own)
+    met = each.join(sizes, ["dims", "direction"]).withColumn("blocks", blocks).withColumn("own", own)
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("node", "direction", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+    met = met.select("node", "dims", "direction", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
                      F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    whole = nodes.join(listed, "node")
-    rows = met.join(whole, "node").select("direction", "a", "b", "node", "side", "weight", "vector", "directions")
-    dealt = rows.repartition("direction", "a", "b").sortWithinPartitions("direction", "a", "b")
+    whole = nodes.join(listed.drop("dims"), "node")
+    rows = met.join(whole, "node").select("dims", "direction", "a", "b", "node", "side", "weight", "vector", "directions")
+    dealt = rows.repartition("dims", "direction", "a", "b").sortWithinPartitions("dims", "direction", "a", "b")
     return dealt.mapInArrow(_verified(least), MET)
 
 
