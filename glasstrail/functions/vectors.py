@@ -6,26 +6,24 @@ from pyspark.sql import Column, functions as F
 from .base import let
 
 DIMENSION = 512
-MAX_WORDS = 400
-MAX_CHARS = 4000
 MODEL, VERSION = "hashed-ngram", "1"
 
 
 def embeddable_text(text: Column, filename: Column) -> Column:
     base = F.when(filename.contains("."), F.regexp_replace(filename, r"\.[^.]*$", "")).otherwise(filename)
     name = F.trim(F.regexp_replace(F.regexp_replace(base, r"[_\-]+", " "), "(?i)screenshot", " "))
-    return F.left(F.when(name == "", text).otherwise(F.concat(text, F.lit("\n"), name)), F.lit(MAX_CHARS))
+    return F.when(name == "", text).otherwise(F.concat(text, F.lit("\n"), name))
 
 
 def features(text: Column) -> Column:
-    """Words, word pairs and padded character trigrams of the first words."""
-    words = F.slice(F.filter(
+    """Words, word pairs and padded character trigrams of the whole text."""
+    words = F.filter(
         F.transform(F.split(F.lower(text), r"\s+", -1), lambda w: F.regexp_replace(w, r"[^\p{L}\p{Nd}]", "")),
-        lambda w: F.length(w) >= 2), 1, MAX_WORDS)
+        lambda w: F.length(w) >= 2)
 
     def build(st: Column) -> Column:
         w = st["w"]
-        pairs = F.transform(F.slice(w, 2, MAX_WORDS), lambda b, i: F.concat(F.get(w, i), F.lit(" "), b))
+        pairs = F.transform(F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda b, i: F.concat(F.get(w, i), F.lit(" "), b))
         grams = F.flatten(F.transform(w, lambda x: F.transform(
             F.sequence(F.lit(0), F.length(x) - 1),
             lambda k: F.substring(F.concat(F.lit("^"), x, F.lit("$")), k + 1, F.lit(3)))))

@@ -12,7 +12,6 @@ from ..functions.base import text_array
 CONFIDENCE = {"PRODUCT": 0.7, "WEBSITE": 0.9, "COMPANY": 0.6, "PRICE": 0.9, "ORDER": 0.8, "BOOKING": 0.8, "CATEGORY": 0.8, "DATE": 0.7}
 KIND = {"PRODUCT": "MENTIONS", "WEBSITE": "FOUND_ON", "COMPANY": "SOLD_BY", "PRICE": "PRICED_AT", "ORDER": "MENTIONS", "BOOKING": "MENTIONS",
         "CATEGORY": "BELONGS_TO", "DATE": "OCCURRED_ON"}
-CAPS = {"PRODUCT": 8, "PRICE": 8, "ORDER": 6, "BOOKING": 6, "DATE": 6}
 
 
 def product_name(raw: Column) -> Column:
@@ -66,13 +65,10 @@ def entity_refs(phrases: DataFrame, urls: DataFrame, prices: DataFrame, dates: D
 
 
 def build_edges(refs: DataFrame) -> DataFrame:
-    """``(capture_id, entity_id, type, normalized, display, kind, confidence)``; long lists keep their first entries."""
-    w = Window.partitionBy("capture_id", "type").orderBy("pos", "normalized")
-    cap = F.create_map(*[F.lit(v) for kv in CAPS.items() for v in kv])
+    """``(capture_id, entity_id, type, normalized, display, kind, confidence)``."""
     kind = F.create_map(*[F.lit(v) for kv in KIND.items() for v in kv])
     sure = F.create_map(*[F.lit(v) for kv in CONFIDENCE.items() for v in kv])
-    kept = refs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.coalesce(F.try_element_at(cap, F.col("type")), F.lit(1 << 30)))
-    return kept.select("capture_id", entity_id().alias("entity_id"), "type", "normalized", "display", kind[F.col("type")].alias("kind"), sure[F.col("type")].alias("confidence"))
+    return refs.select("capture_id", entity_id().alias("entity_id"), "type", "normalized", "display", kind[F.col("type")].alias("kind"), sure[F.col("type")].alias("confidence"))
 
 
 def entity_id() -> Column:

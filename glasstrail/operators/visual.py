@@ -235,7 +235,9 @@ def copy_from_canonical(captures: DataFrame, visuals: DataFrame) -> DataFrame:
     cols = [c for c in visuals.columns if c != "capture_id"]
     own = captures.select("capture_id", "duplicate_of").join(visuals, "capture_id", "left")
     source = visuals.select(F.col("capture_id").alias("duplicate_of"), F.struct(*cols).alias("s"), F.lit(True).alias("from_canonical"))
-    joined = own.join(source, "duplicate_of", "left")
+    copies = own.filter(F.col("duplicate_of").isNotNull()).join(source, "duplicate_of", "left")
+    rest = own.filter(F.col("duplicate_of").isNull())  # most rows: they need no source and stay where they are
+    joined = copies.unionByName(rest.withColumn("s", F.lit(None).cast(source.schema["s"].dataType)).withColumn("from_canonical", F.lit(None).cast("boolean")))
     return joined.select("capture_id", *[F.coalesce(F.col(f"s.{c}"), F.col(c)).alias(c) for c in cols], F.coalesce("from_canonical", F.lit(False)).alias("copied")).filter(F.col(cols[0]).isNotNull())
 
 

@@ -13,13 +13,6 @@ def _any(col: str, words, fmt="{c} LIKE '%{w}%'") -> str:
     return "(" + " OR ".join(fmt.format(c=col, w=w.replace("_", "\\_")) + (" ESCAPE '\\'" if "_" in w else "") for w in words) + ")"
 
 
-@query("scan_catalog")
-def scan_catalog(i: Inputs):
-    """File listing of the data folder itself."""
-    found = op.scan_files(i.spark, i.root, include_all=True)
-    return found.select("filename", "file_size")
-
-
 shared("file_names", """
   SELECT event_id, CASE event_id % 10 WHEN 0 THEN concat('Screenshot_', event_id, '.PNG') WHEN 1 THEN concat('IMG_', event_id, '.jpg')
       WHEN 2 THEN concat('my_screenshot_', event_id, '.jpeg') WHEN 3 THEN concat('scr_', event_id, '.gif') WHEN 4 THEN concat('notes', event_id)

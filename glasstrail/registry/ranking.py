@@ -172,7 +172,7 @@ _COLLAPSE_IN = "SELECT query_id, capture_id, score, date_added, CASE WHEN captur
 
 
 @query("collapse_duplicates", f"""
-  WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date_added DESC, capture_id) AS rn, left(ocr_text, 200) AS txt FROM ({_COLLAPSE_IN})),
+  WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date_added DESC, capture_id) AS rn, ocr_text AS txt FROM ({_COLLAPSE_IN})),
     h AS (SELECT *, CASE WHEN content_hash IS NOT NULL THEN min(rn) OVER (PARTITION BY query_id, content_hash) END AS hrep FROM r),
     p AS (SELECT *, CASE WHEN content_hash IS NULL THEN rn = min(CASE WHEN content_hash IS NULL THEN rn END) OVER (PARTITION BY query_id, txt)
         AND rn < coalesce(min(CASE WHEN hrep = rn THEN rn END) OVER (PARTITION BY query_id, txt), 1e12) ELSE hrep = rn END AS is_rep FROM h),

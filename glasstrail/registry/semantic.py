@@ -29,7 +29,7 @@ def features_sql(source: str, key: str, text: str) -> str:
     return f"""
       SELECT {key}, unnest(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))),
           flatten(list_transform(w, lambda v: list_transform(range(1, length(v) + 1), lambda k: substr(concat('^', v, '$'), k, 3)))))) AS feature
-      FROM (SELECT {key}, list_filter(list_transform(string_split_regex(lower({text}), '\\s+'), lambda v: regexp_replace(v, '[^\\pL\\p{{Nd}}]', '', 'g')), lambda v: length(v) >= 2)[1:400] AS w FROM {source})"""
+      FROM (SELECT {key}, list_filter(list_transform(string_split_regex(lower({text}), '\\s+'), lambda v: regexp_replace(v, '[^\\pL\\p{{Nd}}]', '', 'g')), lambda v: length(v) >= 2) AS w FROM {source})"""
 
 
 def embed_sql(source: str, key: str, text: str) -> str:

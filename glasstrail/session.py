@@ -18,6 +18,7 @@ def build_session(app: str = "glasstrail", cpus: int | None = None) -> SparkSess
         .config("spark.driver.memory", os.environ.get("GLASSTRAIL_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.glasstrail.partitions", str(cores))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -28,8 +29,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared checkpoint folder the cluster names; set a local one only where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a local one only where driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -55,9 +55,12 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before CPU-heavy work; large inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Deal rows out anew before CPU-heavy work, if the session asks for it by ``spark.glasstrail.partitions``.
+
+    Unset, as on a cluster, the splits of the scan stay. The local session sets it, because its tables are single small files.
+    """
+    partitions = df.sparkSession.conf.get("spark.glasstrail.partitions", None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def facts_of(captures: DataFrame, facts: Column, *fields: str) -> DataFrame:

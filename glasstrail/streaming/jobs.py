@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,15 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import extract as x
 from ..operators import rules
+from ..session import shared_folder
 from ..sources.captures import TODAY, derived_captures
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared storage the cluster names, or a local one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
-    return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
+    """A fresh folder in the shared storage the cluster names."""
+    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def source(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -91,18 +88,29 @@ def live_search(captures: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Sessions per user. Append mode: a session appears once the watermark has passed its end."""
+    """Sessions per user, the open ones included: complete output, of which the newest batch counts."""
     stream = events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
     grouped = stream.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"))
-    return run_to_files(grouped.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n"), "sessions")
+    flat = grouped.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+    folder = run_batches(flat, "sessions", overwrite_batch, "complete")
+    return last_batch(events.sparkSession, folder)
+
+
+def last_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """What the newest batch of a complete output holds."""
+    rows = spark.read.parquet(f"{folder}/out")
+    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row
 
 
 def day_timeline(events: DataFrame, delay: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Events per day, or per sliding day."""
+    """Events per day, or per sliding day, the days still open included."""
     stream = events.select("event_type", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
     window = F.window("ts", "1 day") if slide is None else F.window("ts", "1 day", slide)
     grouped = stream.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return run_to_files(grouped.select(F.to_date("w.start").alias("day"), F.col("w.start").alias("start"), "event_type", "n"), "timeline")
+    flat = grouped.select(F.to_date("w.start").alias("day"), F.col("w.start").alias("start"), "event_type", "n")
+    folder = run_batches(flat, "timeline", overwrite_batch, "update")
+    rows = events.sparkSession.read.parquet(f"{folder}/out")
+    return rows.groupBy("day", "start", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 def rules_once(contexts: DataFrame, rule_table: DataFrame) -> DataFrame:

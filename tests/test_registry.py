@@ -23,7 +23,7 @@ def con():
 
 def test_every_counterpart_has_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
-    assert len(entry_module.queries()) >= 242
+    assert len(entry_module.queries()) >= 241
 
 
 def test_entry(spark):
