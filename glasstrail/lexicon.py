@@ -324,3 +324,10 @@ LEAK = r"(?i)\b(otp|password|pin|cvv|aadhaar|pan)\s*[:#-]?\s*\S"
 EMAIL_LOOSE = r"[a-zA-Z0-9._%+-]+\s*@\s*[a-zA-Z0-9.-]+\s*\.\s*[a-zA-Z]{2,}"
 STREET = r"\d{1,5}\s+[A-Za-z][A-Za-z .-]{3,40}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Nagar|Colony|Layout|Marg|Chowk)"
 ORDER_CODE = r"(?i:order|booking|pnr|confirmation|reservation|transaction|awb|tracking)[\s:#.\-]*([A-Z0-9]{6,20})\b"
+
+# Layout thresholds on a screen of 1000 by 1000 units. Fixed values.
+LAYOUT = {
+    "chat_width": (60, 620), "chat_height": (8, 120), "chat_boxes": 4, "chat_rows": 4, "chat_per_row": 2, "chat_turns": 3, "middle": 500,
+    "table_per_row": 3, "table_rows": 2, "table_edge": 30, "receipt_boxes": 5, "receipt_width": (60, 560), "receipt_left": (300, 700),
+    "form_boxes": 6, "form_rows": 5, "form_width": 620, "form_edge": 60, "article_boxes": 6, "article_width": 700, "article_height": (10, 60), "least_boxes": 3,
+}

@@ -4,12 +4,12 @@ from __future__ import annotations
 import re
 from itertools import combinations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import lexicon as lx
 from ..functions.base import bind, quote
 from ..functions.vectors import hamming
+from ..session import checkpointed
 from .components import connected_components
 
 NEAR_DUPLICATE_BITS, SIMILAR_BITS, VISUAL_ONLY_BITS = 8, 20, 24
@@ -102,66 +102,54 @@ def type_sql(text: str, hosts: str, has_price: str, has_code: str, width: str, h
 
 
 # --- layout --------------------------------------------------------------
-def _rows(blocks: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int, int, int]]]:
-    rows: list[list[tuple[int, int, int, int]]] = []
-    for b in sorted(blocks, key=lambda r: (r[1] + r[3]) // 2):
-        for row in rows:
-            if any(0 < (o := min(m[3], b[3]) - max(m[1], b[1])) and o >= min(m[3] - m[1], b[3] - b[1]) // 2 for m in row):
-                row.append(b)
-                break
-        else:
-            rows.append([b])
-    return rows
-
-
-def layout_of(blocks: list[tuple[int, int, int, int]]) -> str:
-    """Layout of one screen from its text boxes (left, top, right, bottom)."""
-    n = len(blocks)
-    if n < 3:
-        return "NONE"
-
-    def width(b):
-        return b[2] - b[0]
-
-    def height(b):
-        return b[3] - b[1]
-
-    def mid(b):
-        return (b[0] + b[2]) // 2
-
-    talk = _rows([b for b in blocks if 60 <= width(b) <= 620 and 8 <= height(b) <= 120])
-    if sum(map(len, talk)) >= 4 and len(talk) >= 4 and sum(len(r) <= 2 for r in talk) >= len(talk) * 2 // 3:
-        sides = [min(mid(b) for b in r) < 500 for r in sorted(talk, key=lambda r: min(b[1] for b in r))]
-        if sum(a != b for a, b in zip(sides, sides[1:])) >= 3:
-            return "CHAT_BUBBLES"
-    rows = _rows(blocks)
-    lefts = [min(b[0] for b in r) for r in rows]
-    if len(rows) >= 2 and sum(len(r) >= 3 for r in rows) >= 2 and sum(sum(abs(o - e) <= 30 for o in lefts) >= 2 for e in lefts) >= 2:
-        return "TABLE"
-    if n >= 5 and sum(60 <= width(b) <= 560 for b in blocks) >= n * 2 // 3 and sum(mid(b) > 500 or 300 <= b[0] <= 700 for b in blocks) >= n // 2:
-        return "RECEIPT_LIKE"
-    if n >= 6 and len(rows) >= 5:
-        widest = sorted(max(width(b) for b in r) for r in rows)[len(rows) // 2]
-        anchor = sorted(lefts)[len(lefts) // 2]
-        if widest <= 620 and sum(abs(e - anchor) <= 60 for e in lefts) >= len(lefts) * 2 // 3:
-            return "FORM_LIKE"
-    if n >= 6 and sum(width(b) > 700 and 10 <= height(b) <= 60 for b in blocks) >= n * 2 // 3:
-        return "ARTICLE"
-    return "NONE"
+def _box_rows(boxes: DataFrame) -> DataFrame:
+    """Rows of text as islands: a box opens a row if its middle half begins below the middle halves before it.
+
+    Two boxes whose heights overlap by half or more have overlapping middle halves, so they share a row.
+    """
+    core = boxes.withColumns({"core_top": F.col("top") + (F.col("bottom") - F.col("top")) / 4.0, "core_bottom": F.col("bottom") - (F.col("bottom") - F.col("top")) / 4.0})
+    order = Window.partitionBy("capture_id").orderBy("core_top", "core_bottom", "left", "right")
+    before = F.max("core_bottom").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = core.withColumn("opens", F.when(F.col("core_top") <= before, 0).otherwise(1))
+    numbered = opened.withColumn("row", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("capture_id", "row").agg(
+        F.count("*").alias("n"), F.min("left").alias("left"), F.max(F.col("right") - F.col("left")).alias("widest"), F.min("mid").alias("mid"))
 
 
 def layouts(blocks: DataFrame) -> DataFrame:
-    """``(capture_id, layout)``. Row grouping is greedy and order-dependent, so it runs per screen in Arrow batches.
+    """``(capture_id, layout)`` from text boxes: rows as islands, then counts per screen and one decision.
 
-    The boxes of one screen are the unit of work: a bounded list, collected into one row.
+    Everything is a window or an aggregation by screen; a screen's boxes are the largest group.
     """
-    per = blocks.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("top", "left", "right", "bottom"))).alias("b"))
-
-    @F.pandas_udf("string")
-    def detect(col: pd.Series) -> pd.Series:
-        return col.map(lambda bs: layout_of([(b["left"], b["top"], b["right"], b["bottom"]) for b in bs]))
-
-    return per.select("capture_id", detect("b").alias("layout"))
+    t = lx.LAYOUT
+    boxes = blocks.select("capture_id", "left", "top", "right", "bottom", (F.col("right") - F.col("left")).alias("w"), (F.col("bottom") - F.col("top")).alias("h"),
+                          F.floor((F.col("left") + F.col("right")) / 2).cast("int").alias("mid"))
+    share = lambda c: F.count_if(c)
+    screen = boxes.groupBy("capture_id").agg(
+        F.count("*").alias("boxes"), share(F.col("w").between(*t["receipt_width"])).alias("narrow"),
+        share((F.col("mid") > t["middle"]) | F.col("left").between(*t["receipt_left"])).alias("rightish"),
+        share((F.col("w") > t["article_width"]) & F.col("h").between(*t["article_height"])).alias("wide"))
+    one = Window.partitionBy("capture_id")
+    rows = _box_rows(boxes).withColumns({
+        "edges": F.count("*").over(one.orderBy("left").rangeBetween(-t["table_edge"], t["table_edge"])), "rows": F.count("*").over(one),
+        "by_width": F.row_number().over(one.orderBy("widest", "row")) - 1, "by_left": F.row_number().over(one.orderBy("left", "row")) - 1})
+    middle = F.expr("rows div 2")
+    rows = rows.withColumn("anchor", F.max(F.when(F.col("by_left") == middle, F.col("left"))).over(one))
+    lines = rows.groupBy("capture_id").agg(
+        F.count("*").alias("rows"), share(F.col("n") >= t["table_per_row"]).alias("full"), share(F.col("edges") >= 2).alias("aligned"),
+        F.max(F.when(F.col("by_width") == middle, F.col("widest"))).alias("widest"), share(F.abs(F.col("left") - F.col("anchor")) <= t["form_edge"]).alias("anchored"))
+    talk = _box_rows(boxes.filter(F.col("w").between(*t["chat_width"]) & F.col("h").between(*t["chat_height"])))
+    side = (F.col("mid") < t["middle"]).cast("int")
+    turns = talk.withColumn("turn", F.coalesce((side != F.lag(side).over(one.orderBy("row"))).cast("int"), F.lit(0)))
+    chat = turns.groupBy("capture_id").agg(F.sum("n").alias("talk_boxes"), F.count("*").alias("talk_rows"), share(F.col("n") <= t["chat_per_row"]).alias("short"), F.sum("turn").alias("turns"))
+    c = screen.join(lines, "capture_id").join(chat, "capture_id", "left").fillna(0, ["talk_boxes", "talk_rows", "short", "turns"])
+    is_chat = (F.col("talk_boxes") >= t["chat_boxes"]) & (F.col("talk_rows") >= t["chat_rows"]) & (F.col("short") >= F.expr("talk_rows * 2 div 3")) & (F.col("turns") >= t["chat_turns"])
+    is_table = (F.col("rows") >= t["table_rows"]) & (F.col("full") >= t["table_rows"]) & (F.col("aligned") >= 2)
+    is_receipt = (F.col("boxes") >= t["receipt_boxes"]) & (F.col("narrow") >= F.expr("boxes * 2 div 3")) & (F.col("rightish") >= F.expr("boxes div 2"))
+    is_form = (F.col("boxes") >= t["form_boxes"]) & (F.col("rows") >= t["form_rows"]) & (F.col("widest") <= t["form_width"]) & (F.col("anchored") >= F.expr("rows * 2 div 3"))
+    is_article = (F.col("boxes") >= t["article_boxes"]) & (F.col("wide") >= F.expr("boxes * 2 div 3"))
+    return c.select("capture_id", F.when(F.col("boxes") < t["least_boxes"], "NONE").when(is_chat, "CHAT_BUBBLES").when(is_table, "TABLE").when(is_receipt, "RECEIPT_LIKE")
+                    .when(is_form, "FORM_LIKE").when(is_article, "ARTICLE").otherwise("NONE").alias("layout"))
 
 
 # --- similarity ----------------------------------------------------------
@@ -203,16 +191,16 @@ def hamming_pairs(hashes: DataFrame, bits: int = NEAR_DUPLICATE_BITS, bands: int
     probes = distinct.select(F.col("dhash").alias("b"), F.explode(_band_keys(F.col("dhash"), bands, radius)).alias("k"))
     near = (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= bits)
     joined = stored.select("a", "k.band", "k.value").join(probes.select("b", "k.band", "k.value"), ["band", "value"]).filter(near)
-    return joined.select("a", "b").distinct().withColumn("distance", hamming(F.col("a"), F.col("b")))
+    return checkpointed(joined.select("a", "b").distinct().withColumn("distance", hamming(F.col("a"), F.col("b"))))  # several readers follow
 
 
-def near_duplicate_groups(visuals: DataFrame, bits: int = NEAR_DUPLICATE_BITS, bands: int = 5) -> DataFrame:
+def near_duplicate_groups(visuals: DataFrame, pairs: DataFrame | None = None, bits: int = NEAR_DUPLICATE_BITS, bands: int = 5) -> DataFrame:
     """``(capture_id, group_hash)`` for every capture with a near duplicate.
 
     Equal hashes collapse first, so a flood of exact copies costs one row; components run over distinct hashes.
     """
     per_hash = visuals.groupBy("dhash").agg(F.count("*").alias("n"))
-    pairs = hamming_pairs(per_hash, bits, bands)
+    pairs = hamming_pairs(per_hash, bits, bands) if pairs is None else pairs
     comp = connected_components(pairs.select("a", "b")).select(F.col("node").alias("dhash"), F.col("component").alias("group_hash"))
     copies = per_hash.filter("n > 1").join(comp, "dhash", "left_anti").select("dhash", F.col("dhash").alias("group_hash"))
     return visuals.select("capture_id", "dhash").join(comp.unionByName(copies), "dhash")

@@ -41,17 +41,25 @@ def at_most(amount: float, currency: str | None = "INR") -> tuple:
 
 
 def documents(captures: DataFrame) -> DataFrame:
-    """Captures with their facts as arrays, in one pass over the text."""
+    """Captures with their facts as arrays, in one pass over the text.
+
+    Optional columns: ``duplicate_of``, ``colors`` (palette names) and ``is_dark``, which adds dark or light to the colours.
+    """
     t = "ocr_text"
     base = spread(captures).filter(F.col("status") != "FAILED")
     facts = base.select("*", x.prices(t).alias("price_facts"), x.urls(t).alias("url_facts"), x.phones(t).alias("phone_facts"),
                         x.codes(t).alias("codes"), F.size(x.dates(t, TODAY)).alias("n_dates"))
     dup = "duplicate_of" if "duplicate_of" in captures.columns else "CAST(NULL AS BIGINT) AS duplicate_of"
+    colors = "coalesce(colors, CAST(array() AS array<string>))" if "colors" in captures.columns else "CAST(array() AS array<string>)"
+    if "is_dark" in captures.columns:
+        colors = f"concat({colors}, array_compact(array(CASE WHEN is_dark THEN 'dark' WHEN NOT is_dark THEN 'light' END)))"
+    repeated = "CASE WHEN duplicate_of IS NOT NULL THEN 'DUPLICATES' END, " if "duplicate_of" in captures.columns else ""
     return facts.selectExpr(
         "capture_id", "filename", t, "date_added", "content_hash", "width", "height", dup,
         "transform(price_facts, p -> named_struct('currency', p.currency, 'amount', p.amount)) AS prices",
-        "transform(url_facts, u -> u.host) AS hosts", "transform(phone_facts, p -> p.normalized) AS phones", "codes",
-        "array_compact(array(CASE WHEN size(url_facts) > 0 THEN 'URLS' END, CASE WHEN size(price_facts) > 0 THEN 'PRICES' END, "
+        "transform(url_facts, u -> u.host) AS hosts", "transform(phone_facts, p -> p.normalized) AS phones", "codes", f"{colors} AS colors",
+        f"array_compact(array({repeated}"
+        "CASE WHEN size(url_facts) > 0 THEN 'URLS' END, CASE WHEN size(price_facts) > 0 THEN 'PRICES' END, "
         "CASE WHEN n_dates > 0 THEN 'DATES' END, CASE WHEN size(phone_facts) > 0 THEN 'PHONES' END, CASE WHEN size(codes) > 0 THEN 'OTPS' END)) AS types")
 
 
@@ -73,6 +81,7 @@ def _query_keys(queries: DataFrame) -> DataFrame:
         WHEN size(codes) > 0 THEN array(concat('c:', codes[0]))
         WHEN start_s IS NOT NULL THEN transform(sequence({year.format(s='start_s')}, {year.format(s='end_s')}), y -> concat('y:', y))
         WHEN size(types) > 0 THEN transform(types, t -> concat('t:', t))
+        WHEN size(colors) > 0 THEN transform(colors, c -> concat('k:', lower(c))) WHEN long_only THEN array('s:LONG')
         WHEN size(terms) + size(phrases) = 0 AND size(prices) > 0 THEN transform(sequence({_BUCKET.format(a='prices[0].min * 0.9D')}, {_BUCKET.format(a='least(prices[0].max, 1e12D) * 1.1D')}), b -> concat('a:', b))
         ELSE CAST(array() AS array<string>) END) AS key""")
 
@@ -80,7 +89,8 @@ def _query_keys(queries: DataFrame) -> DataFrame:
 def _document_keys(docs: DataFrame) -> DataFrame:
     suffixes = F.flatten(F.transform("hosts", lambda h: F.transform(host_suffixes(h), lambda s: F.concat(F.lit("h:"), s))))
     rest = F.expr(f"""concat(transform(phones, p -> concat('p:', p)), transform(codes, c -> concat('c:', c)), array(concat('y:', {_YEAR.format(s='date_added')})),
-        transform(types, t -> concat('t:', t)), transform(prices, p -> concat('a:', {_BUCKET.format(a='p.amount')})))""")
+        transform(types, t -> concat('t:', t)), transform(colors, c -> concat('k:', c)),
+        CASE WHEN width > 0 AND height >= {LONG_ASPECT}D * width THEN array('s:LONG') ELSE CAST(array() AS array<string>) END, transform(prices, p -> concat('a:', {_BUCKET.format(a='p.amount')})))""")
     return docs.select("capture_id", F.explode(F.array_distinct(F.concat(suffixes, rest))).alias("key"))
 
 
@@ -102,12 +112,12 @@ def candidates(docs: DataFrame, queries: DataFrame, prefix: bool = True) -> Data
     return union.groupBy("query_id", "capture_id").agg(*[F.max(n).alias(n) for n, _ in flags])
 
 
-#: Structured filters that hold on every rung, over ``q`` and ``d``. Only the first host, phone, code and colour restrict.
+#: Structured filters that hold on every rung, over ``q`` and ``d``. Any of the types and any of the colours will do.
 BASE_FILTER = f"""
   (q.start_s IS NULL OR (d.date_added >= q.start_s AND d.date_added < q.end_s))
   AND (size(q.hosts) = 0 OR exists(d.hosts, h -> h = get(q.hosts, 0) OR endswith(h, concat('.', get(q.hosts, 0)))))
   AND (size(q.phones) = 0 OR array_contains(d.phones, get(q.phones, 0))) AND (size(q.codes) = 0 OR array_contains(d.codes, get(q.codes, 0)))
-  AND (size(q.types) = 0 OR arrays_overlap(d.types, q.types) OR (array_contains(q.types, 'DUPLICATES') AND d.duplicate_of IS NOT NULL))
+  AND (size(q.types) = 0 OR arrays_overlap(d.types, q.types)) AND (size(q.colors) = 0 OR arrays_overlap(d.colors, transform(q.colors, c -> lower(c))))
   AND (NOT q.long_only OR (d.width > 0 AND d.height >= {LONG_ASPECT}D * d.width))
 """
 
@@ -123,18 +133,18 @@ def rung_sql() -> str:
     """The lowest rung a (query, document) pair satisfies, null for none."""
     has_terms = "size(q.terms) + size(q.phrases) > 0"
     text = f"(NOT ({has_terms}) OR c.all_terms OR c.phrase)"
-    filtered = "(size(q.hosts) + size(q.phones) + size(q.codes) + size(q.types) > 0 OR q.start_s IS NOT NULL)"
+    filtered = "(size(q.hosts) + size(q.phones) + size(q.codes) + size(q.types) + size(q.colors) > 0 OR q.start_s IS NOT NULL OR q.long_only)"
     return f"""CASE WHEN NOT ({BASE_FILTER}) THEN NULL WHEN {text} AND {_band(0.0)} THEN 0
       WHEN size(q.prices) > 0 AND {text} AND {_band(PRICE_TOLERANCE)} THEN 1 WHEN size(q.prices) > 0 AND {text} THEN 2
       WHEN size(q.terms) > 0 AND c.any_term THEN 3 WHEN NOT ({has_terms}) OR {filtered} THEN 4 END"""
 
 
-def ladder(docs: DataFrame, queries: DataFrame, browse_limit: int = 400, prefix: bool = True, now: int = NOW,
+def ladder(docs: DataFrame, queries: DataFrame, browse_limit: int | None = None, prefix: bool = True, now: int = NOW,
            weights: RelevanceWeights = RelevanceWeights()) -> DataFrame:
     """Scored rows of the first rung that answers each query.
 
     All rungs come from one candidate set and differ only in predicates. A query no rung answers gets no rows, so a
-    failed text query never turns into an unfiltered browse. A query without text and filters gets the newest captures.
+    failed text query never turns into an unfiltered browse. A query without text and filters gets every capture.
     """
     docs = checkpointed(docs)  # facts are extracted once, then read by several joins
     cand = candidates(docs, queries, prefix).withColumnRenamed("query_id", "_q").withColumnRenamed("capture_id", "_c")
@@ -142,15 +152,15 @@ def ladder(docs: DataFrame, queries: DataFrame, browse_limit: int = 400, prefix:
     q = queries.select(F.col("query_id").alias("_q"), F.struct(*queries.columns).alias("q"))
     d = docs.select(F.col("capture_id").alias("_c"), F.struct(*docs.columns).alias("d"))
     slim = d.select("_c", F.expr("named_struct('date_added', d.date_added, 'hosts', d.hosts, 'phones', d.phones, 'codes', d.codes, 'types', d.types, "
-                                 "'duplicate_of', d.duplicate_of, 'width', d.width, 'height', d.height, 'prices', d.prices)").alias("d"))
+                                 "'colors', d.colors, 'width', d.width, 'height', d.height, 'prices', d.prices)").alias("d"))
     rungs = checkpointed(c.join(q, "_q").join(slim, "_c").select("_q", "_c", F.expr(rung_sql()).alias("rung")).filter(F.col("rung").isNotNull()))
     best = rungs.groupBy("_q").agg(F.min("rung").alias("rung"))
     kept = rungs.join(best, ["_q", "rung"]).join(q, "_q").join(d, "_c").select("_q", "_c", "rung", "q", "d")
-    # Browsing: one bounded top list serves every query that has no text and found nothing by price.
-    newest = d.orderBy(F.desc("d.date_added"), F.desc("_c")).limit(browse_limit).withColumn("scope", F.lit("all"))
+    # Browsing: queries that have no text and found nothing by price get all captures, or the newest ``browse_limit``.
+    newest = d if browse_limit is None else d.orderBy(F.desc("d.date_added"), F.desc("_c")).limit(browse_limit)
     bare = q.filter("size(q.terms) + size(q.phrases) + size(q.hosts) + size(q.phones) + size(q.codes) + size(q.types) = 0 AND q.start_s IS NULL AND size(q.colors) = 0 AND NOT q.long_only")
-    open_queries = bare.join(best, "_q", "left_anti").withColumn("scope", F.lit("all"))
-    browsed = open_queries.join(F.broadcast(newest), "scope").select(
+    open_queries = bare.join(best, "_q", "left_anti")
+    browsed = newest.crossJoin(open_queries).select(
         "_q", "_c", F.expr("CASE WHEN size(q.prices) > 0 THEN 2 ELSE 0 END").alias("rung"), "q", "d")
     scored = kept.unionByName(browsed).withColumn("s", F.expr(lexical_sql(now, weights)))
     return scored.select(F.col("_q").alias("query_id"), F.col("_c").alias("capture_id"),
@@ -158,14 +168,14 @@ def ladder(docs: DataFrame, queries: DataFrame, browse_limit: int = 400, prefix:
                          F.col("s.score").alias("score"), F.col("s.reasons").alias("reasons"), "q", "d")
 
 
-def ranked(scored: DataFrame, limit: int | None = 50) -> DataFrame:
+def ranked(scored: DataFrame, limit: int | None = None) -> DataFrame:
     """Score, then newest, then id: a total order per query."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("d.date_added"), "capture_id")
     out = scored.withColumn("rank", F.row_number().over(w))
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
-def sort_results(results: DataFrame, limit: int | None = 50) -> DataFrame:
+def sort_results(results: DataFrame, limit: int | None = None) -> DataFrame:
     """Order by each query's own mode: RELEVANCE, NEWEST or OLDEST."""
     mode = F.col("sort")
     key = (F.when(mode == "NEWEST", -F.col("date_added")).when(mode == "OLDEST", F.col("date_added")).otherwise(-F.col("score")))

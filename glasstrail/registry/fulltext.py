@@ -28,6 +28,13 @@ QUERIES = [
     plan.make_query(16, "long pixel", ["pixel"], long_only=True),
     plan.make_query(17, "₹7", prices=[plan.exact(7.0)]),
     plan.make_query(18, "", sort="NEWEST"),
+    plan.make_query(19, "duplicates", types=["DUPLICATES"]),
+    plan.make_query(20, "long screenshots", long_only=True),
+    plan.make_query(21, "blue screenshots", colors=["blue"]),
+    plan.make_query(22, "pixel in blue", ["pixel"], colors=["blue"]),
+    plan.make_query(23, "duplicates or codes", types=["DUPLICATES", "OTPS"]),
+    plan.make_query(24, "dark long screenshots", colors=["dark"], long_only=True),
+    plan.make_query(25, "duplicate pixel below ₹100,000", ["pixel"], prices=[plan.at_most(100000.0)], types=["DUPLICATES"]),
 ]
 
 
@@ -36,7 +43,10 @@ def query_frame(i: Inputs):
 
 
 def documents(i: Inputs):
-    return plan.documents(i.cap)
+    """The captures with their duplicates and palettes."""
+    from .filters import with_duplicates
+    from .visual import visuals
+    return plan.documents(with_duplicates(i).join(visuals(i).select("capture_id", "colors", "is_dark"), "capture_id", "left"))
 
 
 def _lit(v) -> str:
@@ -51,10 +61,10 @@ def _row(q) -> str:
     p = q[4][0] if q[4] else (None, None, None, None)
     terms = list(dict.fromkeys([*q[2], *[w for ph in q[3] for w in ph.split(" ")]]))
     return (f"({q[0]}::BIGINT, {_lit(q[1])}, {_list(q[2])}, {_list(q[3])}, {_list(terms)}, {_lit(p[0])}, {_lit(p[2])}::DOUBLE, {_lit(p[3])}::DOUBLE, "
-            f"{_lit(q[5])}::BIGINT, {_lit(q[6])}::BIGINT, {_lit(q[8][0] if q[8] else None)}, {_lit(q[10][0] if q[10] else None)}, {_list(q[11])}, {_lit(q[13])}, {_lit(q[14])})")
+            f"{_lit(q[5])}::BIGINT, {_lit(q[6])}::BIGINT, {_lit(q[8][0] if q[8] else None)}, {_lit(q[10][0] if q[10] else None)}, {_list(q[11])}, {_list(q[12])}, {_lit(q[13])}, {_lit(q[14])})")
 
 
-shared("qs", "SELECT * FROM (VALUES " + ", ".join(_row(q) for q in QUERIES) + ") AS t(query_id, raw, terms, phrases, fts, kind, pmin, pmax, start_s, end_s, host, code, types, long_only, sort)")
+shared("qs", "SELECT * FROM (VALUES " + ", ".join(_row(q) for q in QUERIES) + ") AS t(query_id, raw, terms, phrases, fts, kind, pmin, pmax, start_s, end_s, host, code, types, wanted_colors, long_only, sort)")
 shared("toks", r"""
   SELECT capture_id, status, date_added, filename, ocr_text, width, height, content_hash,
     list_filter(string_split_regex(lower(filename), '[^a-z0-9₹]+'), lambda t: t <> '') AS ft, list_filter(string_split_regex(lower(ocr_text), '[^a-z0-9₹]+'), lambda t: t <> '') AS tt FROM cap""")
@@ -64,21 +74,20 @@ shared("pairs", """
     len(q.fts) > 0 AND len(list_filter(q.fts, lambda t: len(list_filter(list_concat(c.ft, c.tt), lambda k: starts_with(k, t))) > 0)) = len(q.fts) AS all_terms,
     list_has_any(q.fts, list_concat(c.ft, c.tt)) AS any_term,
     len(list_filter(q.phrases, lambda p: contains(concat(' ', array_to_string(c.tt, ' '), ' '), concat(' ', p, ' ')))) > 0 AS phrase,
-    p.amount, u.host AS chost, k.code AS ccode, c.width, c.height, f.types AS ctypes
+    p.amount, u.host AS chost, k.code AS ccode, c.width, c.height, f.types AS ctypes, list_concat(coalesce(v.colors, []), CASE WHEN v.is_dark IS NULL THEN [] WHEN v.is_dark THEN ['dark'] ELSE ['light'] END) AS ccolors
   FROM qs q CROSS JOIN toks c LEFT JOIN price_f p USING (capture_id) LEFT JOIN url_f u USING (capture_id) LEFT JOIN code_f k USING (capture_id)
-  LEFT JOIN (SELECT capture_id, list(t) AS types FROM flag WHERE t <> 'DUPLICATES' GROUP BY 1) f USING (capture_id) WHERE c.status <> 'FAILED'""")
+  LEFT JOIN (SELECT capture_id, list(t) AS types FROM flag GROUP BY 1) f USING (capture_id) LEFT JOIN vis v USING (capture_id) WHERE c.status <> 'FAILED'""")
 shared("rungs", """
   SELECT *, CASE WHEN NOT base THEN NULL WHEN txt AND (kind IS NULL OR coalesce(amount BETWEEN pmin AND pmax, false)) THEN 0
     WHEN kind IS NOT NULL AND txt AND coalesce(amount BETWEEN CASE WHEN kind = 'EXACT' THEN pmin * 0.95 ELSE pmin END AND CASE WHEN kind = 'EXACT' THEN pmax * 1.05 ELSE pmax END, false) THEN 1
     WHEN kind IS NOT NULL AND txt THEN 2 WHEN len(terms) > 0 AND any_term THEN 3
-    WHEN len(fts) = 0 OR host IS NOT NULL OR code IS NOT NULL OR start_s IS NOT NULL OR len(types) > 0 THEN 4 END AS rung
+    WHEN len(fts) = 0 OR host IS NOT NULL OR code IS NOT NULL OR start_s IS NOT NULL OR len(types) > 0 OR len(wanted_colors) > 0 OR long_only THEN 4 END AS rung
   FROM (SELECT *, (len(fts) = 0 OR all_terms OR phrase) AS txt,
       (start_s IS NULL OR (date_added >= start_s AND date_added < end_s)) AND (host IS NULL OR coalesce(chost = host, false)) AND (code IS NULL OR coalesce(ccode = code, false))
-      AND (len(types) = 0 OR coalesce(list_has_any(types, ctypes), false)) AND (NOT long_only OR height >= 2.8 * width) AS base FROM pairs)""")
+      AND (len(types) = 0 OR coalesce(list_has_any(types, ctypes), false)) AND (len(wanted_colors) = 0 OR list_has_any(wanted_colors, ccolors)) AND (NOT long_only OR height >= 2.8 * width) AS base FROM pairs)""")
 shared("answers", """
   SELECT * FROM (SELECT *, min(rung) OVER (PARTITION BY query_id) AS best FROM rungs WHERE rung IS NOT NULL)
-  WHERE rung = best QUALIFY NOT (len(fts) = 0 AND host IS NULL AND code IS NULL AND start_s IS NULL AND len(types) = 0 AND rung IN (CASE WHEN kind IS NULL THEN 0 ELSE 2 END))
-    OR row_number() OVER (PARTITION BY query_id ORDER BY date_added DESC, capture_id DESC) <= 400""")
+  WHERE rung = best""")
 shared("needle", "SELECT query_id, unnest(fts) AS term FROM qs")
 
 
@@ -165,10 +174,9 @@ def text_search(i: Inputs):
     return op.match_all(op.token_index(i.cap.filter("status <> 'FAILED'")), terms)
 
 
-@query("relaxation_ladder", f"SELECT query_id, {plan.RUNGS}[best + 1] AS rung, count(*) AS n, min(capture_id) AS first_id, max(capture_id) AS last_id FROM answers GROUP BY 1, 2")
+@query("relaxation_ladder", f"SELECT query_id, capture_id, {plan.RUNGS}[best + 1] AS rung FROM answers")
 def relaxation_ladder(i: Inputs):
-    rows = plan.ladder(documents(i), query_frame(i))
-    return rows.groupBy("query_id", "rung").agg(F.count("*").alias("n"), F.min("capture_id").alias("first_id"), F.max("capture_id").alias("last_id"))
+    return plan.ladder(documents(i), query_frame(i)).select("query_id", "capture_id", "rung")
 
 
 @query("candidate_hydrate", """

@@ -46,19 +46,20 @@ def price_closeness(i: Inputs):
 
 @query("rank_order", "SELECT query_id, capture_id, score, CAST(rank AS INTEGER) AS rank FROM top50")
 def rank_order(i: Inputs):
-    return plan.ranked(scored(i)).select("query_id", "capture_id", F.col("score").cast("bigint").alias("score"), "rank")
+    return plan.ranked(scored(i), 50).select("query_id", "capture_id", F.col("score").cast("bigint").alias("score"), "rank")
 
 
 @query("match_reasons", """
   SELECT query_id, capture_id, array_to_string(list_filter([CASE WHEN len(h) > 0 THEN concat(h[1], '␟TERM') END,
       CASE WHEN len(phrases) > 0 AND contains(lower(ocr_text), phrases[1]) THEN concat(phrases[1], '␟PHRASE') END,
       CASE WHEN coalesce(amount BETWEEN pmin AND pmax, false) THEN concat(money, '␟PRICE') END, CASE WHEN coalesce(chost = host, false) THEN concat(host, '␟URL') END,
-      CASE WHEN coalesce(ccode = code, false) THEN 'One-time code␟OTP' END, CASE WHEN query_id = 1 THEN '1998␟DATE' END], lambda v: v IS NOT NULL), '|') AS reasons
+      CASE WHEN coalesce(ccode = code, false) THEN 'One-time code␟OTP' END, CASE WHEN query_id = 1 THEN '1998␟DATE' END,
+      CASE WHEN list_contains(types, 'DUPLICATES') AND list_contains(ctypes, 'DUPLICATES') THEN 'Duplicate␟DUPLICATE' END], lambda v: v IS NOT NULL), '|') AS reasons
   FROM (SELECT *, list_filter(terms, lambda t: contains(lower(ocr_text), t)) AS h,
       CASE WHEN amount >= 100000 THEN concat('₹', CAST(amount AS BIGINT) // 100000, ',', lpad(CAST(CAST(amount AS BIGINT) // 1000 % 100 AS VARCHAR), 2, '0'), ',', lpad(CAST(CAST(amount AS BIGINT) % 1000 AS VARCHAR), 3, '0'))
         WHEN amount >= 1000 THEN concat('₹', CAST(amount AS BIGINT) // 1000, ',', lpad(CAST(CAST(amount AS BIGINT) % 1000 AS VARCHAR), 3, '0')) ELSE concat('₹', CAST(amount AS BIGINT)) END AS money FROM top50)""")
 def match_reasons(i: Inputs):
-    return plan.ranked(scored(i)).select("query_id", "capture_id", F.array_join("reasons", "|").alias("reasons"))
+    return plan.ranked(scored(i), 50).select("query_id", "capture_id", F.array_join("reasons", "|").alias("reasons"))
 
 
 # Hybrid inputs: vector similarity from the free-text questions, colours and hashes from the visuals.
@@ -77,7 +78,7 @@ def _hybrid(i: Inputs):
     from .visual import visuals
     v = visuals(i).select("capture_id", "colors", "dhash")
     probe = v.agg(F.min_by("dhash", "capture_id").alias("query_hash")).withColumn("scope", F.lit(1))
-    rows = plan.ranked(scored(i)).withColumn("q", F.col("q").withField("colors", F.array(F.lit("blue"))))
+    rows = plan.ranked(scored(i), 50).withColumn("q", F.col("q").withField("colors", F.array(F.lit("blue"))))
     rows = rows.withColumn("labels", F.col("d.hosts")).withColumn("similarity", F.lit(0.0)).withColumn("scope", F.lit(1))
     return op.hybrid(rows.join(v, "capture_id").join(F.broadcast(probe), "scope"))
 
@@ -133,8 +134,8 @@ def _vectors(i: Inputs):
   UNION ALL SELECT query_id, capture_id, 0, round(sim, 6) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, capture_id) AS rn FROM vec60 v
     WHERE NOT EXISTS (SELECT 1 FROM top50 t WHERE t.query_id = v.query_id AND t.capture_id = v.capture_id) AND query_id IN (SELECT query_id FROM top50)) WHERE rn <= 20""")
 def semantic_union(i: Inputs):
-    lexical = plan.ranked(scored(i)).select("query_id", "capture_id", F.col("score").cast("bigint").alias("score"))
-    return op.semantic_union(lexical, _vectors(i)).select("query_id", "capture_id", "score", F.round("similarity", 6).alias("similarity"))
+    lexical = plan.ranked(scored(i), 50).select("query_id", "capture_id", F.col("score").cast("bigint").alias("score"))
+    return op.semantic_union(lexical, _vectors(i), 20).select("query_id", "capture_id", "score", F.round("similarity", 6).alias("similarity"))
 
 
 @query("semantic_fallback", "SELECT query_id, capture_id, round(sim, 6) AS similarity FROM vec60 WHERE query_id NOT IN (SELECT query_id FROM top50 WHERE rung = 0 AND query_id % 2 = 1)")
@@ -190,12 +191,12 @@ def collapse_duplicates(i: Inputs):
   WHERE rn <= 50""")
 def sort_mode(i: Inputs):
     rows = scored(i).select("query_id", "capture_id", "score", F.col("d.date_added").alias("date_added"), F.col("q.sort").alias("sort"))
-    return plan.sort_results(rows).select("query_id", "capture_id", "rank")
+    return plan.sort_results(rows, 50).select("query_id", "capture_id", "rank")
 
 
 @query("exclude_self", "SELECT query_id, capture_id FROM top50 WHERE capture_id <> (SELECT min(capture_id) FROM top50)")
 def exclude_self(i: Inputs):
-    rows = plan.ranked(scored(i)).select("query_id", "capture_id")
+    rows = plan.ranked(scored(i), 50).select("query_id", "capture_id")
     probe = rows.agg(F.min("capture_id").alias("capture_id"))
     return rows.join(F.broadcast(probe), "capture_id", "left_anti")
 
@@ -205,6 +206,6 @@ def exclude_self(i: Inputs):
 def provider_boost(i: Inputs):
     rows = scored(i).select("query_id", "capture_id", "score", F.col("d.date_added").alias("date_added"))
     boosted = i.cap.filter("capture_id % 100 = 0").select("capture_id")
-    return op.boost(rows, rows.join(boosted, "capture_id", "left_semi")).select("query_id", "capture_id", "rank")
+    return op.boost(rows, rows.join(boosted, "capture_id", "left_semi"), 50).select("query_id", "capture_id", "rank")
 
 

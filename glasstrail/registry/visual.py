@@ -11,10 +11,10 @@ from .core import Inputs, query, shared
 
 _NAMES = [c[0] for c in lx.COLORS]
 shared("vis", f"""
-  WITH b AS (SELECT vec_id, label, list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << (62 - i)) ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings)
-  SELECT o_orderkey AS capture_id, label, xor(xor(h, 1::BIGINT << (o_custkey % 60)::INT), 1::BIGINT << ((o_orderkey // (SELECT count(*) FROM embeddings)) % 53)::INT) AS dhash,
+  WITH vec_count AS MATERIALIZED (SELECT count(*) AS n FROM embeddings), b AS MATERIALIZED (SELECT vec_id, label, list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << (62 - i)) ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings)
+  SELECT o_orderkey AS capture_id, label, xor(xor(h, 1::BIGINT << (o_custkey % 60)::INT), 1::BIGINT << ((o_orderkey // (SELECT n FROM vec_count)) % 53)::INT) AS dhash,
     list_distinct([{_NAMES}[label % 11 + 1], {_NAMES}[o_orderkey % 11 + 1]]) AS colors, label % 3 = 0 AS is_dark, o_orderkey, o_custkey
-  FROM orders JOIN b ON b.vec_id = o_orderkey % (SELECT count(*) FROM embeddings)""")
+  FROM orders JOIN b ON b.vec_id = o_orderkey % (SELECT n FROM vec_count)""")
 
 
 def visuals(i: Inputs):
@@ -41,7 +41,8 @@ def visuals(i: Inputs):
 # Pixel table: each customer is a small image; its events, in order, are its pixels on a grid.
 shared("pixels", """
   SELECT capture_id, CAST(n % 13 AS INTEGER) AS x, CAST(n // 13 AS INTEGER) AS y, CAST((p * 7 + n * 11) % 256 AS INTEGER) AS r, CAST((p * 3) % 256 AS INTEGER) AS g, CAST((q * 5 + p) % 256 AS INTEGER) AS b
-  FROM (SELECT l_suppkey AS capture_id, l_partkey AS p, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS n FROM lineitem)""")
+  FROM (SELECT capture_id, p, CAST(q AS BIGINT) AS q, row_number() OVER (PARTITION BY capture_id ORDER BY o, l, p, q, e) - 1 AS n
+    FROM (SELECT l_suppkey + 0 AS capture_id, l_partkey + 0 AS p, l_quantity + 0 AS q, l_orderkey + 0 AS o, l_linenumber + 0 AS l, l_extendedprice + 0 AS e FROM lineitem))""")
 
 
 def pixels(i: Inputs):
@@ -62,8 +63,9 @@ def vis_downscale(i: Inputs):
 
 
 @query("vis_dhash", """
-  SELECT a.capture_id, CAST(sum(CASE WHEN a.value > b.value THEN CASE WHEN a.ty * 8 + a.tx = 0 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << (63 - (a.ty * 8 + a.tx))::INT) END ELSE 0 END) AS BIGINT) AS dhash
-  FROM grid a JOIN grid b ON a.capture_id = b.capture_id AND a.ty = b.ty AND b.tx = a.tx + 1 GROUP BY 1""")
+  WITH g AS MATERIALIZED (SELECT capture_id, list(value ORDER BY ty, tx) AS v FROM grid GROUP BY 1)
+  SELECT capture_id, CAST(list_sum(list_transform(range(64), lambda k: CASE WHEN v[k // 8 * 9 + k % 8 + 1] > v[k // 8 * 9 + k % 8 + 2]
+    THEN CASE WHEN k = 0 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << (63 - k)::INT) END ELSE 0::HUGEINT END)) AS BIGINT) AS dhash FROM g""")
 def vis_dhash(i: Inputs):
     return op.dhash(op.downscale(pixels(i)))
 
@@ -115,7 +117,36 @@ def vis_type(i: Inputs):
     return capture_types(i).select("capture_id", "kind", F.round("confidence", 6).alias("confidence"))
 
 
-@query("vis_layout")
+shared("screen_boxes", """
+  SELECT capture_id, "left" AS l, "right" AS r, "right" - "left" AS w, bottom - top AS h, ("left" + "right") // 2 AS mid,
+    top + (bottom - top) / 4.0 AS ct, bottom - (bottom - top) / 4.0 AS cb FROM boxes""")
+
+
+def _rows_sql(where: str) -> str:
+    return f"""
+  SELECT capture_id, line, count(*) AS n, min(l) AS l, max(w) AS w, min(mid) AS mid FROM (
+    SELECT *, sum(opens) OVER (PARTITION BY capture_id ORDER BY ct, cb, l, r ROWS UNBOUNDED PRECEDING) AS line FROM (
+      SELECT *, CASE WHEN ct <= max(cb) OVER (PARTITION BY capture_id ORDER BY ct, cb, l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens
+      FROM screen_boxes WHERE {where})) GROUP BY 1, 2"""
+
+
+shared("screen_rows", _rows_sql("true"))
+shared("chat_rows", _rows_sql("w BETWEEN 60 AND 620 AND h BETWEEN 8 AND 120"))
+
+
+@query("vis_layout", """
+  WITH b AS (SELECT capture_id, count(*) AS n, count(*) FILTER (w BETWEEN 60 AND 560) AS narrow, count(*) FILTER (mid > 500 OR l BETWEEN 300 AND 700) AS rightish,
+      count(*) FILTER (w > 700 AND h BETWEEN 10 AND 60) AS wide FROM screen_boxes GROUP BY 1),
+    m AS (SELECT capture_id, list_sort(list(w))[count(*) // 2 + 1] AS w, list_sort(list(l))[count(*) // 2 + 1] AS anchor, count(*) AS n, count(*) FILTER (n >= 3) AS full_rows FROM screen_rows GROUP BY 1),
+    a AS (SELECT x.capture_id, x.line, count(*) AS near FROM screen_rows x JOIN screen_rows y ON x.capture_id = y.capture_id AND abs(x.l - y.l) <= 30 GROUP BY 1, 2),
+    al AS (SELECT capture_id, count(*) FILTER (near >= 2) AS aligned FROM a GROUP BY 1),
+    an AS (SELECT capture_id, count(*) FILTER (abs(l - anchor) <= 60) AS anchored FROM screen_rows JOIN m USING (capture_id) GROUP BY 1),
+    c AS (SELECT capture_id, sum(n) AS boxes, count(*) AS lines, count(*) FILTER (n <= 2) AS short, count(*) FILTER (side <> prev) AS turns FROM (
+      SELECT *, mid < 500 AS side, lag(mid < 500) OVER (PARTITION BY capture_id ORDER BY line) AS prev FROM chat_rows) GROUP BY 1)
+  SELECT b.capture_id, CASE WHEN b.n < 3 THEN 'NONE' WHEN coalesce(c.boxes >= 4 AND c.lines >= 4 AND short >= c.lines * 2 // 3 AND turns >= 3, false) THEN 'CHAT_BUBBLES'
+    WHEN m.n >= 2 AND full_rows >= 2 AND aligned >= 2 THEN 'TABLE' WHEN b.n >= 5 AND narrow >= b.n * 2 // 3 AND rightish >= b.n // 2 THEN 'RECEIPT_LIKE'
+    WHEN b.n >= 6 AND m.n >= 5 AND m.w <= 620 AND anchored >= m.n * 2 // 3 THEN 'FORM_LIKE' WHEN b.n >= 6 AND wide >= b.n * 2 // 3 THEN 'ARTICLE' ELSE 'NONE' END AS layout
+  FROM b JOIN m USING (capture_id) JOIN al USING (capture_id) JOIN an USING (capture_id) LEFT JOIN c USING (capture_id)""")
 def vis_layout(i: Inputs):
     return op.layouts(boxes(i))
 
@@ -145,8 +176,9 @@ _COMPONENTS = """
   FROM members LEFT JOIN links USING (g) GROUP BY 1 HAVING count(*) > 1""")
 def vis_near_duplicates(i: Inputs):
     v = visuals(i)
-    members = op.near_duplicate_groups(v)
-    spread_bits = op.link_spread(members, op.hamming_pairs(v))
+    pairs = op.hamming_pairs(v)
+    members = op.near_duplicate_groups(v, pairs)
+    spread_bits = op.link_spread(members, pairs)
     return op.summarize_groups(members).join(spread_bits, "group_hash", "left").withColumn("max_link_bits", F.coalesce("max_link_bits", F.lit(0)))
 
 
@@ -158,7 +190,8 @@ def vis_copy_from_canonical(i: Inputs):
 
 
 @query("vis_hash_similarity", """
-  SELECT a.capture_id, round(greatest(0.0, 1 - bit_count(xor(a.dhash, b.dhash)) / 24.0), 6) AS similarity FROM vis a JOIN vis b ON b.capture_id = a.capture_id + 500""")
+  WITH m AS MATERIALIZED (SELECT capture_id, dhash FROM vis)
+  SELECT a.capture_id, round(greatest(0.0, 1 - bit_count(xor(a.dhash, b.dhash)) / 24.0), 6) AS similarity FROM m a JOIN m b ON b.capture_id = a.capture_id + 500""")
 def vis_hash_similarity(i: Inputs):
     v = visuals(i).select("capture_id", "dhash", F.lit("dhash").alias("model"), F.lit("1").alias("version"))
     w = v.select((F.col("capture_id") - 500).alias("capture_id"), F.col("dhash").alias("other"), "model", "version")
