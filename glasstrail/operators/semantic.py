@@ -1,8 +1,11 @@
 """Embeddings, categories, concepts, groups and summaries."""
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import lexicon as lx
@@ -15,15 +18,35 @@ MIN_SIMILARITY = 0.25
 def embed(rows: DataFrame, key: str, text: Column, dimension: int = vec.DIMENSION) -> DataFrame:
     """Sparse unit vectors ``(key, dim, w)``.
 
-    The short text is shuffled once by key; both aggregations then run inside that partitioning,
-    so the many features of a document never cross the network.
+    A row is a document, so its features are counted, hashed and summed inside the row; nothing is shuffled.
     """
-    placed = rows.select(key, text.alias("_t")).repartition(key)
-    counts = placed.select(key, F.explode(vec.features(F.col("_t"))).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
-    dims = (counts.select(key, (vec.fnv1a(F.col("feature")) % dimension).cast("int").alias("dim"), (1.0 + F.ln("n")).alias("w"))
-            .groupBy(key, "dim").agg(F.sum("w").alias("w")))
-    vectors = dims.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("dim", "w")).alias("v"))
-    return vectors.select(key, "norm", F.explode("v").alias("e")).select(key, F.col("e.dim").alias("dim"), (F.col("e.w") / F.col("norm")).alias("w"))
+    def run(batches):
+        hashed: dict[str, int] = {}
+        for batch in batches:
+            vectors = batch["features"].map(lambda f: _sparse(f, dimension, hashed))
+            hashed.clear()
+            out = pd.DataFrame({key: batch[key], "e": vectors}).explode("e").dropna(subset=["e"])
+            yield pd.DataFrame({key: out[key], "dim": [e[0] for e in out["e"]], "w": [e[1] for e in out["e"]]})
+
+    kind = rows.select(key).schema[0].dataType.simpleString()
+    return rows.select(F.col(key), vec.features(text).alias("features")).mapInPandas(run, f"`{key}` {kind}, dim int, w double")
+
+
+def _sparse(features, dimension: int, hashed: dict[str, int]) -> list[tuple[int, float]]:
+    """Unit vector of one document's features; ``hashed`` remembers the dimensions of a batch's features."""
+    if features is None or not len(features):
+        return []
+    sums: dict[int, float] = {}
+    for feature, n in Counter(features).items():
+        dim = hashed.get(feature)
+        if dim is None:
+            h = 2166136261
+            for c in feature:
+                h = (h ^ ord(c)) * 16777619 & 4294967295
+            dim = hashed[feature] = h % dimension
+        sums[dim] = sums.get(dim, 0.0) + 1.0 + math.log(n)
+    norm = math.sqrt(math.fsum(w * w for w in sums.values()))
+    return [(d, w / norm) for d, w in sorted(sums.items())]
 
 
 def dense(sparse: DataFrame, key: str, dimension: int = vec.DIMENSION) -> DataFrame:

@@ -194,6 +194,12 @@ def hamming_pairs(hashes: DataFrame, bits: int = NEAR_DUPLICATE_BITS, bands: int
     return checkpointed(joined.select("a", "b").distinct().withColumn("distance", hamming(F.col("a"), F.col("b"))))  # several readers follow
 
 
+def near_counts(pairs: DataFrame) -> DataFrame:
+    """``(dhash, near, nearest)`` from pairs: one row per hash, whatever the size of its neighbourhood."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("dhash"), "distance")
+    return ends.groupBy("dhash").agg(F.count("*").alias("near"), F.min("distance").alias("nearest"))
+
+
 def near_duplicate_groups(visuals: DataFrame, pairs: DataFrame | None = None, bits: int = NEAR_DUPLICATE_BITS, bands: int = 5) -> DataFrame:
     """``(capture_id, group_hash)`` for every capture with a near duplicate.
 

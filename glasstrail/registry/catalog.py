@@ -100,11 +100,11 @@ def insert_ignore(i: Inputs):
 
 
 @query("upsert_replace", """
-  SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2""")
+  SELECT user_id, event_type, arg_max(value, (event_id % 2, event_id)) AS value, arg_max(event_id, (event_id % 2, event_id)) AS event_id FROM events GROUP BY 1, 2""")
 def upsert_replace(i: Inputs):
     e = i.events.select("user_id", "event_type", "value", "event_id")
     k = F.col("event_id") % 2
-    return op.upsert(e.filter(k == 0).limit(0), e, ["user_id", "event_type"], "event_id")
+    return op.upsert(op.upsert(e.limit(0), e.filter(k == 0), ["user_id", "event_type"], "event_id"), e.filter(k == 1), ["user_id", "event_type"], "event_id")
 
 
 @query("cascade_delete", "SELECT capture_id, normalized FROM phone_f WHERE capture_id IN (SELECT capture_id FROM cap WHERE status <> 'FAILED')")

@@ -59,9 +59,9 @@ def e_evidence(i: Inputs):
     return rows.select("capture_id", "excerpt", F.array_join("prices", "|").alias("prices"), F.array_join("hosts", "|").alias("hosts"), "sensitivity")
 
 
-@query("e_price_answer", "SELECT owner_id, count(DISTINCT amount) AS n_prices, min(amount) AS lowest, max(amount) AS highest FROM price_f JOIN cap USING (capture_id) WHERE amount < 10000 GROUP BY 1")
+@query("e_price_answer", "SELECT owner_id, count(DISTINCT amount) AS n_prices, min(amount) AS lowest, max(amount) AS highest FROM price_f JOIN cap USING (capture_id) GROUP BY 1")
 def e_price_answer(i: Inputs):
-    rows = i.prices.filter("amount < 10000").join(i.cap.select("capture_id", "owner_id"), "capture_id")
+    rows = i.prices.join(i.cap.select("capture_id", "owner_id"), "capture_id")
     return price_answer(rows, ["owner_id"])
 
 
@@ -131,7 +131,7 @@ def c_followup_carry(i: Inputs):
     return carry_forward(rows, ["conv_id"], "turn", "own", "entity").select("conv_id", "turn", "entity")
 
 
-@query("c_snapshot", "SELECT DISTINCT capture_id, 'deals' AS snapshot FROM price_f WHERE amount < 1000")
+@query("c_snapshot", "SELECT DISTINCT capture_id, 'deals' AS snapshot FROM (SELECT capture_id FROM price_f UNION ALL SELECT capture_id FROM code_f UNION ALL SELECT capture_id FROM cap WHERE capture_id % 4 = 1)")
 def c_snapshot(i: Inputs):
-    cheap = i.prices.filter("amount < 1000").select("capture_id")
-    return op.snapshot("deals", cheap.unionByName(cheap)).select("capture_id", "snapshot")
+    found = i.prices.select("capture_id").unionByName(i.codes.select("capture_id")).unionByName(i.cap.filter("capture_id % 4 = 1").select("capture_id"))
+    return op.snapshot("deals", found).select("capture_id", "snapshot")

@@ -8,9 +8,9 @@ from .core import Inputs, query
 from .filters import with_duplicates
 
 
-@query("j_inner_equi", "SELECT l_orderkey, l_linenumber, p_name, l_quantity FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40")
+@query("j_inner_equi", "SELECT l_orderkey, l_linenumber, p_name, l_quantity FROM lineitem JOIN part ON p_partkey = l_partkey")
 def j_inner_equi(i: Inputs):
-    return i.lineitem.filter("l_quantity > 40").join(i.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name", "l_quantity")
+    return i.lineitem.join(i.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name", "l_quantity")
 
 
 @query("j_left_outer", "SELECT c.capture_id, e.label FROM cap c LEFT JOIN embeddings e ON e.vec_id = c.capture_id")
@@ -67,10 +67,11 @@ def j_hash_lookup(i: Inputs):
     return i.customer.join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
 
 
-@query("j_hamming_threshold", "SELECT a, b, CAST(d AS INTEGER) AS distance FROM near_edge")
+@query("j_hamming_threshold", "SELECT dhash, count(*) AS near, CAST(min(d) AS INTEGER) AS nearest FROM (SELECT a AS dhash, d FROM near_edge UNION ALL SELECT b, d FROM near_edge) GROUP BY 1")
 def j_hamming_threshold(i: Inputs):
+    """Per hash: other hashes within the threshold and the distance of the nearest one."""
     from .visual import visuals
-    return visual.hamming_pairs(visuals(i).select("dhash"))
+    return visual.near_counts(visual.hamming_pairs(visuals(i).select("dhash")))
 
 
 @query("j_time_proximity", """

@@ -138,9 +138,9 @@ def semantic_union(i: Inputs):
     return op.semantic_union(lexical, _vectors(i), 20).select("query_id", "capture_id", "score", F.round("similarity", 6).alias("similarity"))
 
 
-@query("semantic_fallback", "SELECT query_id, capture_id, round(sim, 6) AS similarity FROM vec60 WHERE query_id NOT IN (SELECT query_id FROM top50 WHERE rung = 0 AND query_id % 2 = 1)")
+@query("semantic_fallback", "SELECT query_id, capture_id, round(sim, 6) AS similarity FROM vec60 WHERE query_id NOT IN (SELECT query_id FROM top50 WHERE rung = 0)")
 def semantic_fallback(i: Inputs):
-    lexical = scored(i).filter("rung = 'EXACT' AND query_id % 2 = 1")
+    lexical = scored(i).filter("rung = 'EXACT'")
     from .semantic import question_frame
     out = op.semantic_fallback(question_frame(i), lexical, _vectors(i))
     return out.select("query_id", "capture_id", F.round("similarity", 6).alias("similarity"))

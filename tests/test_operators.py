@@ -12,19 +12,12 @@ from glasstrail.operators import querylog as ql
 TODAY = date(2026, 9, 30)
 
 
-@pytest.fixture
-def tiny_chunks(monkeypatch):
-    """Chunks of three ids, so values must cross chunk borders."""
-    monkeypatch.setattr(ordered, "CHUNK_IDS", 3)
-    monkeypatch.setattr(ranking, "CHUNK_IDS", 3)
-
-
-def test_previous_and_running_sum_cross_chunks(spark, tiny_chunks):
+def test_previous_and_running_sum_cross_chunks(spark):
     rng = random.Random(1)
     rows = [(rng.randint(0, 1), rng.randint(0, 4), k) for k in range(60)]
     df = spark.createDataFrame(rows, "g int, t long, id long")
-    prev = {r["id"]: r["prev"]["id"] if r["prev"] else None for r in ordered.with_previous(df, ["g"], "t", "id", ["id"]).collect()}
-    total = {r["id"]: r["s"] for r in ordered.with_running_sum(df, ["g"], "t", "id", F.lit(1), "s").collect()}
+    prev = {r["id"]: r["prev"]["id"] if r["prev"] else None for r in ordered.with_previous(df, ["g"], "t", "id", ["id"], chunks=7).collect()}
+    total = {r["id"]: r["s"] for r in ordered.with_running_sum(df, ["g"], "t", "id", F.lit(1), "s", chunks=7).collect()}
     for g in (0, 1):
         line = sorted((t, k) for gg, t, k in rows if gg == g)
         for n, (_, k) in enumerate(line):
@@ -32,12 +25,20 @@ def test_previous_and_running_sum_cross_chunks(spark, tiny_chunks):
             assert total[k] == n + 1
 
 
-def test_carry_forward_crosses_chunks(spark, tiny_chunks):
+def test_carry_forward_crosses_chunks(spark):
     rows = [(1, k, f"v{k}" if k in (1, 8) else None) for k in range(14)]
-    out = {r["turn"]: r["c"] for r in ordered.carry_forward(spark.createDataFrame(rows, "g int, turn long, v string"), ["g"], "turn", "v", "c").collect()}
+    out = {r["turn"]: r["c"] for r in ordered.carry_forward(spark.createDataFrame(rows, "g int, turn long, v string"), ["g"], "turn", "v", "c", chunks=5).collect()}
     assert [out[k] for k in range(14)] == [None] + ["v1"] * 7 + ["v8"] * 6
 
 
+def test_chunks_split_one_group_whatever_the_ids(spark):
+    """One group holds all rows and ids are hashes: the carry table has a row per chunk, not per row."""
+    df = spark.range(1500).select(F.lit(1).alias("g"), (F.col("id") % 9).alias("t"), F.xxhash64("id").alias("id"))
+    rows = ordered.chunked(df, ["g"], ["t", "id"], 12)
+    assert 6 < rows.select("g", "_chunk").distinct().count() <= 12
+    assert max(r["count"] for r in rows.groupBy("_chunk").count().collect()) < 500
+
+
 def test_near_in_time_equals_brute_force(spark):
     rng = random.Random(2)
     rows = [(rng.randint(0, 2), rng.randint(0, 20000)) for _ in range(300)]
@@ -64,7 +65,7 @@ def test_components_follow_long_chains(spark):
     assert all(out[k] == 0 for k in range(41)) and out[101] == 100
 
 
-def test_collapse_equals_the_ordered_loop(spark, tiny_chunks):
+def test_collapse_equals_the_ordered_loop(spark):
     rng = random.Random(4)
     rows = [(1, k, rng.randint(0, 2), rng.randint(0, 2), rng.choice([None, None, "h1", "h2", "h3"]), rng.choice(["aa", "bb", " "])) for k in range(80)]
     df = spark.createDataFrame(rows, "query_id int, capture_id long, score int, date_added long, content_hash string, ocr_text string")
