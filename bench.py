@@ -4,6 +4,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -50,15 +51,20 @@ def main() -> None:
         times[name] = round(time.time() - t, 3)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
 
-    plan.scan_search(inputs.cap, SHAPES["search_keyword"]).collect()  # start the JVM and its code cache
-    for name, q in SHAPES.items():
-        timed(name, lambda q=q: plan.scan_search(inputs.cap, q).collect())
+    folder = tempfile.mkdtemp(prefix="spark-bench-", dir="/tmp")
+    timed("library_build", lambda: plan.save_library(inputs.cap, folder))
+    stored = plan.open_library(spark, folder)
+
+    def search(*wanted) -> None:
+        """The whole ladder over the stored library: facts, tokens and keys are read, not extracted."""
+        frame = spark.createDataFrame(list(wanted), plan.QUERY_DDL)
+        plan.ranked(plan.ladder(stored, frame), 50).select("query_id", "capture_id", "rung", "score", "rank").collect()
 
-    def batch() -> None:
-        frame = spark.createDataFrame(batch_of(100), plan.QUERY_DDL)
-        plan.ranked(plan.ladder(plan.documents(inputs.cap), frame)).select("query_id", "capture_id", "rung", "score", "rank").write.format("noop").mode("overwrite").save()
+    search(SHAPES["search_keyword"])  # start the JVM and its code cache
+    for name, q in SHAPES.items():
+        timed(name, lambda q=q: search(q))
 
-    timed("search_batch_100", batch)
+    timed("search_batch_100", lambda: search(*batch_of(100)))
     for key in OPERATORS:
         timed(key, lambda key=key: registry.QUERIES[key](spark, root).write.format("noop").mode("overwrite").save())
     sf = root.rstrip("/").rsplit("sf", 1)[-1]

@@ -5,7 +5,9 @@ hosts, phones, codes, types, colors, long_only, sort. Documents carry their fact
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import extract as x
 from ..functions.scoring import lexical_sql
@@ -63,6 +65,34 @@ def documents(captures: DataFrame) -> DataFrame:
         "CASE WHEN n_dates > 0 THEN 'DATES' END, CASE WHEN size(phone_facts) > 0 THEN 'PHONES' END, CASE WHEN size(codes) > 0 THEN 'OTPS' END)) AS types")
 
 
+@dataclass(frozen=True)
+class Library:
+    """What a search reads: documents with their facts, the token index and the facet keys."""
+    docs: DataFrame
+    index: DataFrame
+    keys: DataFrame
+
+
+def library(docs: DataFrame) -> Library:
+    """A library computed anew; the documents are stored once, because several joins read them."""
+    docs = checkpointed(docs)
+    return Library(docs, ft.token_index(docs), _document_keys(docs))
+
+
+def save_library(captures: DataFrame, folder: str) -> Library:
+    """Extract facts, tokens and keys once and store them; tokens and keys are sorted, so readers skip row groups."""
+    spark = captures.sparkSession
+    documents(captures).write.mode("overwrite").parquet(f"{folder}/docs")
+    docs = spark.read.parquet(f"{folder}/docs")
+    ft.token_index(docs).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{folder}/index")
+    _document_keys(docs).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{folder}/keys")
+    return open_library(spark, folder)
+
+
+def open_library(spark: SparkSession, folder: str) -> Library:
+    return Library(*[spark.read.parquet(f"{folder}/{part}") for part in ("docs", "index", "keys")])
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(query_id, term)``: terms and phrase words, cleaned, distinct, at most twelve."""
     joined = F.concat("terms", F.flatten(F.transform("phrases", lambda p: F.split(p, " "))))
@@ -94,17 +124,17 @@ def _document_keys(docs: DataFrame) -> DataFrame:
     return docs.select("capture_id", F.explode(F.array_distinct(F.concat(suffixes, rest))).alias("key"))
 
 
-def candidates(docs: DataFrame, queries: DataFrame, prefix: bool = True) -> DataFrame:
+def candidates(lib: Library, queries: DataFrame, prefix: bool = True) -> DataFrame:
     """``(query_id, capture_id, all_terms, any_term, phrase)`` from text and facet equality joins.
 
     Needles are a few rows per query, so they are the broadcast side when small and AQE splits hot tokens otherwise.
     """
-    index = ft.token_index(docs)
+    index = lib.index
     terms = query_terms(queries)
     phrases = queries.select("query_id", F.explode(F.array_distinct(F.filter("phrases", lambda p: F.contains(p, F.lit(" "))))).alias("phrase"))
     flags = [("all_terms", ft.match_all(index, terms, prefix)), ("any_term", ft.match_any(index, terms)),
              ("phrase", ft.match_phrases(index, phrases)),
-             ("facet", _document_keys(docs).join(_query_keys(queries), "key"))]
+             ("facet", lib.keys.join(_query_keys(queries), "key"))]
     parts = [df.select("query_id", "capture_id", *[F.lit(name == n).alias(n) for n, _ in flags]) for name, df in flags]
     union = parts[0]
     for p in parts[1:]:
@@ -139,15 +169,16 @@ def rung_sql() -> str:
       WHEN size(q.terms) > 0 AND c.any_term THEN 3 WHEN NOT ({has_terms}) OR {filtered} THEN 4 END"""
 
 
-def ladder(docs: DataFrame, queries: DataFrame, browse_limit: int | None = None, prefix: bool = True, now: int = NOW,
+def ladder(docs: DataFrame | Library, queries: DataFrame, browse_limit: int | None = None, prefix: bool = True, now: int = NOW,
            weights: RelevanceWeights = RelevanceWeights()) -> DataFrame:
     """Scored rows of the first rung that answers each query.
 
     All rungs come from one candidate set and differ only in predicates. A query no rung answers gets no rows, so a
     failed text query never turns into an unfiltered browse. A query without text and filters gets every capture.
     """
-    docs = checkpointed(docs)  # facts are extracted once, then read by several joins
-    cand = candidates(docs, queries, prefix).withColumnRenamed("query_id", "_q").withColumnRenamed("capture_id", "_c")
+    lib = docs if isinstance(docs, Library) else library(docs)
+    docs = lib.docs
+    cand = candidates(lib, queries, prefix).withColumnRenamed("query_id", "_q").withColumnRenamed("capture_id", "_c")
     c = cand.select("_q", "_c", F.struct("all_terms", "any_term", "phrase").alias("c"))
     q = queries.select(F.col("query_id").alias("_q"), F.struct(*queries.columns).alias("q"))
     d = docs.select(F.col("capture_id").alias("_c"), F.struct(*docs.columns).alias("d"))
@@ -183,47 +214,3 @@ def sort_results(results: DataFrame, limit: int | None = None) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(key, second, "capture_id")
     out = results.withColumn("rank", F.row_number().over(w))
     return out if limit is None else out.filter(F.col("rank") <= limit)
-
-
-def query_literal(query: tuple) -> Column:
-    """One structured query as a constant struct."""
-    def texts(values) -> Column:
-        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-    price = "array<struct<kind:string,currency:string,min:double,max:double>>"
-    fields = [f.strip().split(" ")[0] for f in QUERY_DDL.replace(price, "p").split(",")]
-    values = []
-    for name, v in zip(fields, query):
-        if name == "prices":
-            item = [F.struct(*[F.lit(x) for x in p]) for p in v]
-            values.append(F.array(*item).cast(price) if item else F.array().cast(price))
-        elif isinstance(v, list):
-            values.append(texts(v))
-        else:
-            kind = "bigint" if name.endswith(("_s", "_id")) else "boolean" if name == "long_only" else "string"
-            values.append(F.lit(v).cast(kind))
-    return F.struct(*[v.alias(n) for n, v in zip(fields, values)])
-
-
-def scan_search(docs: DataFrame, query: tuple, limit: int = 50, now: int = NOW, weights: RelevanceWeights = RelevanceWeights()) -> DataFrame:
-    """One ad hoc query by a single scan: no index, no shuffle, filters before facts.
-
-    Text conditions become pattern tests on the stored columns, so only matching rows reach the fact extraction.
-    """
-    q = query_literal(query)
-    terms = list(dict.fromkeys([*query[2], *[w for p in query[3] for w in p.split(" ")]]))
-    rows = docs.filter(F.col("status") != "FAILED")
-    if query[5] is not None:
-        rows = rows.filter((F.col("date_added") >= query[5]) & (F.col("date_added") < query[6]))
-    for t in terms:
-        edge = rf"(?i)(?:^|[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f])\Q{t}\E"
-        rows = rows.filter(F.col("ocr_text").rlike(edge) | F.col("filename").rlike(edge))
-    for host in query[8][:1]:
-        rows = rows.filter(F.lower("ocr_text").contains(host))
-    if query[4]:
-        rows = rows.filter(F.col("ocr_text").rlike("[0-9]"))
-    # The query is a constant here, so the optimizer drops the conditions and the facts it does not ask for.
-    d = documents(rows)
-    hit = d.select(F.struct(*d.columns).alias("d"), q.alias("q")).filter(F.expr(f"{BASE_FILTER} AND {_band(0.0)}"))
-    scored = hit.withColumn("s", F.expr(lexical_sql(now, weights))).select(F.col("d.capture_id").alias("capture_id"), F.col("s.score").alias("score"), F.col("d.date_added").alias("date_added"))
-    return scored.orderBy(F.desc("score"), F.desc("date_added"), "capture_id").limit(limit)

@@ -6,7 +6,7 @@ from check import TABLES, canon
 import __spark_entry__ as entry_module
 from glasstrail.plans import search as plan
 from glasstrail.registry.core import Inputs
-from glasstrail.registry.fulltext import QUERIES as SEARCHES
+from glasstrail.registry.fulltext import QUERIES as SEARCHES, documents as searched
 
 ROOT = "/root/testdata/sf0.001"
 SAMPLE = ["capture_predicate", "discover_reconcile", "agg_index_stats", "f_content_types", "fts_phrase", "p_classify", "x_dates", "w_canonical", "q_describe", "o_suggest",
@@ -42,11 +42,14 @@ def test_against_sql(spark, con, key):
     assert got == sorted(tuple(canon(r[names.index(c)]) for c in cols) for r in cur.fetchall())
 
 
-@pytest.mark.parametrize("query", [q for q in SEARCHES if q[0] in (1, 2, 3, 4, 5, 7)], ids=lambda q: q[1])
-def test_scan_search_equals_the_ladder(spark, query):
-    """The single-query scan returns what the first rung of the batch plan returns."""
-    cap = Inputs(spark, ROOT).cap
-    one = [(r["capture_id"], r["score"]) for r in plan.scan_search(cap, query).collect()]
-    batch = plan.ranked(plan.ladder(plan.documents(cap), spark.createDataFrame([query], plan.QUERY_DDL))).orderBy("rank")
-    exact = [(r["capture_id"], r["score"]) for r in batch.collect() if r["rung"] == "EXACT"]
-    assert one == exact
+def test_stored_library_answers_like_a_fresh_one(spark, tmp_path):
+    """Search over stored facts, tokens and keys returns the rows of the search that extracts them."""
+    inputs = Inputs(spark, ROOT)
+    docs, queries = searched(inputs), spark.createDataFrame(SEARCHES, plan.QUERY_DDL)
+    columns = ["query_id", "capture_id", "rung", "score"]
+    plan.save_library(inputs.cap, str(tmp_path))
+    stored = plan.open_library(spark, str(tmp_path))
+    plain = plan.documents(inputs.cap)
+    assert sorted(map(tuple, plan.ladder(stored, queries).select(*columns).collect())) == sorted(map(tuple, plan.ladder(plain, queries).select(*columns).collect()))
+    found = {r["query_id"] for r in plan.ladder(docs, queries).select("query_id").distinct().collect()}
+    assert {19, 20, 21, 22, 23, 24} <= found
