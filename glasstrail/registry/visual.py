@@ -170,10 +170,13 @@ _COMPONENTS = """
   comp AS (SELECT n AS dhash, least(n, min(m)) AS g FROM reach GROUP BY n)"""
 
 
-@query("vis_near_duplicates", _COMPONENTS + """, members AS (SELECT capture_id, dhash, coalesce(g, dhash) AS g FROM vis LEFT JOIN comp USING (dhash)),
+shared("near_groups", _COMPONENTS + """, members AS (SELECT capture_id, dhash, coalesce(g, dhash) AS g FROM vis LEFT JOIN comp USING (dhash)),
     links AS (SELECT g, max(d) AS max_link_bits FROM e JOIN comp ON comp.dhash = e.a GROUP BY 1)
   SELECT g AS group_hash, count(*) AS size, max(capture_id) AS cover_id, count(DISTINCT dhash) AS n_hashes, CAST(coalesce(any_value(max_link_bits), 0) AS INTEGER) AS max_link_bits
   FROM members LEFT JOIN links USING (g) GROUP BY 1 HAVING count(*) > 1""")
+
+
+@query("vis_near_duplicates", "SELECT * FROM near_groups")
 def vis_near_duplicates(i: Inputs):
     v = visuals(i)
     pairs = op.hamming_pairs(v)

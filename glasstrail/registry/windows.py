@@ -7,14 +7,19 @@ from ..operators import windows as op
 from .core import Inputs, query, shared
 
 
-@query("w_sequences", """
+shared("seq_rows", """
   WITH r AS (SELECT capture_id, date_added, date_added // 86400 AS day, list_distinct(list_filter(string_split_regex(lower(ocr_text), '[^a-z0-9]+'), lambda w: length(w) >= 3)) AS w FROM cap),
     l AS (SELECT *, lag(date_added) OVER o AS pt, lag(w) OVER o AS pw FROM r WINDOW o AS (PARTITION BY day ORDER BY date_added, capture_id)),
-    b AS (SELECT *, sum(CASE WHEN pt IS NOT NULL AND date_added - pt <= 1800 AND least(len(w), len(pw)) > 0 AND len(list_intersect(w, pw)) >= 0.5 * least(len(w), len(pw)) THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY date_added, capture_id) AS run FROM l),
-    g AS (SELECT day, run, count(*) AS size, arg_min(capture_id, (date_added, capture_id)) AS first_id, arg_max(capture_id, (date_added, capture_id)) AS last_id FROM b GROUP BY 1, 2 HAVING count(*) >= 3),
-    k AS (SELECT day, run, v, count(*) AS n FROM (SELECT day, run, unnest(w) AS v FROM b) JOIN g USING (day, run) GROUP BY 1, 2, 3),
+    b AS (SELECT *, sum(CASE WHEN pt IS NOT NULL AND date_added - pt <= 1800 AND least(len(w), len(pw)) > 0 AND len(list_intersect(w, pw)) >= 0.5 * least(len(w), len(pw)) THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY date_added, capture_id) AS run FROM l)
+  SELECT * FROM b""")
+shared("seq_groups", """SELECT day, run, count(*) AS size, arg_min(capture_id, (date_added, capture_id)) AS first_id, arg_max(capture_id, (date_added, capture_id)) AS last_id
+  FROM seq_rows GROUP BY 1, 2 HAVING count(*) >= 3""")
+
+
+@query("w_sequences", """
+  WITH k AS (SELECT day, run, v, count(*) AS n FROM (SELECT day, run, unnest(w) AS v FROM seq_rows) JOIN seq_groups USING (day, run) GROUP BY 1, 2, 3),
     t AS (SELECT day, run, string_agg(v, ' ' ORDER BY n DESC, v) AS words FROM (SELECT *, row_number() OVER (PARTITION BY day, run ORDER BY n DESC, v) AS rn FROM k) WHERE rn <= 2 GROUP BY 1, 2)
-  SELECT day, first_id, last_id, size, concat(words, ' · ', size, ' screenshots') AS label FROM g JOIN t USING (day, run)""")
+  SELECT day, first_id, last_id, size, concat(words, ' · ', size, ' screenshots') AS label FROM seq_groups JOIN t USING (day, run)""")
 def w_sequences(i: Inputs):
     return op.sequences(i.cap)
 
