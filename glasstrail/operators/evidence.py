@@ -24,9 +24,8 @@ def price_keys(text: str) -> Column:
     return F.expr(f"array_distinct(filter(transform(regexp_extract_all({text}, {quote(PRICE)}, 0), p -> concat({currency}, ':', string({amount}))), k -> k IS NOT NULL))")
 
 
-def hosts_in(text: str, limit: int | None = 8) -> Column:
-    found = f"array_distinct(regexp_extract_all(lower({text}), {quote(HOST)}, 0))"
-    return F.expr(found if limit is None else f"slice({found}, 1, {limit})")
+def hosts_in(text: str) -> Column:
+    return F.expr(f"array_distinct(regexp_extract_all(lower({text}), {quote(HOST)}, 0))")
 
 
 def excerpt(text: str, length: int = 360) -> Column:
@@ -98,7 +97,7 @@ def ground(answers: DataFrame, evidence_rows: DataFrame) -> DataFrame:
     claims = sentences.select("question_id", "pos", F.explode(F.concat(
         F.transform(price_keys("sentence"), lambda v: F.struct(F.lit("price").alias("kind"), v.alias("v"))),
         F.transform(F.regexp_extract_all("sentence", F.lit(r"\b(20\d{2})\b"), F.lit(1)), lambda v: F.struct(F.lit("year").alias("kind"), v.alias("v"))),
-        F.transform(hosts_in("sentence", None), lambda v: F.struct(F.lit("host").alias("kind"), v.alias("v"))),
+        F.transform(hosts_in("sentence"), lambda v: F.struct(F.lit("host").alias("kind"), v.alias("v"))),
         F.transform(F.slice(F.regexp_extract_all("sentence", F.lit(r"(?i)\b(\d+)\s+screenshots?\b"), F.lit(1)), 1, 1), lambda v: F.struct(F.lit("count").alias("kind"), v.alias("v"))),
     )).alias("c")).select("question_id", "pos", "c.kind", "c.v")
     known = evidence_rows.select("question_id", F.explode(F.concat(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.base import collapse_space, index_tokens
 
 TRIM = r".,;:!?\"'()\[\]{}"
-MAX_TERMS = 12
 
 
 def token_index(captures: DataFrame) -> DataFrame:
@@ -22,13 +21,13 @@ def save_index(index: DataFrame, table: str, buckets: int = 64) -> None:
     index.write.mode("overwrite").bucketBy(buckets, "token").sortBy("token", "capture_id").saveAsTable(table)
 
 
-def clean_terms(terms: Column, limit: int = MAX_TERMS) -> Column:
+def clean_terms(terms: Column) -> Column:
     trimmed = F.transform(terms, lambda t: F.lower(F.regexp_replace(t, f"^[{TRIM}]+|[{TRIM}]+$", "")))
-    return F.slice(F.array_distinct(F.filter(trimmed, lambda t: F.trim(t) != "")), 1, limit)
+    return F.array_distinct(F.filter(trimmed, lambda t: F.trim(t) != ""))
 
 
-def raw_terms(text: Column, limit: int = 10) -> Column:
-    return clean_terms(F.split(F.trim(text), r"\s+"), limit)
+def raw_terms(text: Column) -> Column:
+    return clean_terms(F.split(F.trim(text), r"\s+"))
 
 
 def expand_prefixes(index: DataFrame, terms: DataFrame) -> DataFrame:

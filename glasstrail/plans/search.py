@@ -94,7 +94,7 @@ def open_library(spark: SparkSession, folder: str) -> Library:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """``(query_id, term)``: terms and phrase words, cleaned, distinct, at most twelve."""
+    """``(query_id, term)``: terms and phrase words, cleaned and distinct."""
     joined = F.concat("terms", F.flatten(F.transform("phrases", lambda p: F.split(p, " "))))
     return queries.select("query_id", F.explode(ft.clean_terms(joined)).alias("term"))
 

@@ -100,7 +100,7 @@ def token_index(i: Inputs):
 
 
 @query("fts_terms", """
-  SELECT page_id, array_to_string(list_distinct_ordered[1:12], '|') AS terms FROM (SELECT page_id, list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda z: list_position(t, z[1]) = z[2]), lambda z: z[1]) AS list_distinct_ordered FROM (
+  SELECT page_id, array_to_string(list_distinct_ordered, '|') AS terms FROM (SELECT page_id, list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda z: list_position(t, z[1]) = z[2]), lambda z: z[1]) AS list_distinct_ordered FROM (
     SELECT page_id, list_filter(list_transform(string_split_regex(trim(url), '[/?&]+'), lambda v: lower(regexp_replace(regexp_replace(v, '^[.,;:!?"''()\\[\\]{}]+', ''), '[.,;:!?"''()\\[\\]{}]+$', ''))), lambda v: trim(v) <> '') AS t FROM pages))""")
 def fts_terms(i: Inputs):
     return i.pages.select("page_id", F.array_join(op.clean_terms(F.split(F.trim("url"), "[/?&]+")), "|").alias("terms"))
