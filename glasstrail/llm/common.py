@@ -58,6 +58,16 @@ def per_row(df: DataFrame, text: str, added: pa.Schema, ddl: str, derive: Callab
     return source.mapInArrow(run, ", ".join([*kinds, ddl]))
 
 
+def small_side(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored relation, to be broadcast if it has ``rows`` rows at most; a larger one is joined by shuffle."""
+    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
+
+
+def non_null(column: Column) -> Column:
+    """A string key that tells null from every value, so that joins and windows on it share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows no model may learn from; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

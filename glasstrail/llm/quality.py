@@ -13,7 +13,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_texts, checkpointed, per_row
+from .common import byte_texts, checkpointed, per_row, small_side
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 ADDED = pa.schema([(c, pa.int64()) for c in COUNTS])
@@ -109,5 +109,5 @@ def kept_documents(docs: DataFrame, host: str = "source", host_limit: float = 0.
     own = docs.columns
     counted = with_counts(docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)]), f"own_{own.index('text')}")
     good = counted.filter(~base_failed() & ~rules()["symbols"])
-    left = good.join(verdicts, F.col(f"own_{own.index(host)}").eqNullSafe(F.col("host")), "left_anti")
+    left = good.join(small_side(verdicts), F.col(f"own_{own.index(host)}").eqNullSafe(F.col("host")), "left_anti")
     return left.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)])
