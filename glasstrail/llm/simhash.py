@@ -17,7 +17,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import byte_texts, checkpointed, per_row
+from .common import byte_texts, checkpointed, non_null, per_row
 from .components import components
 
 #: Bit ranges (shift, width) of the ring's segments.
@@ -104,10 +104,9 @@ def deduplicated(docs: DataFrame, crowd: int = 64) -> DataFrame:
     small = checkpointed(with_fingerprints(plain.select(F.col(doc_id).alias("doc_id"), digest, F.col(text)), text, keep=["doc_id", "digest"]))
     placed = with_components(small, crowd=crowd)
     chosen = (placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")).alias("best"))
-              .select(F.col("best.doc_id").alias("best_id"), F.col("best.digest").alias("best_digest")))
-    left = plain.withColumn("digest", digest).join(
-        chosen, F.col(doc_id).eqNullSafe(F.col("best_id")) & (F.col("digest") == F.col("best_digest")), "left_semi")
-    again = F.row_number().over(Window.partitionBy(doc_id, "digest").orderBy(doc_id))
+              .select(non_null(F.col("best.doc_id")).alias("id_key"), F.col("best.digest").alias("digest")))
+    left = plain.withColumn("id_key", non_null(F.col(doc_id))).withColumn("digest", digest).join(chosen, ["id_key", "digest"], "left_semi")
+    again = F.row_number().over(Window.partitionBy("id_key", "digest").orderBy(doc_id))  # in the join's partitions
     return left.withColumn("again", again).filter("again = 1").select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)])
 
 
