@@ -16,7 +16,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import byte_texts, checkpointed, per_row
+from .common import byte_texts, checkpointed, non_null, per_row
 
 BUCKETS = 1024
 #: Least budget, in words, that the exact knapsack fills; it is larger where one document is.
@@ -137,11 +137,11 @@ def mixed(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = (3.0, 1.
     running = running.select("source", "size", "bucket", "extra", F.col("r_passes").alias("passes"))
     right, on = _prefixed(goal.select("source", "source_size", "target"), "source")
     quota = checkpointed(running.join(right, on).select("source", "size", "bucket", "extra", "passes", F.col("r_source_size").alias("q_source_size"), F.col("r_target").alias("q_target")))
-    right, on = _prefixed(quota, "source", "size", "bucket")
-    place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("pick_hash"))
-    placed = keyed.join(right, on).withColumn("place", place)
-    copies = (F.col("r_passes") + F.when(F.col("place") <= F.col("r_extra"), 1).otherwise(0)).cast("bigint")
-    return placed.select(*sized.columns, F.col("r_q_source_size").alias("source_size"), F.col("r_q_target").alias("target"), copies.alias("copies"),
+    quota = quota.select(non_null(F.col("source")).alias("q_source"), "size", "bucket", F.col("extra").alias("q_extra"), F.col("passes").alias("q_passes"), "q_source_size", "q_target")
+    place = F.row_number().over(Window.partitionBy("q_source", "size", "bucket").orderBy("pick_hash"))  # in the join's partitions
+    placed = keyed.withColumn("q_source", non_null(F.col("source"))).join(quota, ["q_source", "size", "bucket"]).withColumn("place", place)
+    copies = (F.col("q_passes") + F.when(F.col("place") <= F.col("q_extra"), 1).otherwise(0)).cast("bigint")
+    return placed.select(*sized.columns, F.col("q_source_size").alias("source_size"), F.col("q_target").alias("target"), copies.alias("copies"),
                          (copies * F.col("size")).alias("taken"))
 
 
