@@ -3,7 +3,7 @@
 The filter directions are a structured random product code: the dimensions form ``PARTS`` blocks, every block has ``CODES`` random
 unit vectors, and each choice of one per block, put together, is a direction, so CODES ** PARTS directions need only
 PARTS * CODES products. A vector is list-decoded to all directions whose product exceeds a limit: only code vectors that
-can still reach it with the best of the other block are combined. Vectors meet at shared directions and are verified
+can still reach it with the best of the other block are combined. A vector far from all of them takes its best ones. Vectors meet at shared directions and are verified
 by cosine in double precision. The limit gives a random vector about ``EXPECTED`` directions; at a cosine of 0.9 several
 of a vector's directions are shared, so nearly all pairs meet (the tests measure the recall).
 
@@ -28,6 +28,8 @@ from .components import components
 PARTS, CODES, EXPECTED, BLOCK, SEED = 2, 256, 64.0, 512, 17
 
 
+#: A vector that exceeds the limit in fewer directions takes this many of its best ones.
+LEAST_DIRECTIONS = 32
 #: Shorter vectors are turned into this many dimensions by an orthonormal map, which keeps their cosines.
 LEAST_DIMS = 32
 
@@ -71,6 +73,11 @@ def decode(vectors, book, limit: float) -> list:
             total = sums[:, None] + p[i][near][None, :]
             keep = total >= limit - rest
             sums, numbers = total[keep], (numbers[:, None] * CODES + near[None, :])[keep]
+        if len(numbers) < LEAST_DIRECTIONS:
+            sums = np.zeros(1)
+            for p in products:
+                sums = (sums[:, None] + p[i][None, :]).ravel()
+            numbers = np.argpartition(-sums, LEAST_DIRECTIONS)[:LEAST_DIRECTIONS]
         out.append(np.sort(numbers))
     return out
 
@@ -126,10 +133,11 @@ def _local_roots(i, j, n: int):
             return root
 
 
-def verify_group(direction: int, node, side, vectors, directions: list, weight, least: float):
+def verify_group(direction: int, node, side, vectors, directions, weight, least: float):
     """``(node, links, root)`` of the members that link with another one whose least shared direction is this one.
 
-    ``side`` is 0 and 1 for the two blocks of a group of different blocks, and 2 in a block with itself.
+    ``side`` is 0 and 1 for the two blocks of a group of different blocks, and 2 in a block with itself; ``directions()`` gives the
+    members' directions, which few groups need.
     """
     import numpy as np
 
@@ -141,7 +149,7 @@ def verify_group(direction: int, node, side, vectors, directions: list, weight,
     if not cosine.any():
         return None
     earlier: dict[int, int] = {}
-    cells = [(r, earlier.setdefault(d, len(earlier))) for r, ds in enumerate(directions) for d in ds if d < direction]
+    cells = [(r, earlier.setdefault(d, len(earlier))) for r, ds in enumerate(directions()) for d in ds if d < direction]
     if cells:
         seen = np.zeros((len(node), len(earlier)), dtype=np.float32)
         seen[tuple(np.array(cells).T)] = 1
@@ -157,33 +165,34 @@ MET = "node bigint, links bigint, root bigint"
 
 
 def _verified(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    """Verify the groups of a partition that is sorted by group; only the last group of a batch waits for the next batch."""
+    import numpy as np
 
-        held: list[tuple] = []
+    def group(rows: pa.Table) -> tuple | None:
+        lists = rows["vector"].combine_chunks()
+        bounds = lists.offsets.to_numpy()
+        values = lists.values.to_numpy(zero_copy_only=False)[bounds[0]:bounds[-1]]
+        found = verify_group(rows["direction"][0].as_py(), rows["node"].to_numpy(), rows["side"].to_numpy(), _unit(values, rows["dims"][0].as_py()),
+                             lambda: rows["directions"].to_pylist(), rows["weight"].to_numpy(), least)
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
 
-        def done() -> list:
-            if len(held) < 2:
-                return []
-            vectors = _unit([h[4] for h in held], len(held[0][4]))
-            found = verify_group(held[0][0][0], np.array([h[1] for h in held]), np.array([h[2] for h in held]), vectors,
-                                 [h[5] for h in held], np.array([h[3] for h in held], dtype=np.int64), least)
-            return [] if found is None else [found]
+        def verified(rows: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
+            found = [f for start, end in zip([0, *ends], ends) if end - start > 1 and (f := group(rows.slice(start, end - start))) is not None]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)], ["node", "links", "root"])
 
         for batch in batches:
-            out = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for dims, direction, a, b, node, side, weight, vector, directions in zip(*columns):
-                key = (direction, a, b, dims)
-                if held and held[0][0] != key:
-                    out += done()
-                    held.clear()
-                held.append((key, node, side, weight, vector, directions))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in range(3)], ["node", "links", "root"])
-        out = done()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0][k], pa.int64()) for k in range(3)], ["node", "links", "root"])
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            keys = np.stack([rows[c].to_numpy() for c in ("dims", "direction", "a", "b")])
+            ends = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+            yield from verified(rows, ends)
+            waiting = rows.slice(ends[-1]) if ends else rows
+        if waiting is not None and waiting.num_rows:
+            yield from verified(waiting, [waiting.num_rows])
 
     return run
 
