@@ -33,7 +33,7 @@ def excerpt(text: str, length: int = 360) -> Column:
     return F.expr(bind(f"CASE WHEN length(_b.c) <= {length} THEN _b.c ELSE concat(rtrim(left(_b.c, {length})), '…') END", c=clean))
 
 
-def candidates(engine: DataFrame, fallback: DataFrame, captures: DataFrame, questions: DataFrame, edges: DataFrame, window_limit: int = 30) -> DataFrame:
+def candidates(engine: DataFrame, fallback: DataFrame, captures: DataFrame, questions: DataFrame, edges: DataFrame, window_limit: int | None = 30) -> DataFrame:
     """Engine hits (or the plain search where there are none) and captures of the asked period, with their flags.
 
     ``engine``/``fallback``: query_id, capture_id, engine_rank; ``questions``: query_id, entity, keyword, start_s, end_s.
@@ -54,7 +54,9 @@ def candidates(engine: DataFrame, fallback: DataFrame, captures: DataFrame, ques
               .join(flags.filter("graph_hit").select("query_id", "capture_id", F.lit(True).alias("has_label")), ["query_id", "capture_id"], "left")
               .filter("NOT needs OR has_label"))
     w = Window.partitionBy("query_id").orderBy(F.desc("date_added"), F.desc("capture_id"))
-    extra = (inside.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= window_limit).join(found.select("query_id", "capture_id"), ["query_id", "capture_id"], "left_anti")
+    if window_limit is not None:
+        inside = inside.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= window_limit)
+    extra = (inside.join(found.select("query_id", "capture_id"), ["query_id", "capture_id"], "left_anti")
              .select("query_id", "capture_id", F.lit(None).cast("int").alias("engine_rank"), F.col("needs").alias("entity_hit"), F.lit(True).alias("temporal_hit"), F.lit(False).alias("graph_hit")))
     no = F.lit(False)
     ranked = (found.join(flags, ["query_id", "capture_id"], "left").join(captures.select("capture_id", "date_added"), "capture_id")
@@ -64,7 +66,7 @@ def candidates(engine: DataFrame, fallback: DataFrame, captures: DataFrame, ques
     return ranked.unionByName(extra)
 
 
-def rank(rows: DataFrame, limit: int = 8, w: EvidenceWeights = EvidenceWeights()) -> DataFrame:
+def rank(rows: DataFrame, limit: int | None = 8, w: EvidenceWeights = EvidenceWeights()) -> DataFrame:
     """Evidence score per question; equal scores keep the engine's order."""
     counts = rows.groupBy("query_id").agg(F.count("*").alias("n"))
     engine = F.when(F.col("engine_rank").isNull(), 0.0).otherwise(1.0 - F.col("engine_rank") / F.col("n"))
@@ -72,7 +74,8 @@ def rank(rows: DataFrame, limit: int = 8, w: EvidenceWeights = EvidenceWeights()
              + F.when(F.col("graph_hit"), w.graph).otherwise(0.0))
     scored = rows.join(counts, "query_id").withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("engine_rank"), "capture_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("n")
+    out = scored.withColumn("rank", F.row_number().over(order)).drop("n")
+    return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
 def evidence(captures: DataFrame) -> DataFrame:

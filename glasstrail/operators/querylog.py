@@ -83,10 +83,15 @@ def intent_sql(text: str, p: str = "") -> str:
             f"WHEN exists(slice({q.tokens_sql(f'trim({text})')}, 1, 4), t -> t IN ({verbs})) THEN 'FIND' ELSE 'SEARCH' END")
 
 
+def price_texts_sql(prices: str) -> str:
+    """How the price filters of a query read."""
+    low, high = money_sql("f.currency", "f.min"), money_sql("f.currency", "f.max")
+    return (f"transform({prices}, f -> CASE f.kind WHEN 'EXACT' THEN {low} WHEN 'AT_MOST' THEN concat('up to ', {high}) WHEN 'AT_LEAST' THEN concat('from ', {low}) ELSE concat({low}, ' – ', {high}) END)")
+
+
 def describe_sql(p: str = "") -> str:
     """What was understood, joined with middle dots."""
-    low, high = money_sql("f.currency", "f.min"), money_sql("f.currency", "f.max")
-    price = (f"transform({p}prices, f -> CASE f.kind WHEN 'EXACT' THEN {low} WHEN 'AT_MOST' THEN concat('up to ', {high}) WHEN 'AT_LEAST' THEN concat('from ', {low}) ELSE concat({low}, ' – ', {high}) END)")
+    price = price_texts_sql(f"{p}prices")
     rest = f"filter({p}terms, t -> NOT exists({p}phrases, w -> array_contains(split(w, ' '), t)))"
     flags = (f"array_compact(array(CASE WHEN {p}long_only THEN 'long screenshots' END, CASE WHEN size({p}codes) > 0 THEN 'one-time code' END, CASE WHEN array_contains({p}types, 'DUPLICATES') THEN 'duplicates' END))")
     joined = f"array_join(array_distinct(concat({p}phrases, {rest}, {price}, array_compact(array({p}date_label)), {p}hosts, {p}phones, {p}colors, {flags})), ' · ')"

@@ -70,7 +70,7 @@ def concept_table(spark: SparkSession, concepts: dict[str, str] | None = None) -
     return spark.createDataFrame(rows, "word string, concept string, pos int")
 
 
-def query_concepts(terms: DataFrame, concepts: DataFrame, limit: int = 3) -> DataFrame:
+def query_concepts(terms: DataFrame, concepts: DataFrame, limit: int | None = 3) -> DataFrame:
     """Best concepts per query: a concept named by a term counts 2, a member word 1; ties go to the named one."""
     t = terms.select("query_id", F.lower("term").alias("word")).distinct()
     member = concepts.select("word", "concept")
@@ -80,17 +80,19 @@ def query_concepts(terms: DataFrame, concepts: DataFrame, limit: int = 3) -> Dat
     named = t.join(names, t["word"] == names["concept"]).select("query_id", "concept", F.lit(2).alias("s"), F.lit(True).alias("named"))
     scored = listed.unionByName(named).groupBy("query_id", "concept").agg(F.sum("s").alias("score"), F.max("named").alias("named"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("named"), "concept")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
-def expand_terms(terms: DataFrame, concepts: DataFrame, limit: int = 12) -> DataFrame:
-    """Words of the best concepts that the query does not hold, in (concept rank, list) order."""
-    best = query_concepts(terms, concepts).select("query_id", "concept", F.col("rank").alias("concept_rank"))
+def expand_terms(terms: DataFrame, concepts: DataFrame, limit: int | None = 12) -> DataFrame:
+    """Words of the best concepts, or of all, that the query does not hold, in (concept rank, list) order."""
+    best = query_concepts(terms, concepts, None if limit is None else 3).select("query_id", "concept", F.col("rank").alias("concept_rank"))
     words = best.join(concepts, "concept").groupBy("query_id", "word").agg(F.min(F.struct("concept_rank", "pos")).alias("o"))
     own = terms.select("query_id", F.lower("term").alias("word")).distinct()
     fresh = words.join(own, ["query_id", "word"], "left_anti")
     w = Window.partitionBy("query_id").orderBy("o.concept_rank", "o.pos")
-    return fresh.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "word", "rank")
+    ranked = fresh.withColumn("rank", F.row_number().over(w)).select("query_id", "word", "rank")
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def _weight_sql(words: dict[str, float], text: str) -> str:
@@ -169,22 +171,27 @@ def summary(text: Column, filename: Column, prices: Column, hosts: Column, date_
     return let(lambda st: F.when(st["s"] == "", F.regexp_replace(filename, r"\.[^.]*$", "")).otherwise(st["s"]), s=F.array_join(parts, " — "))
 
 
-def prefilter(queries: DataFrame, captures: DataFrame, expansions: DataFrame, max_terms: int = 15) -> DataFrame:
+def prefilter(queries: DataFrame, captures: DataFrame, expansions: DataFrame, max_terms: int | None = None) -> DataFrame:
     """``(query_id, capture_id)`` sharing at least one exact token with the query or its expansion."""
     words = F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", "")), lambda w: F.length(w) >= 2)
     own = queries.select("query_id", F.posexplode(words).alias("pos", "token"))
     more = expansions.select("query_id", (F.col("rank") + 1000).alias("pos"), F.col("word").alias("token"))
     terms = own.unionByName(more).groupBy("query_id", "token").agg(F.min("pos").alias("pos"))
-    w = Window.partitionBy("query_id").orderBy("pos")
-    terms = terms.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max_terms).select("query_id", "token")
+    if max_terms is not None:
+        w = Window.partitionBy("query_id").orderBy("pos")
+        terms = terms.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max_terms)
+    terms = terms.select("query_id", "token")
     postings = captures.select("capture_id", F.explode(F.array_distinct(F.concat(index_tokens(F.col("filename")), index_tokens(F.col("ocr_text"))))).alias("token"))
     return postings.join(terms, "token").select("query_id", "capture_id").distinct()
 
 
-def search(queries: DataFrame, captures: DataFrame, concepts: DataFrame, floor: float = MIN_SIMILARITY, limit: int = 60) -> DataFrame:
-    """Top captures per query by cosine among token-sharing candidates."""
+def search(queries: DataFrame, captures: DataFrame, concepts: DataFrame, floor: float = MIN_SIMILARITY, limit: int | None = None, max_terms: int | None = None) -> DataFrame:
+    """Captures per query by cosine among token-sharing candidates, the best ``limit`` or all; ``rank`` only where limited.
+
+    Without ``max_terms`` every word of the query and every word of its concepts finds candidates.
+    """
     terms = queries.select("query_id", F.explode(index_tokens(F.col("text"))).alias("term"))
-    candidates = prefilter(queries, captures, expand_terms(terms, concepts))
+    candidates = prefilter(queries, captures, expand_terms(terms, concepts, 12 if max_terms is not None else None), max_terms)
     wanted = captures.join(candidates.select("capture_id").distinct(), "capture_id", "left_semi")
     docs = embed(wanted, "capture_id", vec.embeddable_text(F.col("ocr_text"), F.col("filename")))
     qs = embed(queries, "query_id", F.col("text")).withColumnRenamed("w", "qw")
@@ -192,6 +199,8 @@ def search(queries: DataFrame, captures: DataFrame, concepts: DataFrame, floor:
     scored = (candidates.join(qs, "query_id").join(docs, ["capture_id", "dim"])
               .groupBy("query_id", "capture_id").agg(F.sum(F.col("qw") * F.col("w")).alias("similarity")))
     scored = scored.withColumn("similarity", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("similarity")))).filter(F.col("similarity") >= floor)
+    if limit is None:
+        return scored
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "capture_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 

@@ -41,6 +41,31 @@ def e_candidates(i: Inputs):
     return _candidates(i)
 
 
+def _searched(i: Inputs):
+    """Candidates whose engine rows are the search plan's answers, none cut."""
+    from ..plans import search as plan
+    from .fulltext import documents
+    from .graph import edges
+    q = i.spark.createDataFrame(QUESTIONS, "query_id bigint, entity string, keyword string, plain string, start_s bigint, end_s bigint")
+    lib = plan.library(documents(i))
+
+    def engine(column: int):
+        asked = i.spark.createDataFrame([plan.make_query(x[0], x[column], [x[column]]) for x in QUESTIONS if x[column]], plan.QUERY_DDL)
+        return plan.ranked(plan.ladder(lib, asked)).select("query_id", "capture_id", (F.col("rank") - 1).alias("engine_rank"))
+
+    return op.candidates(engine(2), engine(3), i.cap, q, edges(i), window_limit=None)
+
+
+@query("e_candidates_search")
+def e_candidates_search(i: Inputs):
+    return _searched(i)
+
+
+@query("e_rank_search")
+def e_rank_search(i: Inputs):
+    return op.rank(_searched(i), limit=None).select("query_id", "capture_id", "score", "rank")
+
+
 @query("e_rank", """
   SELECT query_id, capture_id, score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, engine_rank ASC NULLS LAST, capture_id) AS rn FROM (
     SELECT query_id, capture_id, engine_rank, round(CAST(least(1.0, CASE WHEN engine_rank IS NULL THEN 0 ELSE 0.5 * (1 - engine_rank / count(*) OVER (PARTITION BY query_id)) END + CASE WHEN entity_hit THEN 0.25 ELSE 0 END + CASE WHEN temporal_hit THEN 0.15 ELSE 0 END + CASE WHEN graph_hit THEN 0.1 ELSE 0 END) AS DOUBLE), 9) AS score FROM cand_f)) WHERE rn <= 8""")

@@ -126,7 +126,7 @@ shared("vec60", "SELECT query_id, capture_id, sim FROM sem_hits WHERE rank <= 60
 def _vectors(i: Inputs):
     from ..operators import semantic
     from .semantic import question_frame
-    return semantic.search(question_frame(i), i.cap, semantic.concept_table(i.spark)).select("query_id", "capture_id", "similarity")
+    return semantic.search(question_frame(i), i.cap, semantic.concept_table(i.spark), limit=60, max_terms=15).select("query_id", "capture_id", "similarity")
 
 
 @query("semantic_union", """
@@ -209,3 +209,14 @@ def provider_boost(i: Inputs):
     return op.boost(rows, rows.join(boosted, "capture_id", "left_semi"), 50).select("query_id", "capture_id", "rank")
 
 
+@query("search_end_to_end")
+def search_end_to_end(i: Inputs):
+    """Every structured query through ladder, vectors, graph labels, hybrid score, collapse and sort; query 22 also asks with an image."""
+    from ..operators import semantic
+    from ..plans.fusion import search_all
+    from .graph import edges
+    from .visual import visuals
+    labels = edges(i).select("capture_id", F.col("display").alias("label"))
+    probes = i.cap.agg(F.min("capture_id").alias("visual_id")).select(F.lit(22).cast("bigint").alias("query_id"), "visual_id")
+    out = search_all(documents(i), query_frame(i), labels, visuals(i), probes, semantic.concept_table(i.spark))
+    return out.withColumns({"score": F.col("score").cast("bigint"), "similarity": F.round("similarity", 6), "entity": F.round("entity", 6), "hybrid": F.round("hybrid", 6), "reasons": F.array_join("reasons", "|")})

@@ -132,7 +132,7 @@ shared("sem_hits", """
 
 @query("sem_search", "SELECT query_id, capture_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM sem_hits WHERE rank <= 60")
 def sem_search(i: Inputs):
-    hits = op.search(question_frame(i), i.cap, op.concept_table(i.spark))
+    hits = op.search(question_frame(i), i.cap, op.concept_table(i.spark), limit=60, max_terms=15)
     return hits.select("query_id", "capture_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 

@@ -80,11 +80,24 @@ def status_counts(captures: DataFrame) -> DataFrame:
 
 
 def live_search(captures: DataFrame, queries: DataFrame) -> DataFrame:
-    """Alerts: new captures that hold every term of a standing query. ``queries``: query_id, terms."""
-    words = F.array_distinct(F.split(F.lower("ocr_text"), "[^a-z0-9]+", -1))
-    first = queries.select("query_id", "terms", F.get("terms", F.lit(0)).alias("word"))
-    hits = captures.select("capture_id", words.alias("words")).select("capture_id", "words", F.explode("words").alias("word")).join(first, "word")
-    return run_to_files(hits.filter(F.size(F.array_except("terms", "words")) == 0).select("query_id", "capture_id"), "alerts")
+    """Alerts: new captures that hold every term of a standing query as the start of a word, and every phrase.
+
+    ``queries``: query_id, terms and, optionally, phrases. A text meets a query by the prefixes of its words as long as the
+    query's first term, so standing queries are found by equality.
+    """
+    phrases = F.coalesce("phrases", F.array().cast("array<string>")) if "phrases" in queries.columns else F.array().cast("array<string>")
+    split = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+", -1), lambda w: w != "")
+    standing = queries.select("query_id", F.transform(F.coalesce("terms", F.array().cast("array<string>")), lambda t: F.lower(t)).alias("terms"),
+                              F.transform(phrases, lambda p: F.array_join(split(p), " ")).alias("phrases"))
+    standing = standing.withColumn("key", F.coalesce(F.get("terms", F.lit(0)), F.get(F.split(F.get("phrases", F.lit(0)), " "), F.lit(0)))).filter("key <> ''")
+    lengths = standing.agg(F.collect_set(F.length("key")).alias("lengths"))
+    texts = captures.select("capture_id", split("ocr_text").alias("words")).crossJoin(F.broadcast(lengths))  # one row
+    prefixes = F.array_distinct(F.flatten(F.transform("words", lambda w: F.transform(F.filter("lengths", lambda n: n <= F.length(w)), lambda n: F.left(w, n)))))
+    hits = texts.select("capture_id", "words", F.explode(prefixes).alias("key")).join(standing, "key")
+    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    held = (F.forall("terms", lambda t: F.exists("words", lambda w: F.startswith(w, t)))
+            & F.forall("phrases", lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" ")))))
+    return run_to_files(hits.filter(held).select("query_id", "capture_id"), "alerts")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
