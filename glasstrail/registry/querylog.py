@@ -126,6 +126,13 @@ def q_assistant_intent(i: Inputs):
     return asks(i).select("conv_id", "turn", op.question_intent(F.col("ask")).alias("intent"))
 
 
+@query("q_assistant_slots_all")
+def q_assistant_slots_all(i: Inputs):
+    """Slots of every turn, the turns of free prose included, with the entity as computed."""
+    rows = op.question_slots(asks(i), TODAY, "ask")
+    return rows.select("conv_id", "turn", "entity", "price_max", "price_min", F.get("period", F.lit(0)).alias("first_day"), "color", "refers_to_previous", F.array_join("keywords", "|").alias("keywords"))
+
+
 @query("q_assistant_slots", """
   SELECT conv_id, turn, CASE k WHEN 0 THEN 'Zed' WHEN 2 THEN 'shop.example' WHEN 7 THEN 'Pixel Phone' END AS entity, CASE k WHEN 3 THEN 40000.0 END::DOUBLE AS price_max, CASE k WHEN 7 THEN 2500.0 END::DOUBLE AS price_min,
     CASE k WHEN 3 THEN DATE '2026-09-23' WHEN 5 THEN DATE '2026-09-30' WHEN 8 THEN DATE '2026-09-16' END AS first_day, CASE k WHEN 8 THEN 'blue' END AS color,
