@@ -265,15 +265,19 @@ def order_codes(text: Column | str) -> Column:
     return F.expr(f"array_distinct(filter({items}, x -> x.code RLIKE '[0-9]'))")
 
 
-def emails(text: Column | str, limit: int = 2) -> Column:
+def _first(items: str, limit: int | None) -> str:
+    return items if limit is None else f"slice({items}, 1, {limit})"
+
+
+def emails(text: Column | str, limit: int | None = None) -> Column:
     t = sql_of(text)
     found = f"transform(regexp_extract_all({t}, {quote(lx.EMAIL_LOOSE)}, 0), m -> regexp_replace(m, {quote(chr(92) + 's+')}, ''))"
-    return F.expr(_guarded(f"contains({t}, '@')", f"slice(array_distinct({found}), 1, {limit})", "string"))
+    return F.expr(_guarded(f"contains({t}, '@')", _first(f"array_distinct({found})", limit), "string"))
 
 
-def addresses(text: Column | str, limit: int = 2) -> Column:
+def addresses(text: Column | str, limit: int | None = None) -> Column:
     t = sql_of(text)
-    return F.expr(f"slice(array_distinct(transform(regexp_extract_all({t}, {quote(lx.STREET)}, 0), m -> trim(m))), 1, {limit})")
+    return F.expr(_first(f"array_distinct(transform(regexp_extract_all({t}, {quote(lx.STREET)}, 0), m -> trim(m)))", limit))
 
 
 def all_facts(text: Column | str, today: date) -> Column:

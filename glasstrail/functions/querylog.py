@@ -208,7 +208,7 @@ def _in(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in dict.fromkeys(words)) + ")"
 
 
-def keywords_sql(text: str, max_terms: int = 12, max_phrases: int = 4) -> str:
+def keywords_sql(text: str, max_terms: int | None = None, max_phrases: int | None = None) -> str:
     """``struct<terms, phrases>`` of what is left: fillers trimmed at both ends, stop words and consumed text break phrases."""
     filler = f"IN {_in(lx.TRAILING_FILLER)}"
     cut = ("slice(_t.k, coalesce(array_min(filter(transform(_t.k, (t, i) -> CASE WHEN t " + filler + " THEN NULL ELSE i + 1 END), i -> i IS NOT NULL)), 1), "
@@ -216,7 +216,8 @@ def keywords_sql(text: str, max_terms: int = 12, max_phrases: int = 4) -> str:
            "- coalesce(array_min(filter(transform(_t.k, (t, i) -> CASE WHEN t " + filler + " THEN NULL ELSE i + 1 END), i -> i IS NOT NULL)), 1) + 1)")
     kept = f"transform(_c.c, t -> CASE WHEN t IN {_in(lx.INNER_STOP)} OR t = '\\u0001' THEN '\\u0001' ELSE t END)"
     runs = "filter(transform(split(array_join(_k.k, ' '), '\\u0001', -1), r -> trim(r)), r -> contains(r, ' '))"
-    terms = (f"slice(array_distinct(filter(_k.k, t -> t <> '\\u0001' AND (length(t) >= 2 OR exists(_r.r, p -> array_contains(split(p, ' '), t))))), 1, {max_terms})")
+    first = lambda items, limit: items if limit is None else f"slice({items}, 1, {limit})"
+    terms = first("array_distinct(filter(_k.k, t -> t <> '\\u0001' AND (length(t) >= 2 OR exists(_r.r, p -> array_contains(split(p, ' '), t)))))", max_terms)
     return (f"transform(array(struct({tokens_sql(text)} AS k)), _t -> transform(array(struct(CASE WHEN size(_t.k) = 0 THEN _t.k ELSE {cut} END AS c)), _c -> "
             f"transform(array(struct({kept} AS k)), _k -> transform(array(struct({runs} AS r)), _r -> "
-            f"named_struct('terms', {terms}, 'phrases', slice(array_distinct(_r.r), 1, {max_phrases})))[0])[0])[0])[0]")
+            f"named_struct('terms', {terms}, 'phrases', {first('array_distinct(_r.r)', max_phrases)}))[0])[0])[0])[0]")

@@ -61,9 +61,10 @@ def match(contexts: DataFrame, rules: DataFrame, executed: DataFrame | None = No
     return once if executed is None else once.join(executed.select("rule_id", "capture_id"), ["rule_id", "capture_id"], "left_anti")
 
 
-def time_based(contexts: DataFrame, rules: DataFrame, executed: DataFrame | None = None, newest: int = 50) -> DataFrame:
-    """TIME_BASED rules over the newest captures."""
-    recent = contexts.orderBy(F.desc("date_added"), F.desc("capture_id")).limit(newest).withColumn("triggers", F.array(F.lit("TIME_BASED")))
+def time_based(contexts: DataFrame, rules: DataFrame, executed: DataFrame | None = None, newest: int | None = None) -> DataFrame:
+    """TIME_BASED rules over all captures, or the newest."""
+    recent = contexts if newest is None else contexts.orderBy(F.desc("date_added"), F.desc("capture_id")).limit(newest)
+    recent = recent.withColumn("triggers", F.array(F.lit("TIME_BASED")))
     return match(recent, rules, executed)
 
 

@@ -74,10 +74,16 @@ def x_order_codes(i: Inputs):
     SELECT doc_id, regexp_replace(m[1], '\s+', '', 'g') AS e1, list_filter(list_transform(m, lambda v: regexp_replace(v, '\s+', '', 'g')), lambda v: v <> regexp_replace(m[1], '\s+', '', 'g'))[1] AS e2 FROM (
       SELECT doc_id, regexp_extract_all(text, '[a-zA-Z0-9._%+-]+\s*@\s*[a-zA-Z0-9.-]+\s*\.\s*[a-zA-Z]{2,}') AS m FROM documents) WHERE len(m) > 0))""")
 def x_emails(i: Inputs):
-    rows = i.documents.select("doc_id", x.emails("text").alias("e")).filter("size(e) > 0")
+    rows = i.documents.select("doc_id", x.emails("text", 2).alias("e")).filter("size(e) > 0")
     return rows.select("doc_id", F.array_join("e", "|").alias("emails"))
 
 
+@query("x_emails_all", r"""
+  SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+\s*@\s*[a-zA-Z0-9.-]+\s*\.\s*[a-zA-Z]{2,}')), '\s+', '', 'g') AS email FROM documents""")
+def x_emails_all(i: Inputs):
+    return i.documents.select("doc_id", F.explode(x.emails("text")).alias("email"))
+
+
 @query("x_addresses", "SELECT c_custkey, concat(c_custkey % 900 + 1, ' ', c_mktsegment, ' Garden Road') AS address FROM customer")
 def x_addresses(i: Inputs):
     rows = i.customer.select("c_custkey", F.expr("concat('ship to ', c_custkey % 900 + 1, ' ', c_mktsegment, ' Garden Road, unit 7, total 12') AS text"))

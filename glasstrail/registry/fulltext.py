@@ -151,18 +151,35 @@ def fts_legacy_score(i: Inputs):
     return rows.orderBy(F.desc("score"), F.desc("date_added"), F.desc("capture_id")).limit(50).select("capture_id", "score")
 
 
+def _filtered(i: Inputs):
+    from ..operators.filters import date_window, eligible, having
+    return having(i.cap.filter(eligible() & date_window(946684800)), i.prices, F.col("amount") <= 1250)
+
+
+@query("fts_filters_only_all", "SELECT capture_id FROM cap WHERE status <> 'FAILED' AND date_added >= 946684800 AND capture_id IN (SELECT capture_id FROM price_f WHERE amount <= 1250)")
+def fts_filters_only_all(i: Inputs):
+    return _filtered(i).select("capture_id")
+
+
 @query("fts_filters_only", "SELECT capture_id FROM cap WHERE status <> 'FAILED' AND date_added >= 946684800 AND capture_id IN (SELECT capture_id FROM price_f WHERE amount <= 1250) ORDER BY date_added DESC, capture_id DESC LIMIT 400")
 def fts_filters_only(i: Inputs):
-    from ..operators.filters import date_window, eligible, having
-    rows = having(i.cap.filter(eligible() & date_window(946684800)), i.prices, F.col("amount") <= 1250)
-    return rows.orderBy(F.desc("date_added"), F.desc("capture_id")).limit(400).select("capture_id")
+    return _filtered(i).orderBy(F.desc("date_added"), F.desc("capture_id")).limit(400).select("capture_id")
 
 
-@query("fts_ids", "SELECT capture_id FROM pairs WHERE query_id = 3 AND any_term ORDER BY date_added DESC, capture_id DESC LIMIT 300")
-def fts_ids(i: Inputs):
+def _matched(i: Inputs):
     rows = i.cap.filter("status <> 'FAILED'")
     hits = op.match_any(op.token_index(rows), plan.query_terms(query_frame(i).filter("query_id = 3")))
-    return rows.join(hits, "capture_id", "left_semi").orderBy(F.desc("date_added"), F.desc("capture_id")).limit(300).select("capture_id")
+    return rows.join(hits, "capture_id", "left_semi")
+
+
+@query("fts_ids_all", "SELECT capture_id FROM pairs WHERE query_id = 3 AND any_term")
+def fts_ids_all(i: Inputs):
+    return _matched(i).select("capture_id")
+
+
+@query("fts_ids", "SELECT capture_id FROM pairs WHERE query_id = 3 AND any_term ORDER BY date_added DESC, capture_id DESC LIMIT 300")
+def fts_ids(i: Inputs):
+    return _matched(i).orderBy(F.desc("date_added"), F.desc("capture_id")).limit(300).select("capture_id")
 
 
 @query("text_search", """

@@ -136,6 +136,18 @@ def sem_search(i: Inputs):
     return hits.select("query_id", "capture_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("sem_search_all", """
+  SELECT query_id, capture_id, round(sim, 6) AS similarity FROM (
+    SELECT q.query_id, d.capture_id, sum(q.w * d.w) AS sim FROM q_vec q JOIN cap_vec d USING (dim)
+    WHERE EXISTS (SELECT 1 FROM cap_terms t WHERE t.capture_id = d.capture_id AND t.word IN (
+        SELECT z.word FROM q_terms z WHERE z.query_id = q.query_id UNION ALL SELECT c.word FROM concepts c JOIN (
+          SELECT z.query_id, y.concept FROM q_terms z JOIN concepts y ON y.word = z.word OR y.concept = z.word) k ON k.concept = c.concept WHERE k.query_id = q.query_id))
+    GROUP BY 1, 2) WHERE sim >= 0.25""")
+def sem_search_all(i: Inputs):
+    hits = op.search(question_frame(i), i.cap, op.concept_table(i.spark))
+    return hits.select("query_id", "capture_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("sem_similar", """
   WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings),
     u AS (SELECT vec_id, label, list_transform(e, lambda v: v / sqrt(list_sum(list_transform(e, lambda z: z * z)))) AS e FROM n),
