@@ -27,14 +27,16 @@ def search_all(docs: DataFrame | Library, queries: DataFrame, labels: DataFrame,
     asked = queries.select("query_id", F.trim("raw").alias("text")).filter("text <> ''")
     vectors = checkpointed(semantic.search(asked, lib.docs, concepts, limit=None, max_terms=None).select("query_id", "capture_id", "similarity"))
     plain = queries.filter(f"size(terms) + size(phrases) > 0 AND NOT ({_FILTERED})")
-    rows = ranking.semantic_union(lexical, vectors).drop("only_vector").unionByName(ranking.semantic_fallback(plain, lexical, vectors), allowMissingColumns=True)
+    # The parts are stored, so no later step plans them again.
+    rows = checkpointed(ranking.semantic_union(lexical, vectors).drop("only_vector").unionByName(ranking.semantic_fallback(plain, lexical, vectors), allowMissingColumns=True))
+    visuals = checkpointed(visuals.select("capture_id", "dhash"))
     hashes = probes.join(visuals.select(F.col("capture_id").alias("visual_id"), F.col("dhash").alias("query_hash")), "visual_id", "left")
     words = queries.select("query_id", F.explode("terms").alias("term"))
     topic = semantic.query_concepts(words, concepts, 1).select("query_id", "concept")
     q = queries.select("query_id", F.struct(*queries.columns).alias("q")).join(hashes, "query_id", "left").join(topic, "query_id", "left")
-    names = labels.groupBy("capture_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    names = checkpointed(labels.groupBy("capture_id").agg(F.array_sort(F.collect_set("label")).alias("labels")))
     d = (lib.docs.select("capture_id", F.struct("date_added", "content_hash", "ocr_text").alias("d"), "colors")
-         .join(visuals.select("capture_id", "dhash"), "capture_id", "left").join(names, "capture_id", "left"))
+         .join(visuals, "capture_id", "left").join(names, "capture_id", "left"))
     none = F.array().cast("array<string>")
     rows = (rows.join(q, "query_id").join(d, "capture_id").filter("visual_id IS NULL OR capture_id <> visual_id")
             .withColumns({"rung": F.coalesce("rung", F.lit("SEMANTIC")), "score": F.coalesce("score", F.lit(0)), "reasons": F.coalesce("reasons", none), "labels": F.coalesce("labels", none)}))
