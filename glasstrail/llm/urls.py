@@ -10,8 +10,8 @@ Labels are the pages that a rule decides. The blocked share of a node is smoothe
 one half: (blocked + strength * parent) / (labelled + strength). Pages no rule fits are blocked if their template's
 smoothed share is at least ``limit``.
 
-A null url, or one without ``://``, has an empty host and path and is judged by the root. Segments beyond the third
-form one tail. Repeated pages count as often as they stand.
+A null url, or one without ``://``, has an empty host and path and is judged by the root. In a path of more than three
+segments, the third and all deeper ones form one tail: paths that differ only there get one verdict. Repeated pages count as often as they stand.
 """
 from __future__ import annotations
 
