@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, licenses, mixing, quality, rulefit, secrets, simhash, toxicity, urls, vectors
+from . import bpe, convtrie, licenses, mixing, quality, rulefit, secrets, simhash, toxicity, urls, vectors
 from .common import checkpointed, documents, held_out, table
 
 QUERIES = {}
@@ -80,3 +80,11 @@ def op10_toxicity(spark: SparkSession, root: str) -> DataFrame:
     net, thresholds = toxicity.trained(docs, table(spark, root, "labels", "doc_id", "toxic"))
     return toxicity.scored(docs, net, thresholds, keep=["doc_id", "lang"]).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "flagged")
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, root: str) -> DataFrame:
+    return convtrie.trie(table(spark, root, "conversations", "conv_id", "turn", "role", "text"))
+
+
+ORACLES["op11_conversation_trie"] = convtrie.oracle_sql()
