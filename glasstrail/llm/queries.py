@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, convtrie, licenses, mixing, quality, rulefit, secrets, simhash, toxicity, urls, vectors
+from . import alignment, bpe, convtrie, licenses, mixing, quality, rulefit, secrets, simhash, toxicity, urls, vectors
 from .common import checkpointed, documents, held_out, table
 
 QUERIES = {}
@@ -88,3 +88,9 @@ def op11_conversation_trie(spark: SparkSession, root: str) -> DataFrame:
 
 
 ORACLES["op11_conversation_trie"] = convtrie.oracle_sql()
+
+
+@query
+def op13_token_alignment(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root, "doc_id", "text")
+    return alignment.scored(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), 32_000, keep=["doc_id"])
