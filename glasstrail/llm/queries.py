@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, bpe, convtrie, licenses, mixing, quality, rulefit, secrets, simhash, toxicity, urls, vectors
+from . import alignment, bpe, convtrie, licenses, mixing, quality, rulefit, secrets, simhash, sitetree, toxicity, urls, vectors
 from .common import checkpointed, documents, held_out, table
 
 QUERIES = {}
@@ -90,6 +90,14 @@ def op11_conversation_trie(spark: SparkSession, root: str) -> DataFrame:
 ORACLES["op11_conversation_trie"] = convtrie.oracle_sql()
 
 
+@query
+def op12_html_text(spark: SparkSession, root: str) -> DataFrame:
+    return sitetree.main_text(table(spark, root, "pages", "page_id", "url", "html"), keep=["page_id", "url"])
+
+
+ORACLES["op12_html_text"] = sitetree.oracle_sql()
+
+
 @query
 def op13_token_alignment(spark: SparkSession, root: str) -> DataFrame:
     docs = documents(spark, root, "doc_id", "text")
