@@ -4,10 +4,10 @@ Both id lists of a text cover the same bytes. The ends of the tokens are diction
 of their keys, sorted, cuts both lists into groups, and links are expanded inside each group: all pairs whose byte ranges
 overlap.
 
-Neither tokenizer joins a space with something before it that is no white space: the byte pattern never does, and the
-vocabulary of pieces is looked through for it when it is loaded. Such places are ends of both, so texts are aligned piece
-by piece and a task remembers what it found for a piece (at most ``MEMORY`` short pieces; results don't depend on it). A
-vocabulary that does join there makes whole texts the pieces.
+Neither tokenizer joins a space or line end with something before it that is no white space: the byte pattern never does,
+and the vocabulary of pieces is looked through for it when it is loaded. Such places are ends of both, so texts are aligned
+piece by piece and a task remembers what it found for a piece (at most ``MEMORY`` short pieces; results don't depend on
+it). A vocabulary that does join there makes whole texts the pieces.
 
 Corpus-wide: per text only its different id pairs and their numbers are stored, in a written table. Counts are summed with
 a partial sum before the shuffle. Pairs that occur often go to the texts by a broadcast of at most ``BROADCAST_PAIRS``
@@ -18,10 +18,12 @@ Null and empty texts, and texts that a tokenizer does not give back byte by byte
 """
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import uuid
-from itertools import accumulate, chain
+from array import array
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -30,41 +32,45 @@ from ..session import ensure_checkpoint_dir
 from .bpe import in_groups
 from .common import char_texts, per_row
 
-MEMORY = 200_000
+MEMORY = 400_000
 SHORT = 64
 BROADCAST_PAIRS = 1_000_000
-PIECE = re.compile(r" (?:[^ ]|(?<=\s) )*")
+PIECE = re.compile(r"[ \n](?:[^ \n]+|(?<=\s)[ \n])*")
 ALIGNED = pa.schema([*[(f"_{c}", pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("_groups", pa.string()), ("_pairs", pa.list_(pa.int64())), ("_times", pa.list_(pa.int64()))])
 ALIGNED_DDL = "_n_a bigint, _n_b bigint, _n_groups bigint, _n_links bigint, _groups string, _pairs array<bigint>, _times array<bigint>"
 NOTHING = (0, 0, 0, 0, "", [], [])
 
 
-def groups_of(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[list[int], list[int], list[tuple[int, int]]]]:
-    """Groups of two id lists over the same bytes: their ids and the links inside."""
+def groups_of(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[list[int], list[int]]]:
+    """Groups of two id lists over the same bytes."""
     end_a = {end: i for i, end in enumerate(accumulate(map(size_a.__getitem__, a)), 1)}
     end_b = {end: i for i, end in enumerate(accumulate(map(size_b.__getitem__, b)), 1)}
+    common = end_a.keys() & end_b.keys()
+    if len(common) == 1:
+        return [(a, b)]
     found, i, j = [], 0, 0
-    for end in sorted(end_a.keys() & end_b.keys()):
-        left, right = a[i:end_a[end]], b[j:end_b[end]]
-        i, j = end_a[end], end_b[end]
-        if len(left) == 1 or len(right) == 1:
-            links = [(x, y) for x in left for y in right]
-        else:
-            links, m, n, to_a, to_b = [], 0, 0, size_a[left[0]], size_b[right[0]]
-            while True:  # inside a group no ends meet before the last one
-                links.append((left[m], right[n]))
-                if to_a == to_b:
-                    break
-                if to_a < to_b:
-                    m += 1
-                    to_a += size_a[left[m]]
-                else:
-                    n += 1
-                    to_b += size_b[right[n]]
-        found.append((left, right, links))
+    for end in sorted(common):
+        m, n = end_a[end], end_b[end]
+        found.append((a[i:m], b[j:n]))
+        i, j = m, n
     return found
 
 
+def links_of(left: list[int], right: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[int, int]]:
+    """Linked pairs of one group of several tokens on both sides; inside it no ends meet before the last one."""
+    links, m, n, to_a, to_b = [], 0, 0, size_a[left[0]], size_b[right[0]]
+    while True:
+        links.append((left[m], right[n]))
+        if to_a == to_b:
+            return links
+        if to_a < to_b:
+            m += 1
+            to_a += size_a[left[m]]
+        else:
+            n += 1
+            to_b += size_b[right[n]]
+
+
 def byte_level() -> dict[str, int]:
     """Characters of a byte-level vocabulary to bytes: printable Latin-1 stands for itself, the others are numbered from 256."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
@@ -91,46 +97,69 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.joins = any("▁" in p.lstrip("▁") for p in pieces)
+        self.blank, self.line = self.b.encode("x ")[len(self.b.encode("x")):], self.b.encode("\nx")[:1]
+        self.joins = any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) or self.line != [self.b.piece_to_id("▁")]
         self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.name_a, self.name_b = list(map(str, range(len(self.bytes_a)))), list(map(str, range(len(self.bytes_b))))
         self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     def _learn(self, pieces: list[str]) -> dict[str, tuple | None]:
         ids_a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        ids_b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        found = {}
+        ids_b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
+        found: dict[str, tuple | None] = {}
+        bytes_a, bytes_b, size_a, size_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__, self.size_a, self.size_b
+        name_a, name_b, width = self.name_a, self.name_b, len(self.bytes_b)
         for piece, a, b in zip(pieces, ids_a, ids_b):
             if piece == " ":  # an empty text gets no space of its own
-                b = self.b.encode("x ")[len(self.b.encode("x")):]
+                b = self.blank
+            elif piece[0] == "\n":  # nor has a line end one before it
+                b = b[1:]
             whole = piece.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
+            if b"".join(map(bytes_a, a)) != whole or b"".join(map(bytes_b, b)) != whole:
                 found[piece] = None
                 continue
-            groups = groups_of(a, b, self.size_a, self.size_b)
-            codes = [x * len(self.bytes_b) + y for _, _, links in groups for x, y in links]
-            text = "|".join(f"{','.join(map(str, x))};{','.join(map(str, y))}" for x, y, _ in groups)
-            found[piece] = (len(a), len(b), len(groups), len(codes), text, codes)
+            codes, texts = [], []
+            groups = groups_of(a, b, size_a, size_b)
+            for left, right in groups:
+                if len(left) == 1:
+                    x = left[0]
+                    if len(right) == 1:
+                        codes.append(x * width + right[0])
+                        texts.append(f"{x};{right[0]}")
+                        continue
+                    codes += [x * width + y for y in right]
+                elif len(right) == 1:
+                    codes += [x * width + right[0] for x in left]
+                else:
+                    codes += [x * width + y for x, y in links_of(left, right, size_a, size_b)]
+                texts.append(f"{','.join([name_a[x] for x in left])};{','.join([name_b[y] for y in right])}")
+            found[piece] = (len(a), len(b), len(groups), "|".join(texts), array("q", codes).tobytes())
         return found
 
     def align(self, texts: list[str]) -> list[tuple]:
         import numpy as np
 
-        if len(self.known) > MEMORY:
-            for piece in list(self.known)[MEMORY // 3:]:  # the pieces met first are the most frequent ones
-                del self.known[piece]
         cut = [[] if not t else [" " + t] if self.joins else PIECE.findall(" " + t) for t in texts]
-        fresh = set(chain.from_iterable(cut)).difference(self.known)
-        found = self._learn(list(fresh)) if fresh else {}
-        self.known.update((p, e) for p, e in found.items() if len(p) <= SHORT)
+        fresh = set().union(*cut).difference(self.known)
+        again = fresh.intersection(self.older)
+        found = self._learn(list(fresh.difference(again)))
+        for p in again:
+            found[p] = self.older[p]
+        lookup = self.known | found
         out = []
         for pieces in cut:
-            parts = [self.known[p] if p in self.known else found[p] for p in pieces]
+            parts = list(map(lookup.__getitem__, pieces))
             if not parts or None in parts:
                 out.append(NOTHING)
                 continue
-            n_a, n_b, n_groups, n_links, groups, codes = zip(*parts)
-            pairs, times = np.unique(np.fromiter(chain.from_iterable(codes), np.int64), return_counts=True)
-            out.append((sum(n_a), sum(n_b), sum(n_groups), sum(n_links), hashlib.sha256("|".join(groups).encode()).hexdigest(), pairs, times))
+            n_a, n_b, n_groups, groups, codes = zip(*parts)
+            links = np.frombuffer(b"".join(codes), np.int64)
+            pairs, times = np.unique(links, return_counts=True)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), len(links), hashlib.sha256("|".join(groups).encode()).hexdigest(), pairs, times))
+        self.known.update((p, e) for p, e in found.items() if len(p) <= SHORT)
+        if len(self.known) > MEMORY // 2:  # two generations: what was met lately stays
+            self.known, self.older = {}, self.known
         return out
 
 
@@ -142,6 +171,7 @@ def aligned(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep: l
     numbers. A pair is coded as id of A * size of B's vocabulary + id of B."""
 
     def derive(column: pa.Array) -> list[list]:
+        gc.disable()  # many small objects without cycles
         key = (path_a, path_b)
         if key not in _ALIGNERS:
             _ALIGNERS[key] = Aligner(*key)
