@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from glasstrail import registry  # noqa: E402
 from glasstrail.plans import search as plan  # noqa: E402
+from glasstrail.plans.store import Store  # noqa: E402
 from glasstrail.registry.core import Inputs  # noqa: E402
 from glasstrail.session import build_session  # noqa: E402
 
@@ -52,13 +53,13 @@ def main() -> None:
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
 
     folder = tempfile.mkdtemp(prefix="spark-bench-", dir="/tmp")
-    timed("library_build", lambda: plan.save_library(inputs.cap, folder))
-    stored = plan.open_library(spark, folder)
+    stored = Store(spark, folder)
+    timed("library_build", lambda: stored.create(inputs.cap))
 
     def search(*wanted) -> None:
         """The whole ladder over the stored library: facts, tokens and keys are read, not extracted."""
         frame = spark.createDataFrame(list(wanted), plan.QUERY_DDL)
-        plan.ranked(plan.ladder(stored, frame), 50).select("query_id", "capture_id", "rung", "score", "rank").collect()
+        stored.search(frame, 50).select("query_id", "capture_id", "rung", "score", "rank").collect()
 
     search(SHAPES["search_keyword"])  # start the JVM and its code cache
     for name, q in SHAPES.items():

@@ -32,6 +32,8 @@ from . import search as plan
 BUCKETS = 64
 #: Largest relation, in rows, that a search may broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
+#: Largest relation, in rows, that a search keeps on the driver: what a few queries ask for.
+HELD_ROWS = 2_000
 PARTS = {"postings": "token string, capture_id bigint, seq bigint, field int, pos int, version bigint, bucket int",
          "keys": "key string, capture_id bigint, seq bigint, version bigint, bucket int",
          "vocabulary": "token string, version bigint, bucket int", "gone": "capture_id bigint, seq bigint, version bigint"}
@@ -46,8 +48,16 @@ def small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
 
 
+def held(frame: DataFrame) -> DataFrame:
+    """A relation that several steps read: as a local one if it has ``HELD_ROWS`` rows at most, else stored."""
+    rows = frame.limit(HELD_ROWS + 1).collect()
+    if len(rows) > HELD_ROWS:
+        return small(checkpointed(frame))
+    return F.broadcast(frame.sparkSession.createDataFrame(rows, frame.schema))
+
+
 def buckets_of(frame: DataFrame) -> list[int]:
-    """The parts that a stored relation needs: at most ``BUCKETS`` numbers."""
+    """The parts that a held relation needs: at most ``BUCKETS`` numbers."""
     return sorted(r[0] for r in frame.select("bucket").distinct().collect())
 
 
@@ -130,11 +140,11 @@ class Store:
         exact = terms.select("query_id", F.col("term").alias("unit"), F.col("term").alias("token"))
         if prefix:
             first = bucket(F.left("term", F.lit(1)))
-            asked = checkpointed(terms.select("term", F.length("term").alias("n"), first.alias("bucket")).distinct())
+            asked = held(terms.select("term", F.length("term").alias("n"), first.alias("bucket")).distinct())
             words = self.read("vocabulary", versions).filter(F.col("bucket").isin(buckets_of(asked))).select("token")
             lengths = asked.groupBy().agg(F.array_sort(F.collect_set("n")).alias("lengths"))  # of one batch's terms: a few numbers
             cut = words.crossJoin(F.broadcast(lengths)).select("token", F.explode(F.filter("lengths", lambda n: n <= F.length("token"))).alias("n"))
-            grown = cut.withColumn("term", F.expr("left(token, n)")).join(small(asked.select("term")), "term").select("term", "token")
+            grown = cut.withColumn("term", F.expr("left(token, n)")).join(asked.select("term"), "term").select("term", "token")
             alls = terms.join(grown, "term").select("query_id", F.col("term").alias("unit"), "token")
         else:
             alls = exact
@@ -156,14 +166,14 @@ class Store:
         """``(query_id, capture_id, seq, all_terms, any_term, phrase)``: one join with the postings, one with the keys."""
         shape = queries.agg(F.max(F.size("terms") + F.size("phrases")).alias("text")).first()
         flags = []
-        keyed = checkpointed(plan._query_keys(queries).distinct().withColumn("bucket", bucket("key")))
+        keyed = held(plan._query_keys(queries).distinct().withColumn("bucket", bucket("key")))
         parts = buckets_of(keyed)
         if parts:
             keys = self.read("keys", versions).filter(F.col("bucket").isin(parts)).drop("bucket")
-            flags.append(keys.join(small(keyed.drop("bucket")), "key").select("query_id", "capture_id", "seq", *[F.lit(False).alias(c) for c in ("all_terms", "any_term", "phrase")]))
+            flags.append(keys.join(keyed.drop("bucket"), "key").select("query_id", "capture_id", "seq", *[F.lit(False).alias(c) for c in ("all_terms", "any_term", "phrase")]))
         if shape["text"]:
-            needles = checkpointed(self.needles(queries, versions, prefix))
-            met = self.postings(needles, versions).drop("bucket").join(small(needles.drop("bucket")), "token")
+            needles = held(self.needles(queries, versions, prefix))
+            met = self.postings(needles, versions).drop("bucket").join(needles.drop("bucket"), "token")
             start = F.when(F.col("kind") == "PHRASE", F.col("pos") - F.col("offset"))
             met = met.select("query_id", "capture_id", "seq", "kind", "unit", "need", F.when(start.isNotNull(), F.col("field")).alias("field"), start.alias("start"))
             dealt = met.repartition("query_id", "capture_id")  # both groupings below stay in these partitions
@@ -185,29 +195,33 @@ class Store:
         the best of each query.
         """
         versions = self.versions()
-        queries = checkpointed(queries)
+        queries = held(queries)
         docs = self.live(versions)
         d = docs.select("capture_id", "seq", F.struct(*[c for c in docs.columns if c not in ("seq", "version")]).alias("d"))
-        q = small(queries.select("query_id", F.struct(*queries.columns).alias("q")))
+        q = queries.select("query_id", F.struct(*queries.columns).alias("q"))
         c = self.candidates(queries, versions, prefix).select("query_id", "capture_id", "seq", F.struct("all_terms", "any_term", "phrase").alias("c"))
         met = c.join(d, ["capture_id", "seq"]).join(q, "query_id").withColumn("rung", F.expr(plan.rung_sql())).filter("rung IS NOT NULL")
         values = lambda frame: frame.withColumn("s", F.expr(lexical_sql(now, weights))).select(
             "query_id", "capture_id", "seq", "rung", F.col("s.score").alias("score"), F.col("s.reasons").alias("reasons"), F.col("d.date_added").alias("date_added"))
-        scored = checkpointed(values(met))
-        best = small(checkpointed(scored.groupBy("query_id").agg(F.min("rung").alias("rung"))))
-        kept = scored.join(best, ["query_id", "rung"])
+        scored = values(met)
         bare = queries.filter("size(terms) + size(phrases) + size(hosts) + size(phones) + size(codes) + size(types) = 0 AND start_s IS NULL AND size(colors) = 0 AND NOT long_only")
-        bare = checkpointed(bare.join(best, "query_id", "left_anti"))
-        if not bare.isEmpty():  # browsing: every capture answers
-            asked = small(bare.select("query_id", F.struct(*bare.columns).alias("q")))
-            browsed = d.crossJoin(asked).withColumn("rung", F.expr("CASE WHEN size(q.prices) > 0 THEN 2 ELSE 0 END"))
-            kept = kept.unionByName(values(browsed))
-        named = kept.withColumn("rung", F.get(F.array(*[F.lit(r) for r in plan.RUNGS]), F.col("rung")))
+        browsing = not bare.isEmpty()
+        if browsing or limit is None:  # else one plan finds the first rung and the best rows of it
+            scored = checkpointed(scored)
+            best = held(scored.groupBy("query_id").agg(F.min("rung").alias("rung")))
+            scored = scored.join(best, ["query_id", "rung"])
+        if browsing:  # every capture answers a query without text and filters that found nothing by price
+            asked = bare.join(best, "query_id", "left_anti").select("query_id", F.struct(*bare.columns).alias("q"))
+            browsed = d.crossJoin(held(asked)).withColumn("rung", F.expr("CASE WHEN size(q.prices) > 0 THEN 2 ELSE 0 END"))
+            scored = scored.select("query_id", "capture_id", "seq", "rung", "score", "reasons", "date_added").unionByName(values(browsed))
+        name = F.get(F.array(*[F.lit(r) for r in plan.RUNGS]), F.col("rung"))
         if limit is not None:
-            w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("date_added"), "capture_id")
-            return named.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+            w = Window.partitionBy("query_id").orderBy("rung", F.desc("score"), F.desc("date_added"), "capture_id")
+            top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+            first = F.min("rung").over(Window.partitionBy("query_id"))
+            return top.withColumn("first", first).filter("rung = first").drop("first").withColumn("rung", name)
         place = F.struct(-F.col("score"), -F.col("date_added"))
-        return with_running_sum(named.withColumn("place", place), ["query_id"], "place", "capture_id", F.lit(1), "rank").drop("place")
+        return with_running_sum(scored.withColumns({"place": place, "rung": name}), ["query_id"], "place", "capture_id", F.lit(1), "rank").drop("place")
 
     def texts(self, results: DataFrame) -> DataFrame:
         """Results with file name and text, fetched for the ranked rows only."""
