@@ -35,6 +35,14 @@ def char_texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def per_row(df: DataFrame, text: str, added: pa.Schema, ddl: str, derive: Callable[[pa.Array], list[list]],
             keep: list[str] | None = None) -> DataFrame:
     """``df`` with columns derived from its text column in one Arrow pass, without a shuffle.
@@ -44,7 +52,7 @@ def per_row(df: DataFrame, text: str, added: pa.Schema, ddl: str, derive: Callab
     """
     new = added.names
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(free_name(df, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

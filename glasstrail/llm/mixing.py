@@ -119,7 +119,10 @@ def _prefixed(frame: DataFrame, *names: str):
 
 def mixed(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2) -> DataFrame:
     """Rows with ``source``, ``size`` and ``pick_hash`` (a hash of what tells documents apart), and further columns, plus
-    ``source_size``, ``target``, ``copies`` and ``taken`` (words). A document is taken 0, 1, ... up to ``most`` times."""
+    ``source_size``, ``target``, ``copies`` and ``taken`` (words). A document is taken 0, 1, ... up to ``most`` times.
+    Further columns named like the added ones are replaced; any other name may occur."""
+    further = [c for c in sized.columns if c not in ("source", "size", "pick_hash", "source_size", "target", "copies", "taken")]
+    sized = sized.select("source", "size", "pick_hash", *[F.col(f"`{c}`").alias(f"further_{i}") for i, c in enumerate(further)])
     bucket = F.pmod(F.shiftright("pick_hash", 40), F.lit(BUCKETS))
     keyed = sized.withColumn("pick_hash", F.xxhash64(F.lit(seed), "pick_hash")).withColumn("bucket", bucket)
     counted = checkpointed(keyed.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))
@@ -141,7 +144,7 @@ def mixed(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = (3.0, 1.
     place = F.row_number().over(Window.partitionBy("q_source", "size", "bucket").orderBy("pick_hash"))  # in the join's partitions
     placed = keyed.withColumn("q_source", non_null(F.col("source"))).join(quota, ["q_source", "size", "bucket"]).withColumn("place", place)
     copies = (F.col("q_passes") + F.when(F.col("place") <= F.col("q_extra"), 1).otherwise(0)).cast("bigint")
-    return placed.select(*sized.columns, F.col("q_source_size").alias("source_size"), F.col("q_target").alias("target"), copies.alias("copies"),
+    return placed.select("source", "size", F.col("pick_hash"), *[F.col(f"further_{i}").alias(c) for i, c in enumerate(further)], F.col("q_source_size").alias("source_size"), F.col("q_target").alias("target"), copies.alias("copies"),
                          (copies * F.col("size")).alias("taken"))
 
 

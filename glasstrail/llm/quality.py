@@ -13,7 +13,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_texts, checkpointed, per_row, small_side
+from .common import byte_texts, checkpointed, free_name, per_row, small_side
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 ADDED = pa.schema([(c, pa.int64()) for c in COUNTS])
@@ -91,12 +91,15 @@ def judge(counted: DataFrame, host: str, host_limit: float = 0.5) -> DataFrame:
     """Counted rows with ``base_failed``, ``failed_rules``, ``host_rate``, ``host_rejected`` and ``kept``.
 
     A document is kept unless a base rule fails, more than 3 symbols stand per 10 words, or its host is rejected.
+    Columns named like the added ones are replaced; any other name may occur.
     """
-    verdicts = host_verdicts(counted, host, host_limit).select("host", F.col("worst_rate").alias("host_rate"), "host_rejected")
+    counted = counted.drop(*{"host_rate", "host_rejected", "base_failed", "failed_rules", "kept"} - {host})
+    of = free_name(counted, "host")
+    verdicts = host_verdicts(counted, host, host_limit).select(F.col("host").alias(of), F.col("worst_rate").alias("host_rate"), "host_rejected")
     rejected = F.coalesce("host_rejected", F.lit(False))
     named = rules()
     failed = F.concat_ws(",", *[F.when(rule, F.lit(name)) for name, rule in named.items()])
-    return (counted.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col("host")), "left").drop("host")
+    return (counted.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col(of)), "left").drop(of)
             .withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).withColumn("host_rejected", rejected)
             .withColumn("kept", ~F.col("base_failed") & ~named["symbols"] & ~F.col("host_rejected")))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import byte_texts, checkpointed, non_null, per_row
+from .common import byte_texts, checkpointed, free_name, non_null, per_row
 from .components import components
 
 #: Bit ranges (shift, width) of the ring's segments.
@@ -85,13 +85,15 @@ def links(fps: DataFrame, crowd: int = 64) -> DataFrame:
 
 def with_components(fingerprinted: DataFrame, doc_id: str = "doc_id", crowd: int = 64) -> DataFrame:
     """Rows of ``(doc_id, fp, ...)`` with ``root``, a fingerprint that names the component, and ``component_id``, the
-    least id among all rows whose fingerprints are linked."""
+    least id among all rows whose fingerprints are linked. Columns of these two names are replaced; any other may occur."""
+    fingerprinted = fingerprinted.drop("root", "component_id")
+    node = free_name(fingerprinted, "node")
     nodes = checkpointed(fingerprinted.groupBy("fp").agg(F.min(doc_id).alias("least")))
     roots = components(checkpointed(links(nodes.select("fp"), crowd)))
     linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = checkpointed(linked.select(F.col("fp").alias("node"), "root").join(named, "root"))
-    return fingerprinted.join(ids, F.col("fp") == F.col("node"), "left").drop("node")
+    ids = checkpointed(linked.select(F.col("fp").alias(node), "root").join(named, "root"))
+    return fingerprinted.join(ids, F.col("fp") == F.col(node), "left").drop(node)
 
 
 def deduplicated(docs: DataFrame, crowd: int = 64) -> DataFrame:
