@@ -103,8 +103,10 @@ def plain_terms(text: Column, stop: list[str]) -> Column:
     return F.array_except(words, F.array(*[F.lit(s) for s in stop]))
 
 
-def top_hosts(urls: DataFrame, limit: int = 200) -> DataFrame:
-    return urls.groupBy("host").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").limit(limit)
+def top_hosts(urls: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hosts with their numbers: all of them, or the ``limit`` most frequent."""
+    hosts = urls.groupBy("host").agg(F.count("*").alias("n"))
+    return hosts if limit is None else hosts.orderBy(F.desc("n"), "host").limit(limit)
 
 
 def mine_phrases(captures: DataFrame, prefixes: DataFrame, per_document: int = 3) -> DataFrame:

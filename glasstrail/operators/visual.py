@@ -224,6 +224,35 @@ def link_spread(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(of, "a").groupBy("group_hash").agg(F.max("distance").alias("max_link_bits"))
 
 
+def group_diameters(members: DataFrame) -> DataFrame:
+    """``(group_hash, max_distance)``: the largest distance between two hashes of a group, exact.
+
+    Four pivots per group: its least hash, the hash farthest from it, the hash farthest from that, and the most central
+    one. The pivots' own largest distances are a lower bound; by the triangle inequality two hashes can only beat it if
+    their distances from every pivot add up to more. Hashes too near to a pivot to find such a partner are dropped, and
+    the rest meet by (group, distance from the central pivot): a hash asks only for the distances that would do. On
+    clusters that leaves the outermost shells; a group whose hashes all lie equally far out is compared in full.
+    """
+    points = checkpointed(members.select("group_hash", "dhash").distinct())
+    away = lambda pivot: F.bit_count(F.col("dhash").bitwiseXOR(F.col(pivot)))
+    picks = [F.min("dhash"), F.max_by("dhash", F.struct("r0", "dhash")), F.max_by("dhash", F.struct("r1", "dhash")), F.min_by("dhash", F.struct(F.greatest("r1", "r2"), "dhash"))]
+    for k, pick in enumerate(picks):
+        pivots = points.groupBy("group_hash").agg(pick.alias("pivot"))
+        points = checkpointed(points.join(pivots, "group_hash").withColumn(f"r{k}", away("pivot")).drop("pivot"))
+    radii = [f"r{k}" for k in range(len(picks))]
+    bounds = checkpointed(points.groupBy("group_hash").agg(*[F.max(r).alias(f"most_{r}") for r in radii])
+                          .withColumn("lower", F.greatest(*[f"most_{r}" for r in radii])))
+    able = points.join(bounds, "group_hash").filter(" AND ".join(f"{r} + most_{r} > lower" for r in radii))
+    able = checkpointed(able.select("group_hash", "dhash", *radii, "lower", "most_r3"))
+    left = able.withColumn("level", F.explode(
+        F.filter(F.sequence(F.lit(0), "most_r3"), lambda j: (j + F.col("r3") > F.col("lower")) & (j >= F.col("r3"))))).drop("most_r3")
+    right = able.select(F.col("group_hash").alias("g"), F.col("dhash").alias("other"), *[F.col(r).alias(f"o_{r}") for r in radii])
+    gap = F.bit_count(F.col("dhash").bitwiseXOR(F.col("other")))
+    far = left.join(right, [F.col("group_hash") == F.col("g"), F.col("level") == F.col("o_r3"), *[F.col(r) + F.col(f"o_{r}") > F.col("lower") for r in radii], gap > F.col("lower")])
+    wider = far.groupBy("group_hash").agg(F.max(gap).alias("found"))
+    return bounds.join(wider, "group_hash", "left").select("group_hash", F.coalesce("found", "lower").alias("max_distance"))
+
+
 def copy_from_canonical(captures: DataFrame, visuals: DataFrame) -> DataFrame:
     """Duplicates take over the visuals of their canonical row."""
     cols = [c for c in visuals.columns if c != "capture_id"]

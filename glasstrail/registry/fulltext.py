@@ -218,7 +218,7 @@ def prefix_frame(i: Inputs):
 
 @query("top_hosts", "SELECT host, count(*) AS n FROM url_f GROUP BY 1 ORDER BY n DESC, host LIMIT 200")
 def top_hosts(i: Inputs):
-    return op.top_hosts(i.urls)
+    return op.top_hosts(i.urls, 200)
 
 
 @query("mine_phrases", "SELECT prefix, capture_id, phrase FROM mined")

@@ -185,6 +185,13 @@ def vis_near_duplicates(i: Inputs):
     return op.summarize_groups(members).join(spread_bits, "group_hash", "left").withColumn("max_link_bits", F.coalesce("max_link_bits", F.lit(0)))
 
 
+@query("vis_group_diameter", _COMPONENTS + """, members AS (SELECT capture_id, dhash, coalesce(g, dhash) AS g FROM vis LEFT JOIN comp USING (dhash)),
+    h AS (SELECT DISTINCT g, dhash FROM members WHERE g IN (SELECT g FROM members GROUP BY 1 HAVING count(*) > 1))
+  SELECT a.g AS group_hash, CAST(max(bit_count(xor(a.dhash, b.dhash))) AS INTEGER) AS max_distance FROM h a JOIN h b USING (g) GROUP BY 1""")
+def vis_group_diameter(i: Inputs):
+    return op.group_diameters(op.near_duplicate_groups(visuals(i)))
+
+
 @query("vis_copy_from_canonical", """
   SELECT c.capture_id, v.dhash, c.duplicate_of IS NOT NULL AS copied FROM dup c JOIN vis v ON v.capture_id = coalesce(c.duplicate_of, c.capture_id)""")
 def vis_copy_from_canonical(i: Inputs):
