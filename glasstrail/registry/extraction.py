@@ -70,11 +70,11 @@ def x_order_codes(i: Inputs):
 
 
 @query("x_emails", r"""
-  SELECT doc_id, array_to_string(list_distinct_in_order, '|') AS emails FROM (SELECT doc_id, [e1, CASE WHEN e2 <> e1 THEN e2 END] AS z, list_filter([e1, CASE WHEN e2 <> e1 THEN e2 END], lambda v: v IS NOT NULL) AS list_distinct_in_order FROM (
-    SELECT doc_id, regexp_replace(m[1], '\s+', '', 'g') AS e1, list_filter(list_transform(m, lambda v: regexp_replace(v, '\s+', '', 'g')), lambda v: v <> regexp_replace(m[1], '\s+', '', 'g'))[1] AS e2 FROM (
-      SELECT doc_id, regexp_extract_all(text, '[a-zA-Z0-9._%+-]+\s*@\s*[a-zA-Z0-9.-]+\s*\.\s*[a-zA-Z]{2,}') AS m FROM documents) WHERE len(m) > 0))""")
+  SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(m, range(1, len(m) + 1)), lambda z: list_position(m, z[1]) = z[2]), lambda z: z[1]), '|') AS emails FROM (
+    SELECT doc_id, list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+\s*@\s*[a-zA-Z0-9.-]+\s*\.\s*[a-zA-Z]{2,}'), lambda v: regexp_replace(v, '\s+', '', 'g')) AS m FROM documents)
+  WHERE len(m) > 0""")
 def x_emails(i: Inputs):
-    rows = i.documents.select("doc_id", x.emails("text", 2).alias("e")).filter("size(e) > 0")
+    rows = i.documents.select("doc_id", x.emails("text").alias("e")).filter("size(e) > 0")
     return rows.select("doc_id", F.array_join("e", "|").alias("emails"))
 
 

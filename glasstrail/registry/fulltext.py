@@ -156,14 +156,13 @@ def _filtered(i: Inputs):
     return having(i.cap.filter(eligible() & date_window(946684800)), i.prices, F.col("amount") <= 1250)
 
 
-@query("fts_filters_only_all", "SELECT capture_id FROM cap WHERE status <> 'FAILED' AND date_added >= 946684800 AND capture_id IN (SELECT capture_id FROM price_f WHERE amount <= 1250)")
-def fts_filters_only_all(i: Inputs):
-    return _filtered(i).select("capture_id")
+_FILTERED = "SELECT capture_id FROM cap WHERE status <> 'FAILED' AND date_added >= 946684800 AND capture_id IN (SELECT capture_id FROM price_f WHERE amount <= 1250)"
 
 
-@query("fts_filters_only", "SELECT capture_id FROM cap WHERE status <> 'FAILED' AND date_added >= 946684800 AND capture_id IN (SELECT capture_id FROM price_f WHERE amount <= 1250) ORDER BY date_added DESC, capture_id DESC LIMIT 400")
+@query("fts_filters_only", _FILTERED)
+@query("fts_filters_only_all", _FILTERED)
 def fts_filters_only(i: Inputs):
-    return _filtered(i).orderBy(F.desc("date_added"), F.desc("capture_id")).limit(400).select("capture_id")
+    return _filtered(i).select("capture_id")
 
 
 def _matched(i: Inputs):
@@ -172,14 +171,10 @@ def _matched(i: Inputs):
     return rows.join(hits, "capture_id", "left_semi")
 
 
+@query("fts_ids", "SELECT capture_id FROM pairs WHERE query_id = 3 AND any_term")
 @query("fts_ids_all", "SELECT capture_id FROM pairs WHERE query_id = 3 AND any_term")
-def fts_ids_all(i: Inputs):
-    return _matched(i).select("capture_id")
-
-
-@query("fts_ids", "SELECT capture_id FROM pairs WHERE query_id = 3 AND any_term ORDER BY date_added DESC, capture_id DESC LIMIT 300")
 def fts_ids(i: Inputs):
-    return _matched(i).orderBy(F.desc("date_added"), F.desc("capture_id")).limit(300).select("capture_id")
+    return _matched(i).select("capture_id")
 
 
 @query("text_search", """

@@ -90,11 +90,7 @@ def r_effects(i: Inputs):
     return reduce(DataFrame.unionByName, [df.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).withColumn("effect", F.lit(k)) for k, df, c in parts])
 
 
-@query("r_time_based", "SELECT CAST(9 AS BIGINT) AS rule_id, capture_id FROM (SELECT * FROM ctx_f ORDER BY date_added DESC, capture_id DESC LIMIT 50) WHERE has_price")
-def r_time_based(i: Inputs):
-    return op.time_based(contexts(i), rule_frame(i), newest=50).select("rule_id", "capture_id")
-
-
+@query("r_time_based", "SELECT CAST(9 AS BIGINT) AS rule_id, capture_id FROM ctx_f WHERE has_price")
 @query("r_time_based_all", "SELECT CAST(9 AS BIGINT) AS rule_id, capture_id FROM ctx_f WHERE has_price")
-def r_time_based_all(i: Inputs):
+def r_time_based(i: Inputs):
     return op.time_based(contexts(i), rule_frame(i)).select("rule_id", "capture_id")
