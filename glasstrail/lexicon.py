@@ -325,6 +325,82 @@ EMAIL_LOOSE = r"[a-zA-Z0-9._%+-]+\s*@\s*[a-zA-Z0-9.-]+\s*\.\s*[a-zA-Z]{2,}"
 STREET = r"\d{1,5}\s+[A-Za-z][A-Za-z .-]{3,40}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Nagar|Colony|Layout|Marg|Chowk)"
 ORDER_CODE = r"(?i:order|booking|pnr|confirmation|reservation|transaction|awb|tracking)[\s:#.\-]*([A-Z0-9]{6,20})\b"
 
+# --- patterns that results depend on. Fixed values. -------------------------
+URL_TAIL = r"""[^\s<>{}|\\^`"\[\]]"""
+HOST_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+URL = (
+    rf"(?i)(?:https?://{URL_TAIL}+|www\.{URL_TAIL}+"
+    rf"|(?<![\w@])(?:{HOST_LABEL}\.)+(?:{'|'.join(TLDS)})(?::\d{{1,5}})?(?:/{URL_TAIL}*)?)"
+)
+PRICE_NUMBER = r"\d[\d,]*(?:\.\d{1,2})?"
+PHONE_PATTERNS = [
+    r"\+91[\s\-]*[6-9]\d{4}[\s\-]*\d{5}",
+    r"\+91[6-9]\d{9}",
+    r"(?<!\d)91[\s\-]?[6-9]\d{4}[\s\-]?\d{5}(?!\d)",
+    r"(?<!\d)0?[6-9]\d{4}[\s\-]?\d{5}(?!\d)",
+]
+MONTH_ALT = (
+    "January|February|March|April|May|June|July|August|September|October|November|December"
+    "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec"
+)
+DATE_SEPARATOR = r"\s*([/.\-])\s*"
+DATE_YMD = rf"\b(\d{{4}}){DATE_SEPARATOR}(\d{{1,2}})\2\s*(\d{{1,2}})\b"
+DATE_COMPACT = r"\b(\d{4})(\d{2})(\d{2})\b"
+DATE_DMY = rf"\b(\d{{1,2}}){DATE_SEPARATOR}(\d{{1,2}})\2\s*(\d{{2,4}})\b"
+DATE_DAY_NAME = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?[\s\-]+({MONTH_ALT})\.?[\s\-]+(\d{{2,4}})\b"
+DATE_NAME_DAY = rf"(?i)\b({MONTH_ALT})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?[\s,\-]+(\d{{2,4}})\b"
+DATE_SHORT_NUMBER = rf"(?<![\d/.\-])(\d{{1,2}}){DATE_SEPARATOR}(\d{{1,2}})(?![\d/.\-])"
+DATE_SHORT_DAY = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?[\s\-]+({MONTH_ALT})\.?\b"
+DATE_SHORT_NAME = rf"(?i)\b({MONTH_ALT})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?\b"
+RECEIPT_NUMBER = r"[\d,]+\.?\d*"
+
+# --- patterns of query texts. Fixed values. ---------------------------------
+QUERY_MONTH = "(?:" + "|".join(sorted([*MONTH_NAMES, *[m[:3] for m in MONTH_NAMES], "sept"], key=len, reverse=True)) + ")"
+QUERY_TODAY = r"(?i)\b(?:today|tonight|just now)\b"
+QUERY_YESTERDAY = r"(?i)\byesterday\b"
+QUERY_THIS_WEEK = r"(?i)\b(?:this|current)\s+week\b"
+QUERY_LAST_WEEK = r"(?i)\b(?:last|previous|past)\s+week\b"
+QUERY_THIS_MONTH = r"(?i)\b(?:this|current)\s+month\b"
+QUERY_LAST_MONTH = r"(?i)\b(?:last|previous|past)\s+month\b"
+QUERY_THIS_YEAR = r"(?i)\b(?:this|current)\s+year\b"
+QUERY_LAST_YEAR = r"(?i)\b(?:last|previous|past)\s+year\b"
+QUERY_LAST_N = r"(?i)\b(?:last|past|previous)\s+(\d{1,3})\s+(day|week|month|year)s?\b"
+QUERY_ISO = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
+QUERY_SLASH = r"\b(\d{1,2})/(\d{1,2})/(\d{2,4})\b"
+QUERY_BEFORE = r"(?i)\b(?:before|prior to|earlier than|until|till|up to)\s+"
+QUERY_AFTER = r"(?i)\b(?:after|since)\s+"
+QUERY_MONTH_YEAR = rf"({QUERY_MONTH})\b(?:\s+(\d{{4}}))?"
+QUERY_YEAR = r"((?:19|20)\d{2})\b"
+QUERY_DAY_NAME = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({QUERY_MONTH})\b(?:\s+(\d{{4}}))?"
+QUERY_NAME_DAY = rf"(?i)\b({QUERY_MONTH})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s*(\d{{4}})?\b"
+QUERY_IN_MONTH = rf"(?i)\b(?:(?:in|from|during|of)\s+)?({QUERY_MONTH})\b(?:\s+(\d{{4}}))?"
+QUERY_IN_YEAR = r"(?i)\b(?:in|from|during|of)\s*((?:19|20)\d{2})\b"
+QUERY_HOST = r"(?i)\b(?:https?://)?(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}(?::\d{1,5})?(?:/[^\s]*)?"
+QUERY_CODE = (r"(?i)\b(?:otp|o\.t\.p|one[\s-]?time(?:\s+(?:password|code|pin|otp))?|verification\s+code|verify\s+code|security\s+code|login\s+code|auth\s+code|"
+              r"2fa\s+code|mfa\s+code|captcha|pin)\b[\s:#.\-]*(\d{4,8})\b")
+QUERY_SYMBOLS = "₹$€£"
+QUERY_BETWEEN = (rf"(?i)\bbetween\s+(?:([{QUERY_SYMBOLS}])\s?)?(\d[\d,]*(?:\.\d{{1,2}})?)\s*(?:and|to|-|–|—)\s*"
+                 rf"(?:([{QUERY_SYMBOLS}])\s?)?(\d[\d,]*(?:\.\d{{1,2}})?)")
+QUERY_AMOUNT = r"\d{1,3}(?:[,\s]\d{2,3})+(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?"
+QUERY_TYPE_PATTERNS = [
+    ("DUPLICATES", r"(?i)\b(?:near[\s-]?)?duplicates?\b|\bidentical\s+(?:screenshots?|images?|copies)\b"),
+    ("OTPS", r"(?i)\b(?:otp|o\.t\.p)s?\b|\bone[\s-]?time\s+(?:passwords?|codes?|pins?)\b|\b(?:verification|verify|security|login|auth)\s+codes?\b"),
+    ("URLS", r"(?i)\b(?:with|containing|has|have|including|shows?)\s+(?:a\s+|an\s+|any\s+)?(?:urls?|links?|websites?|web\s+pages?)\b|\burls?\b|\blinks?\b|\bwebsites?\b"),
+    ("PRICES", r"(?i)\bwith\s+(?:a\s+)?prices?\b|\bcontaining\s+(?:a\s+)?prices?\b|\bprice\s+lists?\b"),
+    ("PHONES", r"(?i)\bwith\s+(?:a\s+)?(?:phone|contact|mobile)\s*(?:numbers?)?\b|\bcontaining\s+(?:a\s+)?phone\s*numbers?\b|\bphone\s+numbers?\b|\bcontacts?\b"),
+    ("DATES", r"(?i)\bwith\s+(?:a\s+)?dates?\b|\bcontaining\s+(?:a\s+)?dates?\b|\bdate\s+range\b"),
+]
+QUERY_LONG = r"(?i)\b(?:long|tall|stitched|full[\s-]?page|scrolling)\s+(?:screenshots?|images?|pics?|captures?|shots?)\b"
+QUESTION_DOMAIN = r"[a-z0-9-]+[.][a-z]{2,}"
+QUESTION_NUMBER = r"\s*₹?\s*([\d,]+(?:\.\d+)?)\s*(k?)"
+QUESTION_AT_MOST = r"(?:under|below|less than|up to|cheaper than|at most)" + QUESTION_NUMBER
+QUESTION_AT_LEAST = r"(?:above|over|more than|greater than|from|at least)" + QUESTION_NUMBER
+#: Phrases of a period and what it spans, in order of precedence: days back to its start, days back to its end, months back to its start.
+QUESTION_PERIODS = [
+    ("today", 0, 0, 0), ("yesterday", 1, 1, 0), ("this week", 7, 0, 0), ("last week", 7, 0, 0), ("this month", 30, 0, 0),
+    ("last month", 0, 0, 1), ("recently", 14, 0, 0), ("a few days ago", 14, 0, 0), ("a few weeks ago", 30, 0, 0),
+]
+
 # Layout thresholds on a screen of 1000 by 1000 units. Fixed values.
 LAYOUT = {
     "chat_width": (60, 620), "chat_height": (8, 120), "chat_boxes": 4, "chat_rows": 4, "chat_per_row": 2, "chat_turns": 3, "middle": 500,

@@ -44,15 +44,15 @@ def annotation_steps(today: date, text: str = "text") -> list[str]:
     for pattern, build in q.date_steps(today):
         chain.step(lambda rest, p=pattern, b=build: q.find_sql(rest, p, b, q.DATE_DDL), "x.raw", dates=lambda s: f"concat({s}.dates, {s}.x)")
     host = f"named_struct('raw', r, 'value', {q.host_sql('r')})"
-    chain.step(lambda rest: f"filter({q.find_sql(rest, q.HOST, host, pair)}, x -> x.value IS NOT NULL)", "x.raw", hosts=lambda s: f"array_distinct(transform({s}.x, x -> x.value))")
-    code = f"named_struct('raw', r, 'value', regexp_extract(r, {quote(q.CODE)}, 1))"
-    chain.step(lambda rest: q.find_sql(rest, q.CODE, code, pair), "x.raw", codes=lambda s: f"transform({s}.x, x -> x.value)")
+    chain.step(lambda rest: f"filter({q.find_sql(rest, lx.QUERY_HOST, host, pair)}, x -> x.value IS NOT NULL)", "x.raw", hosts=lambda s: f"array_distinct(transform({s}.x, x -> x.value))")
+    code = f"named_struct('raw', r, 'value', regexp_extract(r, {quote(lx.QUERY_CODE)}, 1))"
+    chain.step(lambda rest: q.find_sql(rest, lx.QUERY_CODE, code, pair), "x.raw", codes=lambda s: f"transform({s}.x, x -> x.value)")
     chain.step(q.phones_sql, "x.raw", phones=lambda s: f"array_distinct(transform({s}.x, x -> x.value))")
     chain.step(q.between_sql, "x.raw", between=lambda s: f"{s}.x")
     chain.step(q.amounts_sql, "x.raw", prices=lambda s: f"concat({s}.between, {s}.x)")
-    for name, pattern in q.TYPE_PATTERNS:
+    for name, pattern in lx.QUERY_TYPE_PATTERNS:
         chain.step(lambda rest, p=pattern: f"{rest} RLIKE {quote(p)}", None, pattern, types=lambda s, n=name: f"CASE WHEN {s}.x THEN array_append({s}.types, '{n}') ELSE {s}.types END")
-    chain.step(lambda rest: f"{rest} RLIKE {quote(q.LONG)}", None, q.LONG, long_only=lambda s: f"{s}.x")
+    chain.step(lambda rest: f"{rest} RLIKE {quote(lx.QUERY_LONG)}", None, lx.QUERY_LONG, long_only=lambda s: f"{s}.x")
     names = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in lx.COLOR_WORDS.items()) + ")"
     chain.step(lambda rest: f"regexp_extract_all({rest}, {quote(q.COLOR)}, 0)", None, q.COLOR, colors=lambda s: f"array_distinct(transform({s}.x, c -> {names}[lower(c)]))")
     # The first date in the text sets the window.
@@ -130,14 +130,12 @@ def question_slots(log: DataFrame, today: date, text: str = "text") -> DataFrame
     run = f"array_join(transform(slice({tail}, 1, {end}), w -> {trim('w')}), ' ')"
     phrase = (f"transform(array(struct({tokens} AS k)), _t -> transform(array(struct(_t.k AS k, {start} AS a)), _s -> CASE WHEN _s.a IS NOT NULL THEN "
               f"transform(array(struct({run} AS v)), _v -> CASE WHEN length(_v.v) >= 2 AND _v.v RLIKE {quote(chr(92) + 'p{L}')} THEN _v.v END)[0] END)[0])[0]")
-    domain = f"nullif(regexp_extract({low}, '[a-z0-9-]+[.][a-z]{{2,}}', 0), '')"
-    number = r"\s*₹?\s*([\d,]+(?:\.\d+)?)\s*(k?)"
-    bounds = {"max": r"(?:under|below|less than|up to|cheaper than|at most)" + number, "min": r"(?:above|over|more than|greater than|from|at least)" + number}
+    domain = f"nullif(regexp_extract({low}, {quote(lx.QUESTION_DOMAIN)}, 0), '')"
+    bounds = {"max": lx.QUESTION_AT_MOST, "min": lx.QUESTION_AT_LEAST}
     value = lambda p: (f"CASE WHEN {low} RLIKE {quote(p)} THEN try_cast(replace(regexp_extract({low}, {quote(p)}, 1), ',', '') AS double) * CASE WHEN regexp_extract({low}, {quote(p)}, 2) = 'k' THEN 1000 ELSE 1 END END")
     t = f"DATE'{today.isoformat()}'"
-    period = (f"CASE WHEN contains({low}, 'today') THEN array({t}, {t}) WHEN contains({low}, 'yesterday') THEN array(date_sub({t}, 1), date_sub({t}, 1)) WHEN contains({low}, 'this week') THEN array(date_sub({t}, 7), {t}) "
-              f"WHEN contains({low}, 'last week') THEN array(date_sub({t}, 7), {t}) WHEN contains({low}, 'this month') THEN array(date_sub({t}, 30), {t}) WHEN contains({low}, 'last month') THEN array(add_months({t}, -1), {t}) "
-              f"WHEN contains({low}, 'recently') OR contains({low}, 'a few days ago') THEN array(date_sub({t}, 14), {t}) WHEN contains({low}, 'a few weeks ago') THEN array(date_sub({t}, 30), {t}) END")
+    since = lambda days, months: f"add_months({t}, -{months})" if months else f"date_sub({t}, {days})"
+    period = "CASE " + " ".join(f"WHEN contains({low}, '{p}') THEN array({since(a, m)}, date_sub({t}, {b}))" for p, a, b, m in lx.QUESTION_PERIODS) + " END"
     color = "CASE " + " ".join(f"WHEN contains({low}, '{c}') THEN '{c}'" for c in lx.QUESTION_COLORS) + " END"
     refers = f"{low} RLIKE {quote('|'.join(lx.PREVIOUS_WORDS))}"
     words = f"array_distinct(filter(split(regexp_replace({low}, '[^a-z0-9₹$€£\\\\s.-]', ' '), {quote(chr(92) + 's+')}, -1), w -> length(w) > 2 AND NOT w IN ({stop})))"
