@@ -5,8 +5,10 @@ There every word is a set of token-position rows. A recursive query joins neighb
 table, contracts each word's leftmost pair of least rank, and repeats until no word has a pair left. An ordered
 aggregation joins the token bytes of a word again (decoding).
 
-Null texts are empty: no token, the hash of nothing. Any length works; one unbroken word of n bytes costs about n
-rounds over its rows. A task keeps a bounded memory of words (``memory`` entries), which never changes a result.
+Null texts are empty: no token, the hash of nothing. Any length works. A word of more than ``LONG_BYTES`` bytes contracts, in one
+round, all places of its pair of least rank that don't overlap, so its rounds grow with its distinct pairs rather than
+with its bytes. That equals one place after the other wherever no pair with the new token ranks below it; for other
+ranks only the leftmost place is contracted. A task keeps a bounded memory of words (``memory`` entries), which never changes a result.
 """
 from __future__ import annotations
 
@@ -15,9 +17,9 @@ import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from .common import char_texts, per_row, sha256_hex
+from .common import char_texts, per_row
 
 ENCODE = """
 CREATE OR REPLACE TEMP TABLE coded AS
@@ -34,6 +36,32 @@ WITH RECURSIVE state(k, tok, done) AS (
    WHERE NOT done AND (g IS NULL OR k & 4294967295 <> (g & 4294967295) + 1)))
 SELECT k, tok FROM state WHERE done
 """
+#: A word of more bytes than this contracts many places a round.
+LONG_BYTES = 1_000
+#: Merges, and whether a token, once made, can be part of a pair of lower rank; then one place at a time is contracted.
+LONG_MERGES = """
+CREATE TABLE long_merges AS
+SELECT m.ab, m.r, coalesce(low < m.r, false) AS alone
+FROM merges m LEFT JOIN (SELECT tok, min(r) AS low FROM (SELECT ab >> 32 AS tok, r FROM merges UNION ALL SELECT ab & 4294967295, r FROM merges) GROUP BY tok) ON tok = m.r
+"""
+#: ``k`` is where a token starts and ``e`` where the next one does. Places that overlap form chains; every second one of a chain is contracted, from the left.
+ENCODE_LONG = """
+INSERT INTO coded
+WITH RECURSIVE state(k, e, tok, done) AS (
+  SELECT k, k + 1, tok, false FROM long_start
+  UNION ALL
+  (WITH pair AS (
+     SELECT a.k, a.e, b.e AS e2, a.k >> 32 AS w, m.r, m.alone
+     FROM state a JOIN state b ON b.k = a.e JOIN long_merges m ON m.ab = a.tok::BIGINT * 4294967296 + b.tok WHERE NOT a.done),
+   least AS (SELECT w, min(r) AS r FROM pair GROUP BY w),
+   place AS (SELECT pair.*, coalesce(lag(e) OVER (PARTITION BY w ORDER BY k) = k, false) AS linked FROM pair JOIN least USING (w, r)),
+   chain AS (SELECT *, sum((NOT linked)::INTEGER) OVER (PARTITION BY w ORDER BY k) AS c, row_number() OVER (PARTITION BY w ORDER BY k) AS i FROM place),
+   chosen AS (SELECT k, e, e2, r FROM chain WHERE i = 1 OR NOT alone QUALIFY row_number() OVER (PARTITION BY w, c ORDER BY k) % 2 = 1)
+   SELECT s.k, coalesce(c.e2, s.e), coalesce(c.r, s.tok), l.w IS NULL
+   FROM state s LEFT JOIN chosen c ON c.k = s.k LEFT JOIN least l ON l.w = s.k >> 32 LEFT JOIN chosen gone ON gone.e = s.k
+   WHERE NOT s.done AND gone.e IS NULL))
+SELECT k, tok FROM state WHERE done
+"""
 DECODE = "SELECT unhex(string_agg(h, '' ORDER BY k)) FROM coded JOIN vocab USING (tok)"
 
 
@@ -59,6 +87,7 @@ class Coder:
         self.con.execute("SET threads = 1")
         self.con.register("merge_rows", pa.table({"ab": pa.array([p[0] for p in pairs], pa.int64()), "r": pa.array([p[1] for p in pairs], pa.int32())}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
+        self.con.execute(LONG_MERGES)
         self.con.register("token_rows", pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "h": [t.hex() for t in self.ranks], "n": [len(t) for t in self.ranks]}))
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM token_rows")
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
@@ -82,9 +111,14 @@ class Coder:
         single = whole[word] >= 0
         tokens = np.where(single, whole[word], tokens)
         keep = ~single | (position == 0)
-        self.con.register("start", pa.table({"k": key[keep], "tok": tokens[keep]}))
+        long = keep & ~single & (size[word] > LONG_BYTES)
+        self.con.register("start", pa.table({"k": key[keep & ~long], "tok": tokens[keep & ~long]}))
         self.con.execute(ENCODE)
         self.con.unregister("start")
+        if long.any():
+            self.con.register("long_start", pa.table({"k": key[long], "tok": tokens[long]}))
+            self.con.execute(ENCODE_LONG)
+            self.con.unregister("long_start")
         rows = self.con.execute("SELECT k >> 32 AS w, tok, n FROM coded JOIN vocab USING (tok) ORDER BY k").fetchnumpy()
         (text,), = self.con.execute(DECODE).fetchall()
         flat, ids_end = rows["tok"].astype("<u4").tobytes(), np.cumsum(np.bincount(rows["w"], minlength=len(raw))) * 4
@@ -167,7 +201,8 @@ def in_groups(texts: list[str], chars: int) -> Iterator[list[str]]:
         yield group
 
 
-def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", memory: int = 300_000, group_chars: int = 3_000_000) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", memory: int = 300_000, group_chars: int = 3_000_000,
+                  keep: list[str] | None = None) -> DataFrame:
     """Every row with ``ids`` (binary, unsigned 32-bit little-endian) and ``decoded`` (binary)."""
 
     def derive(column: pa.Array) -> list[list]:
@@ -176,22 +211,20 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", me
         pairs = [p for group in in_groups(char_texts(column), group_chars) for p in coder.encode(group)]
         return [[p[0] for p in pairs], [p[1] for p in pairs]]
 
-    return per_row(df, text, ADDED, "ids binary, decoded binary", derive)
+    return per_row(df, text, ADDED, "ids binary, decoded binary", derive, keep)
 
 
-DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, memory: int = 300_000,
-            group_chars: int = 3_000_000) -> DataFrame:
-    """Token count and hashes of the ids and of the decoded bytes, taken inside the pass that makes them."""
-
-    def derive(column: pa.Array) -> list[list]:
-        coder = _coder(path, pattern, memory)
-        gc.disable()  # many small objects without cycles
-        out: list[tuple] = []
-        for group in in_groups(char_texts(column), group_chars):
-            out += [(len(ids) // 4, sha256_hex(ids), sha256_hex(decoded)) for ids, decoded in coder.encode(group)]
-        return [list(x) for x in zip(*out)] if out else [[], [], []]
-
-    return per_row(df, text, DIGESTS, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", derive, keep)
+            group_chars: int = 3_000_000, ids: str | None = None) -> DataFrame:
+    """Token count and hashes of what :func:`encode_decode` gives; with ``ids`` the ids themselves are a column of that name.
+
+    A kept column named like one of these is replaced; any other name may be used.
+    """
+    own = [c for c in (df.columns if keep is None else keep) if c not in (*DIGESTS, ids)]
+    plain = df.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)], F.col(f"`{text}`").alias("own_text"))
+    coded = encode_decode(plain, path, pattern, "own_text", memory, group_chars, [f"own_{i}" for i in range(len(own))])
+    return coded.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)], (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *([F.col("ids").alias(ids)] if ids else []))

@@ -124,6 +124,26 @@ def test_bpe_ids_decode_and_long_words():
             assert (len(ids) // 4, sha(ids), sha(decoded)) == brute_bpe(text)
 
 
+def test_long_words_contract_many_places_a_round():
+    """Words beyond ``LONG_BYTES``: runs, chains of overlapping places, few and many letters, together with short words."""
+    rng = np.random.default_rng(4)
+    words = ["a" * 3001, "=" * 5000, "é" * 900, "x" * 1001 + "y", "".join(rng.choice(list("ab"), 2500)), "".join(rng.choice(["he", "ell", "the", "xx", "xxx"], 700)),
+             "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1500)), "=-" * 2000]
+    assert all(len(w.encode()) > bpe.LONG_BYTES for w in words)
+    coder = bpe.Coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = [*words, f"some words {words[4]} and {words[5]}", "plain"]
+    for text, (ids, decoded) in zip(texts, coder.encode(texts)):
+        assert (len(ids) // 4, sha(ids), sha(decoded)) == brute_bpe(text)
+
+
+def test_ids_beside_their_digests(odd):
+    """The ids of the operator, as a column, are those that the digests are of; columns named like the operator's are kept."""
+    more = odd.withColumns({"copy": F.col("text"), "ids": F.lit("mine"), "decoded": F.lit(1), "own_0": F.lit(2), "own_text": F.lit("no")})
+    rows = codes(more, ids="token_ids", keep=["doc_id", "copy", "ids", "decoded", "own_0", "own_text"]).collect()
+    assert len(rows) == len(ODD) + 2 and all((r["ids"], r["decoded"], r["own_0"], r["own_text"]) == ("mine", 1, 2, "no") for r in rows)
+    assert all((len(r["token_ids"]) // 4, sha(bytes(r["token_ids"]))) == brute_bpe(r["copy"])[:2] == (r["n_tokens"], r["ids_sha256"]) for r in rows)
+
+
 def test_license_expressions():
     assert licenses.postfix("a OR b AND c") == ["a", "b", "c", "and", "or"]
     assert licenses.postfix("(a or b) and c with d") == ["a", "b", "or", "c", "d", "with", "and"]
