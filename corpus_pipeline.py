@@ -30,8 +30,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE of every document that is left: token count and hashes of ids and of decoded bytes."""
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "source"])
+    """Byte-level BPE of every document that is left: its ids (binary, unsigned 32-bit little-endian), their number, and hashes of ids and decoded bytes."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "source"], ids="ids")
 
 
 STAGES = [("quality_rules", keep_good), ("simhash", drop_copies), ("secrets", hide_secrets), ("mix", mix), ("bpe", encode)]
