@@ -1,11 +1,15 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-The filter directions are a structured random product code: the dimensions form ``PARTS`` blocks, every block has ``CODES`` random
-unit vectors, and each choice of one per block, put together, is a direction, so CODES ** PARTS directions need only
-PARTS * CODES products. A vector is list-decoded to all directions whose product exceeds a limit: only code vectors that
-can still reach it with the best of the other block are combined. A vector far from all of them takes its best ones. Vectors meet at shared directions and are verified
-by cosine in double precision. The limit gives a random vector about ``EXPECTED`` directions; at a cosine of 0.9 several
-of a vector's directions are shared, so nearly all pairs meet (the tests measure the recall).
+The filter directions are a structured random product code: the dimensions form a few blocks, every block has ``codes`` random
+unit vectors, and each choice of one per block, put together, is a direction, so codes ** parts directions need only
+parts * codes products. A vector is list-decoded to all directions whose product exceeds a limit: only code vectors that
+can still reach it with the best of the other blocks are combined. A vector that exceeds it in fewer directions than the
+average takes its best ones instead. Vectors meet at shared directions and are verified by cosine in double precision.
+
+The code grows with the rows (``code_shape``): ``ROOM`` directions for each vector, so the number of unlike vectors that meet at a
+direction stays the same at every size, and a direction that one vector holds is dropped before vectors are moved. The number of a
+vector's directions grows as a power (1 - least) / (1 + least) of the code, 0.053 at a cosine of 0.9, and with its
+blocks, which keeps the recall (the tests measure it).
 
 Equal vectors are one node with a multiplicity. A direction held by more than ``BLOCK`` vectors is cut into random blocks and
 every two blocks meet in a group of their own, so no group grows with the input. A pair that shares several directions counts at the least
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,61 +30,95 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import checkpointed
 from .components import components
 
-PARTS, CODES, EXPECTED, BLOCK, SEED = 2, 256, 64.0, 512, 17
-
-
-#: A vector that exceeds the limit in fewer directions takes this many of its best ones.
-LEAST_DIRECTIONS = 32
+EXPECTED, BLOCK, SEED = 64, 512, 17
+#: Directions for each vector, at least LEAST_CODE of them.
+ROOM, LEAST_CODE = 256, 1 << 16
+#: Most code vectors of a block: a larger code has more blocks.
+MOST_CODES = 8192
 #: Shorter vectors are turned into this many dimensions by an orthonormal map, which keeps their cosines.
 LEAST_DIMS = 32
+#: Random vectors that the limit is measured on.
+PROBES = 50
+
+
+def code_shape(rows: int, least: float = 0.9) -> tuple[int, int, int]:
+    """``(parts, codes, expected)`` for this many vectors: blocks, code vectors of each, and directions of a vector."""
+    size, parts = max(LEAST_CODE, ROOM * rows), 2
+    while MOST_CODES ** parts < size:
+        parts += 1
+    codes = math.ceil(size ** (1 / parts))
+    spread = (1 - least) / (1 + least)
+    return parts, codes, math.ceil(EXPECTED * parts / 2 * (codes ** parts / LEAST_CODE) ** spread)
+
+
+@lru_cache(maxsize=4)
+def code_of(dims: int, shape: tuple[int, int, int]) -> Code:
+    """A worker's code for vectors of one length, kept from task to task."""
+    return Code(dims, *shape)
 
 
 class Code:
-    """The product code for vectors of one length, and the limit that gives random vectors EXPECTED directions on average."""
+    """The product code for vectors of one length, and the limit that gives random vectors ``expected`` directions on average."""
 
-    def __init__(self, dims: int):
+    def __init__(self, dims: int, parts: int, codes: int, expected: int):
         import numpy as np
 
         rng = np.random.default_rng([SEED, dims])
+        self.expected = expected
         self.map = np.linalg.qr(rng.normal(size=(LEAST_DIMS, dims)))[0].T if dims < LEAST_DIMS else None
         wide = max(dims, LEAST_DIMS)
         self.book = []
-        for part in np.array_split(np.arange(wide), PARTS):
-            code = rng.normal(size=(CODES, len(part)))
-            self.book.append((part, code / np.linalg.norm(code, axis=1, keepdims=True) / math.sqrt(PARTS)))
-        probe = rng.normal(size=(100, wide))
-        sums = np.zeros((100, 1))
-        for part, code in self.book:
-            sums = (sums[:, :, None] + (probe / np.linalg.norm(probe, axis=1, keepdims=True))[:, part].dot(code.T)[:, None, :]).reshape(100, -1)
-        rank = int(100 * EXPECTED)
-        self.limit = float(-np.partition(-sums.ravel(), rank)[rank])
+        for part in np.array_split(np.arange(wide), parts):
+            code = rng.normal(size=(codes, len(part)))
+            self.book.append((part, code / np.linalg.norm(code, axis=1, keepdims=True) / math.sqrt(parts)))
+        probe = rng.normal(size=(PROBES, wide))
+        probe /= np.linalg.norm(probe, axis=1, keepdims=True)
+        # Each probe's 8 * expected best products hold nearly all of the best of all probes.
+        best = np.concatenate([strongest([row @ c.T for row, c in ((v[part], c) for part, c in self.book)], 8 * expected)[0] for v in probe])
+        self.limit = float(-np.partition(-best, PROBES * expected)[PROBES * expected])
 
     def directions(self, vectors) -> list:
-        return decode(vectors if self.map is None else vectors @ self.map, self.book, self.limit)
+        """Sorted direction numbers of each unit vector."""
+        import numpy as np
 
+        turned = vectors if self.map is None else vectors @ self.map
+        out = []
+        for s in range(0, len(turned), 256):  # a block of products stays small however large the code is
+            products = [turned[s:s + 256, part] @ code.T for part, code in self.book]
+            best = [p.max(axis=1) for p in products]
+            for i in range(len(products[0])):
+                row = [p[i] for p in products]
+                numbers = exceeding(row, [float(b[i]) for b in best], self.limit)
+                out.append(np.sort(numbers if len(numbers) >= self.expected else strongest(row, self.expected)[1]))
+        return out
 
-def decode(vectors, book, limit: float) -> list:
-    """Sorted direction numbers of each unit vector."""
+
+def exceeding(products: list, best: list[float], limit: float):
+    """Numbers of all directions whose product, the sum of one entry of each block, reaches the limit."""
     import numpy as np
 
-    products = [vectors[:, part] @ code.T for part, code in book]
-    best = [p.max(axis=1) for p in products]
-    out = []
-    for i in range(len(vectors)):
-        sums, numbers = np.zeros(1), np.zeros(1, dtype=np.int64)
-        for j, p in enumerate(products):
-            rest = sum(b[i] for b in best[j + 1:])
-            near = np.flatnonzero(p[i] >= limit - rest - sum(b[i] for b in best[:j]))
-            total = sums[:, None] + p[i][near][None, :]
-            keep = total >= limit - rest
-            sums, numbers = total[keep], (numbers[:, None] * CODES + near[None, :])[keep]
-        if len(numbers) < LEAST_DIRECTIONS:
-            sums = np.zeros(1)
-            for p in products:
-                sums = (sums[:, None] + p[i][None, :]).ravel()
-            numbers = np.argpartition(-sums, LEAST_DIRECTIONS)[:LEAST_DIRECTIONS]
-        out.append(np.sort(numbers))
-    return out
+    sums, numbers = np.zeros(1), np.zeros(1, dtype=np.int64)
+    for j, p in enumerate(products):
+        rest = sum(best[j + 1:])
+        near = np.flatnonzero(p >= limit - rest - sum(best[:j]))
+        total = sums[:, None] + p[near][None, :]
+        keep = total >= limit - rest
+        sums, numbers = total[keep], (numbers[:, None] * len(p) + near[None, :])[keep]
+    return numbers
+
+
+def strongest(products: list, count: int):
+    """Products and numbers of the ``count`` best directions: a prefix of one of them is among the best prefixes."""
+    import numpy as np
+
+    sums, numbers = np.zeros(1), np.zeros(1, dtype=np.int64)
+    for p in products:
+        near = np.argpartition(-p, count - 1)[:count] if len(p) > count else np.arange(len(p))
+        sums, numbers = (sums[:, None] + p[near][None, :]).ravel(), (numbers[:, None] * len(p) + near[None, :]).ravel()
+        if len(sums) > count:
+            top = np.argpartition(-sums, count - 1)[:count]
+            sums, numbers = sums[top], numbers[top]
+    return sums, numbers
 
 
 def usable(vector: Column) -> Column:
@@ -96,27 +135,22 @@ def _unit(values, dims: int):
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def with_directions(nodes: DataFrame) -> DataFrame:
+def with_directions(nodes: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """``(node, dims, directions)``: each vector's length and the numbers of all directions it exceeds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        codes: dict[int, Code] = {}
         for batch in batches:
             vectors, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             by_length: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
                 by_length.setdefault(len(v), []).append(i)
             for dims, rows in by_length.items():
-                if dims not in codes:
-                    codes[dims] = Code(dims)
                 for s in range(0, len(rows), 2000):
                     part = rows[s:s + 2000]
-                    found = codes[dims].directions(_unit([vectors[i] for i in part], dims))
+                    found = code_of(dims, shape).directions(_unit([vectors[i] for i in part], dims))
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in part], pa.int64()), pa.array([dims] * len(part), pa.int32()),
-                                                      pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["node", "dims", "directions"])
+                                                      pa.array(found, pa.list_(pa.int64()))], ["node", "dims", "directions"])
 
-    return nodes.select("node", "vector").mapInArrow(run, "node bigint, dims int, directions array<int>")
+    return nodes.select("node", "vector").mapInArrow(run, "node bigint, dims int, directions array<bigint>")
 
 
 def _local_roots(i, j, n: int):
@@ -199,7 +233,7 @@ def _verified(least: float):
 
 def linked(nodes: DataFrame, least: float = 0.9, block: int = BLOCK) -> DataFrame:
     """``(node, links, root)`` rows of ``(node, vector, weight)``: partial counts and local component roots, to be summed."""
-    listed = checkpointed(with_directions(nodes))
+    listed = checkpointed(with_directions(nodes, code_shape(nodes.count(), least)))
     each = listed.select("node", "dims", F.explode("directions").alias("direction"))
     sizes = checkpointed(each.groupBy("dims", "direction").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     blocks = F.ceil(F.col("n") / block).cast("int")

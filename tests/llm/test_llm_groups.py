@@ -207,6 +207,31 @@ def test_vector_recall_at_the_limit(spark):
     assert sum(links[2 * i] for i in range(1, 400, 2)) >= 180
 
 
+def test_code_grows_with_the_rows():
+    """At every size unlike vectors seldom share a direction, and pairs at a cosine of 0.9 nearly always do."""
+    rng = np.random.default_rng(3)
+    for rows in (1_000, 100_000, 100_000_000):
+        parts, codes, expected = shape = vectors.code_shape(rows)
+        assert codes <= vectors.MOST_CODES and expected * rows <= codes ** parts
+        code = vectors.code_of(64, shape)
+        a, b = rng.normal(size=(2, 300, 64))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        found = list(zip(code.directions(a), code.directions(b)))
+        assert all(expected <= len(x) == len(set(x.tolist())) for x, _ in found)
+        assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in found]) >= 0.97
+
+
+def test_vectors_of_the_given_table(spark):
+    """The query's result on the given table equals all pairs in numpy, but for pairs that the filters may miss."""
+    rows = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in spark.read.parquet(f"{ROOT}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    want = {r[0]: r[1] for r in brute_vectors(rows)}
+    got = {r["vec_id"]: r["n_links"] for r in queries.op5_vector_dedup(spark, ROOT).collect()}
+    assert got.keys() == want.keys() and all(got[k] <= want[k] for k in want)
+    assert sum(got.values()) >= 0.97 * sum(want.values())
+
+
 def test_pipeline(spark):
     """Stages keep the columns of documents, their decisions last, and run() gives the last stage's rows."""
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")
