@@ -32,7 +32,9 @@ from .components import components
 
 EXPECTED, BLOCK, SEED = 64, 512, 17
 #: Directions for each vector, at least LEAST_CODE of them.
-ROOM, LEAST_CODE = 256, 1 << 16
+ROOM, LEAST_CODE = 1024, 1 << 16
+#: Groups up to this size are compared many at a time; those with a link and larger ones go one at a time.
+SMALL = 32
 #: Most code vectors of a block: a larger code has more blocks.
 MOST_CODES = 8192
 #: Shorter vectors are turned into this many dimensions by an orthonormal map, which keeps their cosines.
@@ -167,11 +169,11 @@ def _local_roots(i, j, n: int):
             return root
 
 
-def verify_group(direction: int, node, side, vectors, directions, weight, least: float):
+def verify_group(node, side, vectors, earlier, weight, least: float):
     """``(node, links, root)`` of the members that link with another one whose least shared direction is this one.
 
-    ``side`` is 0 and 1 for the two blocks of a group of different blocks, and 2 in a block with itself; ``directions()`` gives the
-    members' directions, which few groups need.
+    ``side`` is 0 and 1 for the two blocks of a group of different blocks, and 2 in a block with itself; ``earlier()`` gives the
+    members' lesser directions, which few groups need.
     """
     import numpy as np
 
@@ -182,10 +184,10 @@ def verify_group(direction: int, node, side, vectors, directions, weight, least:
         cosine &= side[:, None] != side[None, :]
     if not cosine.any():
         return None
-    earlier: dict[int, int] = {}
-    cells = [(r, earlier.setdefault(d, len(earlier))) for r, ds in enumerate(directions()) for d in ds if d < direction]
+    columns: dict[int, int] = {}
+    cells = [(r, columns.setdefault(d, len(columns))) for r, ds in enumerate(earlier()) for d in ds]
     if cells:
-        seen = np.zeros((len(node), len(earlier)), dtype=np.float32)
+        seen = np.zeros((len(node), len(columns)), dtype=np.float32)
         seen[tuple(np.array(cells).T)] = 1
         cosine &= seen @ seen.T == 0
     i, j = np.nonzero(np.triu(cosine))
@@ -195,6 +197,30 @@ def verify_group(direction: int, node, side, vectors, directions, weight, least:
     return node[hit], links[hit], node[root[hit]]
 
 
+def _values(rows: pa.Table):
+    lists = rows["vector"].combine_chunks()
+    bounds = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False)[bounds[0]:bounds[-1]]
+
+
+def worth_a_look(rows: pa.Table, spans, least: float) -> list[int]:
+    """Numbers of the groups, bounded by ``spans``, that are large or hold two vectors with the cosine; all small ones are compared at once."""
+    import numpy as np
+
+    sizes = np.diff(spans)
+    look = sizes > SMALL
+    small = np.repeat(~look & (sizes > 1), sizes)
+    of, dims = np.repeat(np.arange(len(sizes)), sizes), rows["dims"].to_numpy()
+    for wide in np.unique(dims[small]):
+        chosen = np.flatnonzero(small & (dims == wide))
+        unit = _unit(_values(rows.take(pa.array(chosen)).select(["vector"])), int(wide))
+        mine, step = of[chosen], 1
+        while len(near := np.flatnonzero(mine[step:] == mine[:-step])):
+            look[mine[near[np.einsum("ij,ij->i", unit[near], unit[near + step]) >= least - 1e-9]]] = True  # the group itself decides exactly
+            step += 1
+    return np.flatnonzero(look).tolist()
+
+
 MET = "node bigint, links bigint, root bigint"
 
 
@@ -203,20 +229,20 @@ def _verified(least: float):
     import numpy as np
 
     def group(rows: pa.Table) -> tuple | None:
-        lists = rows["vector"].combine_chunks()
-        bounds = lists.offsets.to_numpy()
-        values = lists.values.to_numpy(zero_copy_only=False)[bounds[0]:bounds[-1]]
-        found = verify_group(rows["direction"][0].as_py(), rows["node"].to_numpy(), rows["side"].to_numpy(), _unit(values, rows["dims"][0].as_py()),
-                             lambda: rows["directions"].to_pylist(), rows["weight"].to_numpy(), least)
-        return found
+        return verify_group(rows["node"].to_numpy(), rows["side"].to_numpy(), _unit(_values(rows), rows["dims"][0].as_py()),
+                            lambda: rows["earlier"].to_pylist(), rows["weight"].to_numpy(), least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: pa.Table | None = None
 
         def verified(rows: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
-            found = [f for start, end in zip([0, *ends], ends) if end - start > 1 and (f := group(rows.slice(start, end - start))) is not None]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)], ["node", "links", "root"])
+            bounds = np.array([0, *ends])
+            for at in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(bounds[1:] // 4096)) + 1):  # whole groups, some 4,096 rows
+                part = rows.slice(int(bounds[at[0]]), int(bounds[at[-1] + 1] - bounds[at[0]]))
+                spans = bounds[at[0]:at[-1] + 2] - bounds[at[0]]
+                found = [f for g in worth_a_look(part, spans, least) if (f := group(part.slice(int(spans[g]), int(spans[g + 1] - spans[g])))) is not None]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)], ["node", "links", "root"])
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -236,14 +262,15 @@ def linked(nodes: DataFrame, least: float = 0.9, block: int = BLOCK) -> DataFram
     listed = checkpointed(with_directions(nodes, code_shape(nodes.count(), least)))
     each = listed.select("node", "dims", F.explode("directions").alias("direction"))
     sizes = checkpointed(each.groupBy("dims", "direction").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", "direction"), F.col("blocks")).cast("int")
-    met = each.join(sizes, ["dims", "direction"]).withColumn("blocks", blocks).withColumn("own", own)
+    shared = each.join(sizes, ["dims", "direction"]).groupBy("node", "dims").agg(F.collect_list(F.struct("direction", "n")).alias("shared"))  # a vector's directions
+    met = shared.join(nodes, "node").select("node", "dims", "weight", "vector", "shared", F.explode("shared").alias("at"))
+    met = met.withColumn("direction", F.col("at.direction")).withColumn("blocks", F.ceil(F.col("at.n") / block).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("node", "direction"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("node", "dims", "direction", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
-                     F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    whole = nodes.join(listed.drop("dims"), "node")
-    rows = met.join(whole, "node").select("dims", "direction", "a", "b", "node", "side", "weight", "vector", "directions")
+    lesser = F.expr("transform(filter(shared, x -> x.direction < direction), x -> x.direction)")
+    rows = met.select("dims", "direction", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node",
+                      F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+                      "weight", "vector", lesser.alias("earlier"))
     dealt = rows.repartition("dims", "direction", "a", "b").sortWithinPartitions("dims", "direction", "a", "b")
     return dealt.mapInArrow(_verified(least), MET)
 
