@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from ..functions.scoring import closeness_sql, recency_sql
 from ..operators import ranking as op, visual
 from ..plans import search as plan
-from .core import Inputs, query, shared
+from ..weights import HybridWeights
+from .core import SHARED, Inputs, query, shared
 from .fulltext import documents, query_frame
 
 # Lexical scores by brute force over every answered pair.
@@ -74,13 +75,17 @@ shared("hyb", """
   JOIN vis v USING (capture_id) CROSS JOIN (SELECT dhash FROM vis WHERE capture_id = (SELECT min(capture_id) FROM vis)) p""")
 
 
-def _hybrid(i: Inputs):
+def _signals(i: Inputs, found):
     from .visual import visuals
     v = visuals(i).select("capture_id", "colors", "dhash")
     probe = v.agg(F.min_by("dhash", "capture_id").alias("query_hash")).withColumn("scope", F.lit(1))
-    rows = plan.ranked(scored(i), 50).withColumn("q", F.col("q").withField("colors", F.array(F.lit("blue"))))
-    rows = rows.withColumn("labels", F.col("d.hosts")).withColumn("similarity", F.lit(0.0)).withColumn("scope", F.lit(1))
-    return op.hybrid(rows.join(v, "capture_id").join(F.broadcast(probe), "scope"))
+    rows = found.withColumn("q", F.col("q").withField("colors", F.array(F.lit("blue"))))
+    rows = rows.withColumns({"labels": F.col("d.hosts"), "similarity": F.lit(0.0), "scope": F.lit(1), "date_added": F.col("d.date_added")})
+    return rows.join(v, "capture_id").join(F.broadcast(probe), "scope")
+
+
+def _hybrid(i: Inputs):
+    return op.hybrid(_signals(i, plan.ranked(scored(i), 50)))
 
 
 @query("hybrid_score", "SELECT query_id, capture_id, round(lexical * 0.4 + metadata * 100 * 0.2 + greatest(overlap, near) * 100 * 0.1 + entity * 100 * 0.05, 6) AS hybrid FROM hyb")
@@ -88,6 +93,23 @@ def hybrid_score(i: Inputs):
     return _hybrid(i).select("query_id", "capture_id", F.round("hybrid", 6).alias("hybrid"))
 
 
+#: Settings of the sweep: the default one, words first, pictures and names first.
+SETTINGS = {"default": HybridWeights(), "words": HybridWeights(0.7, 0.1, 0.1, 0.05, 0.05, 400.0), "looks": HybridWeights(0.2, 0.1, 0.2, 0.3, 0.2, 128.0)}
+
+shared("hyb_all", SHARED["hyb"].replace("FROM top50)", "FROM scored)"))
+
+
+@query("hybrid_sweep", f"""
+  SELECT setting, query_id, capture_id, hybrid, row_number() OVER (PARTITION BY setting, query_id ORDER BY hybrid DESC, score DESC, date_added DESC, capture_id) AS rank FROM (
+    SELECT setting, query_id, capture_id, score, date_added,
+      round((least(1.0, score / ceiling) * 100 * wl + metadata * 100 * wm + greatest(overlap, near) * 100 * wv + entity * 100 * we) / (wl + ws + wm + wv + we), 6) AS hybrid
+    FROM hyb_all CROSS JOIN (VALUES {", ".join(f"('{k}', {w.lexical}::DOUBLE, {w.semantic}::DOUBLE, {w.metadata}::DOUBLE, {w.visual}::DOUBLE, {w.entity}::DOUBLE, {w.lexical_ceiling}::DOUBLE)" for k, w in SETTINGS.items())})
+      AS s(setting, wl, ws, wm, wv, we, ceiling))""")
+def hybrid_sweep(i: Inputs):
+    """Every answered row, none cut, under three settings; its rows come from the ladder, so the similarity is 0 as in ``hybrid_score``."""
+    return op.weight_sweep(_signals(i, scored(i)), SETTINGS, digits=6)
+
+
 @query("metadata_share", "SELECT query_id, capture_id, round(metadata, 6) AS share FROM hyb")
 def metadata_share(i: Inputs):
     return _hybrid(i).select("query_id", "capture_id", F.round("metadata", 6).alias("share"))
