@@ -126,15 +126,15 @@ class Aligner:
                     x = left[0]
                     if len(right) == 1:
                         codes.append(x * width + right[0])
-                        texts.append(f"{x};{right[0]}")
+                        texts.append(f"{x}|{right[0]}")
                         continue
                     codes += [x * width + y for y in right]
                 elif len(right) == 1:
                     codes += [x * width + right[0] for x in left]
                 else:
                     codes += [x * width + y for x, y in links_of(left, right, size_a, size_b)]
-                texts.append(f"{','.join([name_a[x] for x in left])};{','.join([name_b[y] for y in right])}")
-            found[piece] = (len(a), len(b), len(groups), "|".join(texts), array("q", codes).tobytes())
+                texts.append(f"{','.join([name_a[x] for x in left])}|{','.join([name_b[y] for y in right])}")
+            found[piece] = (len(a), len(b), len(groups), ";".join(texts), array("q", codes).tobytes())
         return found
 
     def align(self, texts: list[str]) -> list[tuple]:
@@ -156,7 +156,7 @@ class Aligner:
             n_a, n_b, n_groups, groups, codes = zip(*parts)
             links = np.frombuffer(b"".join(codes), np.int64)
             pairs, times = np.unique(links, return_counts=True)
-            out.append((sum(n_a), sum(n_b), sum(n_groups), len(links), hashlib.sha256("|".join(groups).encode()).hexdigest(), pairs, times))
+            out.append((sum(n_a), sum(n_b), sum(n_groups), len(links), hashlib.sha256(";".join(groups).encode()).hexdigest(), pairs, times))
         self.known.update((p, e) for p, e in found.items() if len(p) <= SHORT)
         if len(self.known) > MEMORY // 2:  # two generations: what was met lately stays
             self.known, self.older = {}, self.known
