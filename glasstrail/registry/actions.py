@@ -74,7 +74,7 @@ def d_compare_pairs(i: Inputs):
 
 @query("d_detail", """
   SELECT capture_id, filename, coalesce(CAST(CAST(amount AS BIGINT) AS VARCHAR), '') AS prices, coalesce(url, '') AS urls, coalesce(normalized, '') AS phones, coalesce(code, '') AS codes, coalesce(d.raw, '') AS dates, amount AS receipt_amount
-  FROM cap LEFT JOIN price_f USING (capture_id) LEFT JOIN url_f USING (capture_id) LEFT JOIN phone_f USING (capture_id) LEFT JOIN code_f USING (capture_id) LEFT JOIN date_f d USING (capture_id)""")
+  FROM cap LEFT JOIN price_f USING (capture_id) LEFT JOIN url_f USING (capture_id) LEFT JOIN phone_f USING (capture_id) LEFT JOIN otp_f USING (capture_id) LEFT JOIN date_f d USING (capture_id)""")
 def d_detail(i: Inputs):
     rows = op.detail(spread(i.cap.select("capture_id", "filename", "ocr_text")), x.all_facts("ocr_text", TODAY))
     return rows.selectExpr("capture_id", "filename", "array_join(transform(prices, p -> string(bigint(p.amount))), '|') AS prices", "array_join(transform(urls, u -> u.url), '|') AS urls",

@@ -124,7 +124,7 @@ def agg_price_answer(i: Inputs):
     return op.price_answer(rows, ["owner_id"])
 
 
-@query("agg_signal_summary", "SELECT t AS signal, count(*) AS n FROM flag GROUP BY 1")
+@query("agg_signal_summary", "SELECT t AS signal, count(*) AS n FROM flag_otp GROUP BY 1")
 def agg_signal_summary(i: Inputs):
     from ..operators.filters import presence_flags
     from .filters import children

@@ -156,7 +156,7 @@ def c_followup_carry(i: Inputs):
     return carry_forward(rows, ["conv_id"], "turn", "own", "entity").select("conv_id", "turn", "entity")
 
 
-@query("c_snapshot", "SELECT DISTINCT capture_id, 'deals' AS snapshot FROM (SELECT capture_id FROM price_f UNION ALL SELECT capture_id FROM code_f UNION ALL SELECT capture_id FROM cap WHERE capture_id % 4 = 1)")
+@query("c_snapshot", "SELECT DISTINCT capture_id, 'deals' AS snapshot FROM (SELECT capture_id FROM price_f UNION ALL SELECT capture_id FROM otp_f UNION ALL SELECT capture_id FROM cap WHERE capture_id % 4 = 1)")
 def c_snapshot(i: Inputs):
     found = i.prices.select("capture_id").unionByName(i.codes.select("capture_id")).unionByName(i.cap.filter("capture_id % 4 = 1").select("capture_id"))
     return op.snapshot("deals", found).select("capture_id", "snapshot")
