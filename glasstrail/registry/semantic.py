@@ -44,8 +44,7 @@ def embed_sql(source: str, key: str, text: str) -> str:
 
 @query("sem_features", f"SELECT doc_id, feature, count(*) AS n FROM ({features_sql('documents', 'doc_id', 'text')}) GROUP BY 1, 2")
 def sem_features(i: Inputs):
-    rows = i.documents.select("doc_id", F.explode(vec.features(F.col("text"))).alias("feature"))
-    return rows.groupBy("doc_id", "feature").agg(F.count("*").alias("n"))
+    return op.feature_counts(i.documents, "doc_id", F.col("text"))
 
 
 @query("sem_embed", f"SELECT doc_id, dim, round(w, 6) AS w FROM ({embed_sql('documents', 'doc_id', 'text')})")
