@@ -2,11 +2,12 @@
 
 A word is the sum of three embeddings, of two independent hashes of the word and one of its first bytes, so that one
 colliding hash doesn't make a rare word look toxic. Filters of several widths run over the words, their maximum over the whole text
-and a logistic layer give the score. Embeddings start from the smoothed log odds of their bucket in one part of the sample;
-the rest is learned by Adam on the other part; a third part calibrates the score, so 0.5 is its best threshold, and a
-threshold per language for the column ``flagged``. Language, source and id are no inputs of the score.
+and a logistic layer give the score. Embeddings start from the smoothed log odds of their bucket in two fifths of the labelled rows;
+the rest is learned by Adam on two other fifths; the last fifth calibrates the score, so 0.5 is its best threshold. All of them
+give a threshold per language for the column ``flagged``. Language, source and id are no inputs of the score.
 
-The fit reads a bounded labelled sample that holds no held-out row; scoring runs in one Arrow pass over whole texts. Null texts are
+The fit reads every labelled row that isn't held out. Counts are sums; weights are learned in shards from the same start, a shard
+per task, and averaged, round by round. Only the net and counts of fixed size reach the driver. Scoring runs in one Arrow pass over whole texts. Null texts are
 empty and score like a text without words. Without labels of both classes the score is their share (0 without any).
 """
 from __future__ import annotations
@@ -17,13 +18,18 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts, held_out, per_row
+from .common import byte_texts, checkpointed, held_out, per_row
 
 BUCKETS, DIMS, PREFIX = 1 << 17, 8, 5
 #: Filters of each width.
 FILTERS = {1: 8, 2: 4, 3: 4}
-#: Most labelled rows of each class that a fit reads: those with the least seeded hash of their id.
-SAMPLE_ROWS = 2_000
+#: About so many rows of one class mix are learned by one task in a round; more rows give more shards.
+SHARD_ROWS = 4_000
+ROUNDS = 2
+#: Most labelled rows whose ids and labels (16 bytes each) are broadcast; more are joined by shuffle, once, and the texts stored.
+BROADCAST_LABELS = 1_000_000
+#: Bins of the raw scores in which the calibration counts rows.
+BINS = 20_000
 _WORD_MAP = bytes(b if b >= 128 or chr(b).isdigit() or "a" <= chr(b) <= "z" else b + 32 if "A" <= chr(b) <= "Z" else 32 for b in range(256))
 
 
@@ -91,53 +97,41 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(ids) + self.shift, -30, 30)))
 
 
-def _log_odds(ids: list, y):
+def _log_odds(toxic, both, share: float):
     """Per embedding and bucket: smoothed log odds of the toxic class against its share."""
     import numpy as np
 
-    share, strength = float(np.clip(y.mean(), 0.01, 0.99)), 4.0
-    out = np.zeros((3, BUCKETS), dtype=np.float32)
-    for j in range(3):
-        toxic, both = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for i, t in zip(ids, y):
-            seen = np.unique(i[:, j])
-            both[seen] += 1
-            toxic[seen] += t
-        p = (toxic + strength * share) / (both + strength)
-        out[j] = np.log(p / (1 - p)) - np.log(share / (1 - share))
-    return out
+    share, strength = float(np.clip(share, 0.01, 0.99)), 4.0
+    p = (toxic + strength * share) / (both + strength)
+    return (np.log(p / (1 - p)) - np.log(share / (1 - share))).astype(np.float32)
 
 
-def fit(ids: list, labels, epochs: int = 6, least_steps: int = 500, rate: float = 0.02, seed: int = 5) -> Net:
-    """Train on two fifths for the start values, two fifths for the weights, one fifth for the calibration."""
+def fresh(seed: int = 5) -> Net:
+    """The net before any row is read."""
     import numpy as np
 
-    y = np.asarray(labels, dtype=np.float32)
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.05, (3, BUCKETS, DIMS)).astype(np.float32)
     e[:, :, 1:] *= 0.2
     w = {k: rng.normal(0, 0.1, (k, DIMS, n)).astype(np.float32) for k, n in FILTERS.items()}
     for k in w:
         w[k][0, 0] = np.abs(w[k][0, 0]) + 0.3
-    b = {k: np.zeros(n, dtype=np.float32) for k, n in FILTERS.items()}
-    n_out = sum(FILTERS.values())
-    net = Net(e, w, b, np.full(n_out, 0.2, dtype=np.float32), -1.0)
-    if len(y) == 0 or y.min() == y.max():
-        net.scale, net.shift = 0.0, 30.0 if len(y) and y.max() else -30.0
-        return net
-    order = rng.permutation(len(y))
-    place = np.arange(len(y)) % 5
-    part = lambda which: order[np.isin(place, which)]
-    first, second, last = part([0, 1]), part([2, 3]), part([4])
-    if y[first].max() > y[first].min():
-        e[:, :, 0] = _log_odds([ids[i] for i in first], y[first]) * np.float32(0.5)
+    return Net(e, w, {k: np.zeros(n, dtype=np.float32) for k, n in FILTERS.items()}, np.full(sum(FILTERS.values()), 0.2, dtype=np.float32), -1.0)
+
+
+def learn(net: Net, ids: list, y, epochs: int, rate: float = 0.02, seed: int = 5) -> None:
+    """Adam over the rows of one shard, in place."""
+    import numpy as np
+
+    rng, rows_of = np.random.default_rng(seed), np.arange(len(y))
+    e, w, b = net.e, net.w, net.b
     params = [net.out, *w.values(), *b.values()]
     moment, square, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     bias_m = bias_s = 0.0
-    for _ in range(max(epochs, -(-least_steps * 32 // max(1, len(second))))):
-        rng.shuffle(second)
-        for s in range(0, len(second), 32):
-            rows = second[s:s + 32]
+    for _ in range(epochs):
+        rng.shuffle(rows_of)
+        for s in range(0, len(rows_of), 32):
+            rows = rows_of[s:s + 32]
             texts = [ids[i] for i in rows]
             maxima, where, x, starts = net.features(texts)
             f = np.concatenate(maxima, axis=1)
@@ -167,63 +161,156 @@ def fit(ids: list, labels, epochs: int = 6, least_steps: int = 500, rate: float
             for three, d in deltas:
                 for j in range(3):
                     e[j, three[j]] -= np.float32(0.5) * d
-    return _calibrated(net, net.raw([ids[i] for i in last]) if len(last) else np.zeros(0), y[last])
 
 
-def _calibrated(net: Net, raw, y) -> Net:
-    """Put 0.5 in the middle of the widest gap among the thresholds with the fewest errors, false alarms counting twice."""
+def _flat(net: Net):
+    """Filters, biases and the logistic layer as one array."""
     import numpy as np
 
-    if len(y) and y.min() != y.max():
-        order = np.argsort(raw)
-        r, t = raw[order], y[order]
-        errors = np.concatenate([[0], np.cumsum(t)]) + 2 * np.concatenate([np.cumsum((1 - t)[::-1])[::-1], [0]])  # the first i rows pass as clean
-        gaps = r[1:] - r[:-1]
-        cost = np.where(gaps > 1e-6, errors[1:-1], np.inf)  # a threshold stands between two different values
-        if np.isfinite(cost.min()):
-            i = int(np.where(cost == cost.min(), gaps, -1).argmax())
-            net.shift = -float((r[i] + r[i + 1]) / 2)
-    return net
+    return np.concatenate([net.out, *[v.ravel() for v in net.w.values()], *net.b.values(), [net.bias]]).astype(np.float64)
+
+
+def _unflat(net: Net, flat) -> None:
+    parts, at = [net.out, *net.w.values(), *net.b.values()], 0
+    for p in parts:
+        p[...] = flat[at:at + p.size].reshape(p.shape)
+        at += p.size
+    net.bias = float(flat[at])
+
+
+def _start_values(first: DataFrame, share: float):
+    """Log odds of every bucket, from all rows of ``first``: texts with a word in it, and the toxic ones among them."""
+    import numpy as np
+
+    def run(batches):
+        seen = np.zeros((2, 3 * BUCKETS), dtype=np.int64)
+        for batch in batches:
+            for text, y in zip(byte_texts(batch.column("text")), batch.column("label").to_pylist()):
+                ids = word_ids(text)
+                for j in range(3):
+                    slots = np.unique(ids[:, j]) + j * BUCKETS
+                    seen[0, slots] += 1
+                    seen[1, slots] += y
+        used = np.flatnonzero(seen[0])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[0, used]), pa.array(seen[1, used])], names=["slot", "n", "toxic"])
 
+    counts = first.select("text", "label").mapInArrow(run, "slot long, n long, toxic long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    got = counts.toArrow()  # at most 3 * BUCKETS rows
+    slots, both, toxic = got["slot"].to_numpy(), np.zeros(3 * BUCKETS), np.zeros(3 * BUCKETS)
+    both[slots], toxic[slots] = got["n"].to_numpy(), got["toxic"].to_numpy()
+    return _log_odds(toxic, both, share).reshape(3, BUCKETS)
 
-def language_thresholds(net: Net, ids: list, labels, langs: list) -> dict:
+
+def _round(net: Net, second: DataFrame, shards: int, epochs: int, seed: int) -> None:
+    """Every shard learns from ``net``; the net moves by the mean change: of all shards, or for an embedding of those that changed it."""
+    import numpy as np
+
+    shared = second.sparkSession.sparkContext.broadcast(net)
+    names = [f"v{i}" for i in range(DIMS)]
+
+    def run(table: pa.Table) -> pa.Table:
+        start = shared.value
+        own = Net(start.e.copy(), {k: v.copy() for k, v in start.w.items()}, {k: v.copy() for k, v in start.b.items()}, start.out.copy(), start.bias)
+        table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+        ids = [word_ids(t) for column in table.column("text").chunks for t in byte_texts(column)]
+        learn(own, ids, table.column("label").to_numpy().astype(np.float32), epochs, seed=seed)
+        moved = (own.e - start.e).reshape(-1, DIMS)
+        slots = np.flatnonzero(moved.any(axis=1))
+        dense = _flat(own) - _flat(start)
+        dense = np.pad(dense, (0, -len(dense) % DIMS)).reshape(-1, DIMS)
+        values = np.concatenate([moved[slots].astype(np.float64), dense])
+        return pa.table([np.concatenate([slots, 3 * BUCKETS + np.arange(len(dense))]), *values.T], names=["slot", *names])
+
+    dealt = second.withColumn("shard", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(shards)))
+    moves = dealt.groupBy("shard").applyInArrow(run, "slot long, " + ", ".join(f"{n} double" for n in names))
+    got = moves.groupBy("slot").agg(*[F.avg(n).alias(n) for n in names]).toArrow()  # the size of the net at most
+    slots, values = got["slot"].to_numpy(), np.stack([got[n].to_numpy() for n in names], axis=1)
+    words = slots < 3 * BUCKETS
+    net.e.reshape(-1, DIMS)[slots[words]] += values[words].astype(np.float32)
+    dense = values[~words][np.argsort(slots[~words])].ravel()
+    flat = _flat(net)
+    _unflat(net, flat + dense[:len(flat)])
+    shared.unpersist()
+
+
+def _calibrated(net: Net, raws: DataFrame) -> None:
+    """Put 0.5 in the middle of the widest gap among the thresholds with the fewest errors, false alarms counting twice."""
+    import numpy as np
+
+    low, high = raws.agg(F.min("raw"), F.max("raw")).first()
+    if low is None or low == high:
+        return
+    bin_ = F.floor((F.col("raw") - F.lit(low)) / F.lit((high - low) / BINS))
+    got = raws.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("t"), F.min("raw").alias("low"), F.max("raw").alias("high")).orderBy("low").collect()
+    n, t, lows, highs = (np.array([r[c] for r in got], dtype=float) for c in ("n", "t", "low", "high"))
+    if len(got) < 2 or t.sum() in (0, n.sum()):
+        return
+    errors = np.concatenate([[0], np.cumsum(t)]) + 2 * np.concatenate([np.cumsum((n - t)[::-1])[::-1], [0]])  # the first i bins pass as clean
+    gaps = lows[1:] - highs[:-1]
+    cost = np.where(gaps > 1e-6, errors[1:-1], np.inf)  # a threshold stands between two different values
+    if np.isfinite(cost.min()):
+        i = int(np.where(cost == cost.min(), gaps, -1).argmax())
+        net.shift = -float((highs[i] + lows[i + 1]) / 2)
+
+
+def language_thresholds(net: Net, raws: DataFrame) -> dict:
     """Per language the score above which labelled texts have the fewest errors; 0.5 where one class is missing."""
     import numpy as np
 
+    grid = np.linspace(0.05, 0.95, 37)
+    x = F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col("raw") * net.scale + net.shift))
+    passed = F.size(F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: g <= 1 / (1 + F.exp(-x))))
+    counts: dict = {}
+    for r in raws.filter("lang IS NOT NULL").groupBy("lang", "label", passed.alias("passed")).agg(F.count("*").alias("n")).collect():  # 76 rows a language at most
+        counts.setdefault(r["lang"], np.zeros((2, len(grid) + 1)))[r["label"], r["passed"]] += r["n"]
     out = {}
-    for lang in sorted({x for x in langs if x is not None}):
-        rows = [i for i, x in enumerate(langs) if x == lang]
-        y = np.array([labels[i] for i in rows], dtype=float)
+    for lang, c in sorted(counts.items()):
         out[lang] = 0.5
-        if len(y) and y.min() != y.max():
-            p = net.score([ids[i] for i in rows])
-            grid = np.linspace(0.05, 0.95, 37)
-            errors = np.array([((p >= t) != y).sum() for t in grid])
+        if c.sum(axis=1).all():
+            under = np.cumsum(c, axis=1)[:, :-1]  # rows below each threshold
+            errors = under[1] + c[0].sum() - under[0]
             best = grid[errors == errors.min()]
             out[lang] = float(round(best[np.abs(best - 0.5).argmin()], 3))
     return out
 
 
-def labelled_sample(labels: DataFrame, label: str, rows: int, seed: int = 13) -> DataFrame:
-    """At most ``rows`` labelled rows of each class, none of them held out."""
-    usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label"))
-    one = lambda k: usable.filter(F.col("label") == k).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
-    return one(0).unionByName(one(1))
+def _raws(texts: DataFrame, net: Net) -> DataFrame:
+    """``(label, lang, part, raw)`` of every row of ``texts``, stored."""
+    shared = texts.sparkSession.sparkContext.broadcast(net)
+
+    def derive(column: pa.Array) -> list[list]:
+        out: list[float] = []
+        for s in range(0, len(column), 100):
+            out += shared.value.raw([word_ids(t) for t in byte_texts(column[s:s + 100])]).tolist()
+        return [out]
 
+    return checkpointed(per_row(texts, "text", pa.schema([("raw", pa.float64())]), "raw double", derive, ["label", "lang", "part"]))
 
-def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> tuple[Net, dict]:
-    """Net and language thresholds from a bounded sample; words are hashed on the executors, so numbers, not texts, are collected."""
-    import numpy as np
 
-    sample = labelled_sample(labels, label, rows)
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * rows ids
-    hashed = per_row(texts, "text", pa.schema([("ids", pa.large_binary())]), "ids binary", lambda column: [[word_ids(t).tobytes() for t in byte_texts(column)]],
-                     ["doc_id", "lang", "label"])
-    got = hashed.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "ids").limit(4 * rows).collect()
-    ids = [np.frombuffer(r["ids"], dtype=np.uint32).reshape(-1, 3) for r in got]
-    y = [r["label"] for r in got]
-    net = fit(ids, y)
-    return net, language_thresholds(net, ids, y, [r["lang"] for r in got])
+def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SHARD_ROWS, epochs: int = 6, least_steps: int = 500, seed: int = 13) -> tuple[Net, dict]:
+    """Net and language thresholds from every labelled row that isn't held out; a shard learns about ``rows`` of them."""
+    usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label"))
+    usable = checkpointed(usable)
+    few = usable.count() <= BROADCAST_LABELS
+    texts = docs.select("doc_id", "lang", "text").filter(~held_out(F.col("doc_id"))).join(F.broadcast(usable) if few else usable, "doc_id")
+    texts = (texts if few else checkpointed(texts)).withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(5)))
+    net = fresh()
+    n = {(r["part"], r["label"]): r["n"] for r in texts.groupBy("part", "label").agg(F.count("*").alias("n")).collect()}
+    toxic, total = sum(v for (_, y), v in n.items() if y), sum(n.values())
+    if toxic in (0, total):
+        net.scale, net.shift = 0.0, 30.0 if toxic else -30.0
+        return net, {}
+    count = lambda parts, ys=(0, 1): sum(n.get((p, y), 0) for p in parts for y in ys)
+    if count((0, 1), (0,)) and count((0, 1), (1,)):
+        net.e[:, :, 0] = _start_values(texts.filter("part < 2"), count((0, 1), (1,)) / count((0, 1))) * 0.5
+    if count((2, 3)):
+        shards = -(-count((2, 3)) // rows)
+        visits = max(epochs, -(-least_steps * 32 * shards // count((2, 3))))
+        for k in range(ROUNDS):
+            _round(net, texts.filter("part IN (2, 3)").select("doc_id", "text", "label"), shards, -(-visits // ROUNDS), k + 5)
+    raws = _raws(texts, net)
+    _calibrated(net, raws.filter("part = 4"))
+    return net, language_thresholds(net, raws)
 
 
 def scored(docs: DataFrame, net: Net, thresholds: dict, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
