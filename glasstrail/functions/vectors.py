@@ -15,6 +15,11 @@ def embeddable_text(text: Column, filename: Column) -> Column:
     return F.when(name == "", text).otherwise(F.concat(text, F.lit("\n"), name))
 
 
+def cleaned(text: Column) -> Column:
+    """Lower-cased letters and digits of the whole text, and its white space: the words of ``features`` in one pass."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}\s]+", "")
+
+
 def features(text: Column) -> Column:
     """Words, word pairs and padded character trigrams of the whole text."""
     words = F.filter(
