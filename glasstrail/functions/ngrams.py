@@ -5,8 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts are taken together up to so many rows and bytes; a longer text goes alone. This bounds memory, not results.
-ROWS, BYTES = 1024, 1 << 20
+#: Texts are taken together up to so many weights and bytes; a longer text goes alone. This bounds memory, not results.
+CELLS, BYTES = 1 << 19, 1 << 20
 #: So few words left are hashed one by one.
 FEW = 64
 OFFSET, PRIME = 2166136261, 16777619
@@ -14,11 +14,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def blocks(offsets: np.ndarray):
+def blocks(offsets: np.ndarray, dimension: int):
     """Ranges of rows that are embedded together."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = min(int(np.searchsorted(offsets, offsets[a] + BYTES, "right")) - 1, a + ROWS, n)
+        b = min(int(np.searchsorted(offsets, offsets[a] + BYTES, "right")) - 1, a + CELLS // dimension, n)
         yield a, max(b, a + 1)
         a = max(b, a + 1)
 
@@ -141,7 +141,7 @@ def sparse_vectors(texts: pa.Array, dimension: int):
     _, where, data = texts.buffers()
     offsets = np.frombuffer(where, np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
-    for a, b in blocks(offsets):
+    for a, b in blocks(offsets, dimension):
         w = weights(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], dimension)
         row, dim = np.nonzero(w)
         yield row + a, dim, w[row, dim] / np.sqrt((w * w).sum(1))[row]

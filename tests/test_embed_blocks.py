@@ -58,7 +58,7 @@ def test_blocks_do_not_matter(spark, monkeypatch):
         return {(int(k), int(d)): float(w) for at, dim, ws in ngrams.sparse_vectors(array, 512) for k, d, w in zip(at, dim, ws)}
 
     whole = run(pa.array(cleaned))
-    monkeypatch.setattr(ngrams, "ROWS", 3)
+    monkeypatch.setattr(ngrams, "CELLS", 3 * 512)
     monkeypatch.setattr(ngrams, "BYTES", 500)
     assert run(pa.array(cleaned)) == whole
     assert run(pa.array([None, "zz", *cleaned]).slice(2)) == whole
